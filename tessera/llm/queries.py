@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm.encoding import encode
+from tessera.llm.near_duplicates import NearParams, near_duplicates, same_file
 from tessera.llm.neighbours import nearest_vectors, similar_pairs
+from tessera.llm.packing import fill_containers
+from tessera.llm.splitting import SplitParams, split_oversized
+from tessera.llm.survivors import best_representatives, pdf_candidates
 from tessera.runtime import table
 
 
@@ -15,9 +22,84 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(near, 0.9)
 
 
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [("section_nodes", "node_id", "text", 1330), ("chunks", "chunk_id", "text", 1330), ("chunks", "chunk_id", "parent_text", 4900)]
+    out = []
+    for name, key, field, limit in parts:
+        pieces = split_oversized(table(spark, sf_dir, name), [key], field, SplitParams(limit)).withColumnRenamed(key, "item_id")
+        out.append(pieces.select(F.lit(name).alias("item_table"), "item_id", F.lit(field).alias("field"), "piece_no", "start", "end", "text"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_pieces(spark, sf_dir).filter("piece_no = 0").select("item_table", "item_id", "field").distinct()
+
+
+def p3_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pdf_candidates(*(table(spark, sf_dir, t) for t in ("pdf_candidates", "source_pages", "doc_families")))
+    return best_representatives(rows, "path", "cand_id", "trust", "fetched_at", ["family", "protocol", "doc_date"])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_survivors(spark, sf_dir).select("group_id", "field", F.col("id").alias("cand_id"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alike, meta = NearParams(threshold=0.75), table(spark, sf_dir, "document_meta")
+    parts = {
+        "chunk": near_duplicates(table(spark, sf_dir, "chunks"), "chunk_id", "text", 40, alike),
+        "note": near_duplicates(meta, "doc_id", "version_note", 20, alike),
+        "file": same_file(meta, "doc_id", "sha256", alike),
+    }
+    return reduce(DataFrame.union, [df.select(F.lit(kind).alias("kind"), F.col("a").alias("key_a"), F.col("b").alias("key_b")) for kind, df in parts.items()])
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = encode(table(spark, sf_dir, "documents"), "doc_id", "text", sizes_only=True)
+    return fill_containers(sizes, "doc_id", "n_tokens", 2048)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p3_survivors, p4_found, p7_ids, p8_containers)}
+
+
+_SPACES = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(133)||chr(160)||chr(5760)||" + "||".join(f"chr({p})" for p in (*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+_P2 = f"""
+select distinct item_table, item_id, field from (
+  select 'section_nodes' as item_table, node_id as item_id, 'text' as field, text as t, 1330 as most from section_nodes
+  union all select 'chunks', chunk_id, 'text', text, 1330 from chunks
+  union all select 'chunks', chunk_id, 'parent_text', parent_text, 4900 from chunks
+) where length(trim(t, {_SPACES})) > most
+"""
+
+_P3 = rf"""
+with paths as (
+  select *, regexp_replace('/' || url_decode(replace(regexp_replace(regexp_replace(trim(url, {_SPACES}),
+    '^([A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*', ''), '[?#].*$', '', 's'), '+', '%2B')), '/+', '/', 'g') as path from pdf_candidates
+), rows_ as (
+  select path, cand_id, fetched_at, coalesce((select max(coalesce(trust, 0)) from source_pages p where p.source_page = c.source_page), 0) as trust,
+    case when lower(trim(family, {_SPACES})) in (select lower(trim(family_key)) from doc_families) then 1 end as family,
+    case when protocol between 10 and 9999 then 1 end as protocol,
+    case when doc_date between date '2000-01-01' and cast(fetched_at as date) then 1 end as doc_date
+  from paths c where url is not null
+), groups as (
+  select path, min(cand_id) as group_id from rows_ group by path having count(distinct cand_id) > 1
+), fields as (
+  select path, cand_id, fetched_at, trust, 'family' as field from rows_ where family = 1
+  union all select path, cand_id, fetched_at, trust, 'protocol' from rows_ where protocol = 1
+  union all select path, cand_id, fetched_at, trust, 'doc_date' from rows_ where doc_date = 1
+)
+select group_id, field, cand_id from (
+  select g.group_id, f.field, f.cand_id, row_number() over (partition by g.path, f.field order by trust desc, fetched_at desc nulls last, f.cand_id desc) as n
+  from fields f join groups g on f.path = g.path
+) where n = 1
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": _P2, "p3_found": _P3}
