@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.encoding import encode
+from tessera.llm.mojibake import restore
 from tessera.llm.near_duplicates import NearParams, near_duplicates, same_file
 from tessera.llm.neighbours import nearest_vectors, similar_pairs
 from tessera.llm.packing import fill_containers
@@ -63,8 +64,16 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_containers(sizes, "doc_id", "n_tokens", 2048)
 
 
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return restore(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_restored(spark, sf_dir).select("doc_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p3_survivors, p4_found, p7_ids, p8_containers)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p3_survivors, p4_found, p7_ids, p8_containers, p9_found, p9_restored)}
 
 
 _SPACES = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(133)||chr(160)||chr(5760)||" + "||".join(f"chr({p})" for p in (*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
