@@ -20,24 +20,23 @@ def url_path(url: Column) -> Column:
     return F.regexp_replace(F.concat(F.lit("/"), decoded), "/{2,}", "/")
 
 
-def _later(rows: DataFrame, group: str, at: str, field: str) -> DataFrame:
-    """(group, value, later): how many values of the group are known to come after this one.
+def _later(rows: DataFrame) -> DataFrame:
+    """(group, field, value, later): how many values of the group are known to come after this one.
 
     The order of two values is learned from all groups with timestamps: v precedes w if v gave way to w more often
     than w to v. Values of a group are counted once before they are ordered, so a large group costs no more than
     its different values. Only groups with undated rows get an answer.
     """
-    seen = rows.filter(F.col(field).isNotNull()).groupBy(group, F.col(field).alias("value"))
-    seen = seen.agg(F.max(at).alias("last"), F.bool_or(F.col(at).isNull()).alias("undated"))
-    dated = seen.filter(F.col("last").isNotNull())
-    steps = dated.withColumn("next", F.lead("value").over(W.partitionBy(group).orderBy("last", "value"))).filter(F.col("next").isNotNull())
-    votes = steps.select(F.col("value").alias("v"), F.col("next").alias("w"), F.lit(1).alias("n"))
-    votes = votes.union(votes.select("w", "v", F.lit(-1))).groupBy("v", "w").agg(F.sum("n").alias("n")).filter(F.col("n") > 0)
-    open_ = seen.filter("undated").select(group).distinct()
-    here = seen.join(open_, group, "left_semi").select(group, "value")
-    edges = here.join(votes.select(F.col("v").alias("value"), "w"), "value")
-    edges = edges.join(here.select(group, F.col("value").alias("w")), [group, "w"], "left_semi")
-    return edges.groupBy(group, "value").agg(F.count("*").alias("later"))
+    keys = ["group", "field"]
+    seen = rows.groupBy(*keys, "value").agg(F.max("at").alias("last"), F.bool_or(F.col("at").isNull()).alias("undated"))
+    order = W.partitionBy(*keys).orderBy("last", "value")
+    steps = seen.filter(F.col("last").isNotNull()).withColumn("next", F.lead("value").over(order)).filter(F.col("next").isNotNull())
+    votes = steps.select("field", F.col("value").alias("v"), F.col("next").alias("w"), F.lit(1).alias("n"))
+    votes = votes.union(votes.select("field", "w", "v", F.lit(-1))).groupBy("field", "v", "w").agg(F.sum("n").alias("n")).filter(F.col("n") > 0)
+    here = seen.join(seen.filter("undated").select(*keys).distinct(), keys, "left_semi").select(*keys, "value")
+    edges = here.join(votes.select("field", F.col("v").alias("value"), "w"), ["field", "value"])
+    edges = edges.join(here.select(*keys, F.col("value").alias("w")), [*keys, "w"], "left_semi")
+    return edges.groupBy(*keys, "value").agg(F.count("*").alias("later"))
 
 
 def best_representatives(df: DataFrame, group: str, id_col: str, trust: str, at: str, fields: list[str]) -> DataFrame:
@@ -47,24 +46,22 @@ def best_representatives(df: DataFrame, group: str, id_col: str, trust: str, at:
     best value comes from the most trusted row, then the latest; among rows without a timestamp, from the value
     that comes last in the order learned from dated groups; then from the largest id. group_id is the smallest id.
 
-    Choosing is one aggregation with partial results, so no group, whatever its size, is ever gathered in a task.
-    Null groups and null ids are left out, repeated rows count once, an empty table gives no rows.
+    Choosing is an aggregation with partial results, so no group, whatever its size, is ever gathered in a task.
+    Null groups and null ids are left out, repeated rows count once, an empty table gives no rows. Other columns
+    than the named ones are not read.
     """
-    rows = df.select(group, id_col, F.coalesce(trust, F.lit(0)).alias("__trust"), F.col(at).alias("__at"), *fields)
-    rows = rows.filter(F.col(group).isNotNull() & F.col(id_col).isNotNull())
-    for f in fields:
-        later = _later(rows, group, "__at", f).select(group, F.col("value").alias(f), F.col("later").alias(f"__later_{f}"))
-        undated = rows.filter(F.col("__at").isNull()).join(later, [group, f], "left")
-        rows = rows.filter(F.col("__at").isNotNull()).withColumn(f"__later_{f}", F.lit(0).cast("long")).unionByName(undated)
-
-    def best(f: str) -> Column:
-        order = F.struct("__trust", "__at", (-F.coalesce(f"__later_{f}", F.lit(0))).alias("order"), F.col(id_col).alias("id"), F.col(f).cast("string").alias("value"))
-        return F.max(F.when(F.col(f).isNotNull(), order)).alias(f)
-
-    groups = rows.groupBy(group).agg(F.min(id_col).alias("group_id"), F.max(id_col).alias("__last"), *[best(f) for f in fields])
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}.id").alias("id"), F.col(f"{f}.value").alias("value")) for f in fields]))
-    out = groups.filter(F.col("group_id") < F.col("__last")).select("group_id", each.alias("x")).select("group_id", "x.*")
-    return out.filter(F.col("id").isNotNull())
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
+    rows = df.select(F.col(group).alias("group"), F.col(id_col).alias("id"), F.coalesce(trust, F.lit(0)).alias("trust"), F.col(at).alias("at"), each.alias("fields"))
+    rows = rows.filter(F.col("group").isNotNull() & F.col("id").isNotNull())
+    long = rows.select("group", "id", "trust", "at", F.explode("fields").alias("x")).select("group", "id", "trust", "at", "x.*").filter(F.col("value").isNotNull())
+    if long.filter(F.col("at").isNull()).isEmpty():
+        long = long.withColumn("order", F.lit(0).cast("long"))  # every row is dated: there is nothing to infer
+    else:
+        long = long.join(_later(long), ["group", "field", "value"], "left")
+        long = long.withColumn("order", F.when(F.col("at").isNull(), -F.coalesce("later", F.lit(0))).otherwise(0))
+    best = long.groupBy("group", "field").agg(F.max(F.struct("trust", "at", "order", "id", "value")).alias("best"))
+    groups = rows.groupBy("group").agg(F.min("id").alias("group_id"), F.max("id").alias("last")).filter(F.col("group_id") < F.col("last"))
+    return best.join(groups, "group").select("group_id", "field", "best.id", "best.value")
 
 
 def pdf_candidates(candidates: DataFrame, pages: DataFrame, families: DataFrame) -> DataFrame:
