@@ -56,19 +56,20 @@ class _Hashes:
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, least_words: int, params: NearParams) -> DataFrame:
-    """(id, words, class_key, sketch_a, sketch_b, blocks) of every text with at least least_words different words."""
+    """(id, hashes, class_key, sketch_a, sketch_b, blocks) of every text with at least least_words different words;
+    hashes is the set of its words' 64-bit hashes."""
     rng = np.random.default_rng(params.seed)
     n = max(params.blocks * params.symbols, 128)
     mult = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 2**63, n, dtype=np.uint64)
     weight = rng.integers(0, 2**63, params.symbols, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     bit = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    names = ["id", "words", "class_key", "sketch_a", "sketch_b", "blocks"]
+    names = ["id", "hashes", "class_key", "sketch_a", "sketch_b", "blocks"]
 
     def run(batches):
         hashes = _Hashes()
         for b in batches:
-            row, size, key, sketch, blocks = [], [], [], [], []
+            row, sets, key, sketch, blocks = [], [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
                 words = set(_WORD(text.lower()))
                 if len(words) < least_words:
@@ -79,7 +80,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, least_words: int, pa
                     np.minimum(low, (h[at : at + 256, None] * mult + add).min(0), out=low)
                 low ^= low >> np.uint64(29)
                 row.append(i)
-                size.append(len(words))
+                sets.append(h)
                 key.append(xxhash.xxh3_128_hexdigest(h.tobytes()))
                 odd = (low[:128] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(63)
                 sketch.append(((odd[:64] * bit).sum(dtype=np.uint64), (odd[64:] * bit).sum(dtype=np.uint64)))
@@ -90,13 +91,15 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, least_words: int, pa
             two = np.array(sketch, np.uint64).reshape(-1, 2).view(np.int64)
             flat = np.concatenate(blocks).view(np.int64) if blocks else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(k + 1) * params.blocks, pa.int32()), pa.array(flat))
+            words = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            words = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(words))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(row, pa.int64())), pa.array(size, pa.int32()), pa.array(key, pa.string()), pa.array(two[:, 0]), pa.array(two[:, 1]), lists], names=names
+                [b.column(0).take(pa.array(row, pa.int64())), words, pa.array(key, pa.string()), pa.array(two[:, 0]), pa.array(two[:, 1]), lists], names=names
             )
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & (F.length("text") >= 2 * least_words - 1))
-    return rows.mapInArrow(run, f"id {kind}, words int, class_key string, sketch_a long, sketch_b long, blocks array<long>")
+    return rows.mapInArrow(run, f"id {kind}, hashes array<long>, class_key string, sketch_a long, sketch_b long, blocks array<long>")
 
 
 def candidate_pairs(prints: DataFrame, params: NearParams) -> DataFrame:
@@ -113,40 +116,29 @@ def candidate_pairs(prints: DataFrame, params: NearParams) -> DataFrame:
     return a.join(b, near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
-def _word_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    def run(batches):
-        hashes = _Hashes()
-        for b in batches:
-            sets = [np.sort(hashes.of(set(_WORD(t.lower())))).view(np.int64) for t in b.column(1).to_pylist()]
-            ends = np.cumsum([0, *map(len, sets)])
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["id", "hashes"])
-
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull()).mapInArrow(run, f"id {kind}, hashes array<long>")
-
-
-def verified_pairs(df: DataFrame, id_col: str, text_col: str, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose exact Jaccard similarity is at least the threshold; only texts that are in a pair are read."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias(id_col)).distinct()
-    sets = _word_sets(df.join(used, id_col, "left_semi"), id_col, text_col).dropDuplicates(["id"])
+def verified_pairs(prints: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose exact Jaccard similarity is at least the threshold."""
+    sets = prints.select("id", "hashes").dropDuplicates(["id"])
     left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("in_a"))
     right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("in_b"))
-    shared = F.size(F.array_intersect("in_a", "in_b"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("shared", shared)
+    both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("in_a", "in_b")))
     jaccard = F.col("shared") / (F.size("in_a") + F.size("in_b") - F.col("shared"))
     return both.withColumn("similarity", jaccard).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
-def class_pairs(members: DataFrame, class_col: str, id_col: str, full: int) -> DataFrame:
-    """(a, b), a < b, within classes of equal items: all pairs of classes of up to `full` ids, else the smallest id
-    with every other one, which says the same in as many rows as the class has members."""
+def shared_classes(members: DataFrame, class_col: str, id_col: str) -> DataFrame:
+    """(first, id, n): the ids of all classes of two or more, with the smallest one and their number."""
     ids = members.select(F.col(class_col).alias("k"), F.col(id_col).alias("id")).distinct()
     sizes = ids.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter(F.col("n") > 1)
-    ids = ids.join(sizes, "k")
-    star = ids.filter((F.col("n") > full) & (F.col("id") > F.col("first"))).select(F.col("first").alias("a"), F.col("id").alias("b"))
-    few = ids.filter(F.col("n") <= full)
-    both = few.select("k", F.col("id").alias("a")).join(few.select("k", F.col("id").alias("b")), "k").filter(F.col("a") < F.col("b"))
+    return spool(ids.join(sizes, "k").select("first", "id", "n"), "shared-classes")
+
+
+def class_pairs(shared: DataFrame, full: int) -> DataFrame:
+    """(a, b), a < b, within classes of equal items: all pairs of classes of up to `full` ids, else the smallest id
+    with every other one, which says the same in as many rows as the class has members."""
+    star = shared.filter((F.col("n") > full) & (F.col("id") > F.col("first"))).select(F.col("first").alias("a"), F.col("id").alias("b"))
+    few = shared.filter(F.col("n") <= full)
+    both = few.select("first", F.col("id").alias("a")).join(few.select("first", F.col("id").alias("b")), "first").filter(F.col("a") < F.col("b"))
     return star.union(both.select("a", "b"))
 
 
@@ -159,17 +151,17 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, least_words: int,
     give no rows; a repeated id counts once, by any one of its texts; only id_col and text_col are read.
     """
     prints = spool(fingerprints(df, id_col, text_col, least_words, params), "near-prints")
-    firsts = prints.groupBy("class_key").agg(F.min("id").alias("id"))
-    reps = prints.join(firsts, ["class_key", "id"], "left_semi").dropDuplicates(["id"])
-    found = verified_pairs(df, id_col, text_col, candidate_pairs(reps, params), params.threshold).select("a", "b")
-    classes = prints.select("id", "class_key").dropDuplicates(["id"])
-    shared = classes.groupBy("class_key").agg(F.count("*").alias("n"), F.min("id").alias("rep")).filter(F.col("n") > 1)
-    small = classes.join(shared.filter(F.col("n") <= params.full_class), "class_key").select("rep", "id")
+    shape = F.struct("id", F.size("hashes").alias("words"), "sketch_a", "sketch_b", "blocks")
+    reps = prints.groupBy("class_key").agg(F.min(shape).alias("x")).select("x.*")
+    pairs = spool(candidate_pairs(reps, params), "near-candidates")
+    found = spool(verified_pairs(prints, pairs, params.threshold).select("a", "b"), "near-pairs")
+    shared = shared_classes(prints, "class_key", "id")
+    small = shared.filter(F.col("n") <= params.full_class)
     for side in ("a", "b"):
-        own = small.withColumnRenamed("rep", side)
+        own = small.select(F.col("first").alias(side), "id")
         found = found.join(own, side, "left").withColumn(side, F.coalesce("id", side)).drop("id")
     found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return found.union(class_pairs(classes, "class_key", "id", params.full_class)).distinct()
+    return found.union(class_pairs(shared, params.full_class))
 
 
 def same_file(df: DataFrame, id_col: str, hash_col: str, params: NearParams = NearParams()) -> DataFrame:
@@ -181,4 +173,4 @@ def same_file(df: DataFrame, id_col: str, hash_col: str, params: NearParams = Ne
     digits = F.regexp_replace(bare, "[^0-9a-f]", "")
     value = F.when(F.length(digits) == 64, digits).otherwise(bare)  # what is no such hash counts as it stands
     rows = df.select(F.col(id_col).alias("id"), value.alias("value")).filter(F.col("id").isNotNull() & (F.length("value") > 0))
-    return class_pairs(rows, "value", "id", params.full_class)
+    return class_pairs(shared_classes(rows, "value", "id"), params.full_class)
