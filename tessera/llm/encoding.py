@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -142,7 +143,7 @@ class _Encoder:
 
 def _slices(b: pa.RecordBatch, at: int, chars: int):
     """Parts of a batch with about so many bytes of text, so that a worker's memory is bounded by one text."""
-    size = pa.compute.fill_null(pa.compute.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False)
+    size = pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(size) // chars
     cuts = np.flatnonzero(part[1:] != part[:-1]) + 1
     for lo, hi in zip([0, *cuts], [*cuts, b.num_rows]):
