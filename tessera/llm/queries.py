@@ -13,6 +13,8 @@ from tessera.llm.mojibake import restore
 from tessera.llm.near_duplicates import NearParams, near_duplicates, same_file
 from tessera.llm.neighbours import nearest_vectors, similar_pairs
 from tessera.llm.packing import fill_containers
+from tessera.llm.pairs import defective, languages
+from tessera.llm.scans import find_noise, repair_pages
 from tessera.llm.splitting import SplitParams, split_oversized
 from tessera.llm.survivors import best_representatives, pdf_candidates
 from tessera.runtime import table
@@ -55,6 +57,19 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.union, [df.select(F.lit(kind).alias("kind"), F.col("a").alias("key_a"), F.col("b").alias("key_b")) for kind, df in parts.items()])
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = languages(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    return defective(table(spark, sf_dir, "answers"), "answer_id", "question", "answer", model)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_noise(table(spark, sf_dir, "parsed_documents"), "doc_id", "page_texts")
+
+
+def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_pages(table(spark, sf_dir, "parsed_documents"), "doc_id", "page_texts")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -73,7 +88,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p3_survivors, p4_found, p7_ids, p8_containers, p9_found, p9_restored)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p3_survivors, p4_found, p5_found, p6_found, p6_repaired, p7_ids, p8_containers, p9_found, p9_restored)}
 
 
 _SPACES = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(133)||chr(160)||chr(5760)||" + "||".join(f"chr({p})" for p in (*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
