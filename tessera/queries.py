@@ -5,17 +5,438 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.runtime import table
+from tessera.config import DEFAULT
+from tessera.functions import links as L
+from tessera.functions import text as T
+from tessera.functions.space import _POINTS, trimmed
+from tessera.operators import answering, catalog, chunking, cleaning, evaluation, history, ranking, reporting, search, store, structure
+from tessera.runtime import spool, table
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
 
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").limit(0)
+WS = "||".join(f"chr({p})" for p in _POINTS)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql.replace("{WS}", WS)
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q2_search(spark, sf_dir)
+
+
+# Scalar functions
+
+
+@query(r"""select doc_id, array_to_string(list_transform(string_split(translate(text, chr(160)||chr(13), ' '||chr(10)), chr(10)),
+  lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'), {WS})), chr(10)) as text from documents""")
+def f1_whitespace(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.normalize_whitespace(F.col("text")).alias("text"))
+
+
+_JOIN = r"regexp_replace({}, '([а-яёa-z])-[\s\x{a0}]*\n[\s\x{a0}]*([а-яё])', '\1\2', 'g')"
+
+
+@query(f"""with p as (select distinct doc_id, unnest(page_texts) as t, generate_subscripts(page_texts, 1) as page_no from parsed_documents)
+select doc_id, page_no, {_JOIN.replace('{}', _JOIN.replace('{}', "replace(coalesce(t, ''), chr(173), '')"))} as text from p""")
+def f2_hyphenation(spark, d):
+    pages = cleaning.pages_of(table(spark, d, "parsed_documents").dropDuplicates(["doc_id"]))
+    return pages.select("doc_id", F.col("page_no").cast("long").alias("page_no"), T.fix_hyphenation(F.col("text")).alias("text"))
+
+
+@query("""select distinct node_id, case when nullif(number, '') is not null and level >= 1 then 'п. ' || number
+  when nullif(number, '') is not null then 'Раздел ' || number else coalesce(nullif(title, ''), node_id) end as label from section_nodes""")
+def f6_labels(spark, d):
+    return table(spark, d, "section_nodes").select("node_id", structure.node_label().alias("label")).distinct()
+
+
+@query("""select distinct chunk_id, concat_ws(', ', doc_title, 'п. ' || nullif(clause, ''), 'стр. ' || nullif(page, 0)) as ref,
+  cast(floor(length(text) / 3.5) as int) as tokens, left(coalesce(nullif(parent_text, ''), text), 600) as snippet from chunks""")
+def f7_references(spark, d):
+    c = table(spark, d, "chunks")
+    return c.select("chunk_id", T.reference(F.col("doc_title"), F.col("clause"), F.col("page")).alias("ref"), T.token_estimate(F.col("text")).alias("tokens"), T.snippet(F.col("parent_text"), F.col("text")).alias("snippet")).distinct()
+
+
+@query("""select chunk_id, h[1:8]||'-'||h[9:12]||'-5'||h[14:16]||'-'||substr('89ab', cast(('0x'||h[17:17])::int & 3 as int) + 1, 1)||h[18:20]||'-'||h[21:32] as point_id, md5(text) as content_hash from (
+  select distinct chunk_id, text, sha1(unhex('6a9c1e00000040008000000000000000') || encode(chunk_id)) as h from chunks)""")
+def f13_point_ids(spark, d):
+    return table(spark, d, "chunks").select("chunk_id", T.uuid5(F.col("chunk_id")).alias("point_id"), F.md5("text").alias("content_hash")).distinct()
+
+
+_SLUG = "lower(trim(title, {WS}))"
+for _a, _b in T.DIGRAPHS.items():
+    _SLUG = f"replace({_SLUG}, '{_a}', '{_b}')"
+
+
+@query(f"""select doc_id, coalesce(nullif(left(regexp_replace(regexp_replace(regexp_replace(translate({_SLUG}, '{T.LETTERS[0]}', '{T.LETTERS[1]}'), '[^a-z0-9-]+', '_', 'g'),
+  '_+', '_', 'g'), '^_+|_+$', '', 'g'), 60), ''), 'document') as slug from documents""")
+def f16_slugs(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.slugify(F.col("title")).alias("slug"))
+
+
+@query(r"""with n as (select distinct cand_id, url, regexp_extract(regexp_replace(url, '[?#].*$', '', 's'), '([^/]*)$', 1) as tail from pdf_candidates),
+f as (select cand_id, coalesce(try(url_decode(replace(tail, '+', '%2B'))), tail) as name from n)
+select distinct cand_id, name, cast(nullif(regexp_extract(name, '(?i)protokol[_\-\s]*(\d{2,4})', 1), '') as int) as protocol,
+  coalesce(list_filter(list_transform(regexp_extract_all(name, '\d{2}[._\-]\d{2}[._\-]\d{4}'), lambda x: try_cast(x[7:10]||'-'||x[4:5]||'-'||x[1:2] as date)), lambda x: year(x) between 2000 and 2100)[1],
+    list_filter(list_transform(regexp_extract_all(name, '\d{4}[._\-]\d{2}[._\-]\d{2}'), lambda x: try_cast(x[1:4]||'-'||x[6:7]||'-'||x[9:10] as date)), lambda x: year(x) between 2000 and 2100)[1],
+    list_filter(list_transform(regexp_extract_all(name || ' ', '\d{2}[._\-]\d{2}[._\-]\d{2}\D'), lambda x: try_cast('20'||x[7:8]||'-'||x[4:5]||'-'||x[1:2] as date)), lambda x: year(x) between 2000 and 2100)[1]) as named_date from f""")
+def f17_link_facts(spark, d):
+    name = L.file_name(F.col("url"))
+    return table(spark, d, "pdf_candidates").select("cand_id", name.alias("name"), L.protocol(name).alias("protocol"), L.date_in(name).alias("named_date")).distinct()
+
+
+@query(r"""select distinct chunk_id, case when regexp_full_match(effective_date, '\d{4}-\d{2}-\d{2}') then try_cast(effective_date as date) end as day,
+  case when effective_date is null then '' when len(string_split(effective_date, '-')) = 3 then array_to_string(list_reverse(string_split(effective_date, '-')), '.') else effective_date end as shown,
+  case doc_type when 'rules' then 'Правила' when 'tariff' then 'Тарифы' when 'charter' then 'Устав' when 'regulation' then 'Регламент' else doc_type end as label from chunks""")
+def f21_dates(spark, d):
+    day = F.col("effective_date")
+    return table(spark, d, "chunks").select("chunk_id", T.iso_date(day).alias("day"), T.short_date(day).alias("shown"), T.type_label(F.col("doc_type")).alias("label")).distinct()
+
+
+@query("""select doc_id, day(effective_date) || ' ' || (['января','февраля','марта','апреля','мая','июня','июля','августа','сентября','октября','ноября','декабря'])[month(effective_date)]
+  || ' ' || year(effective_date) || ' г.' as day from documents""")
+def f24_long_dates(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.long_date(F.col("effective_date")).alias("day"))
+
+
+@query(r"""with m as (select distinct answer_id, answer, regexp_extract_all(answer, '\[(\d+)\]', 1) as m from answers)
+select answer_id, case when answer is not null then list_transform(list_filter(list_transform(range(1, len(m) + 1), lambda i: case when list_position(m, m[i]) = i then m[i] end), lambda x: x is not null), lambda x: cast(x as int)) end as markers,
+  coalesce(trim(answer, {WS}) <> '' and (starts_with(rtrim(lower(trim(answer, {WS})), '.'), 'в предоставленных документах ответ не на') or
+    (length(trim(answer, {WS})) < 180 and not regexp_matches(answer, '\[\d+\]') and regexp_matches(lower(answer), 'не найден|не содержится|нет информации|не указан|отсутствует в|не предоставлен|невозможно ответить|нет ответа|не приводится'))), false) as refused,
+  trim(regexp_replace(trim(regexp_replace(regexp_replace(answer, '\s*\[\d+(\s*[,–-]\s*\d+)*\]', '', 'g'), '[\s\x{a0}\x{2000}-\x{200a}\x{3000}]+', ' ', 'g'), {WS}), '^[•\-–—*·\s\x{a0}]+', '', 'g'), {WS}) as bullet from m""")
+def f25_markers(spark, d):
+    a = F.col("answer")
+    return table(spark, d, "answers").select("answer_id", T.markers(a).alias("markers"), T.is_refusal(a, DEFAULT.refusal).alias("refused"), T.clean_bullet(a).alias("bullet")).distinct()
+
+
+@query("""select vec_id, list_sum(list_transform(list_filter(list_zip(sparse_indices, sparse_values), lambda p: p[2] > 0), lambda p: cast(p[2] as double))) as total,
+  len(list_filter(list_zip(sparse_indices, sparse_values), lambda p: p[2] > 0)) as kept from chunk_vectors where len(list_distinct(sparse_indices)) = len(sparse_indices) and len(sparse_indices) = len(sparse_values)""")
+def f41_sparse_weights(spark, d):
+    rows = table(spark, d, "chunk_vectors").filter((F.size(F.array_distinct("sparse_indices")) == F.size("sparse_indices")) & (F.size("sparse_indices") == F.size("sparse_values")))
+    weights = F.map_from_arrays(F.transform("sparse_indices", lambda i: i.cast("string")), F.transform("sparse_values", lambda v: v.cast("double")))
+    kept = F.map_values(T.positive_weights(weights))
+    total = F.when(F.size(kept) > 0, F.aggregate(kept, F.lit(0.0), lambda s, v: s + v))
+    return rows.select("vec_id", total.alias("total"), F.size(kept).cast("long").alias("kept"))
+
+
+# Cleaning and structure
+
+_LINES = """with docs as (select distinct doc_id, page_texts from parsed_documents where doc_id is not null),
+pages as (select doc_id, unnest(page_texts) as t, generate_subscripts(page_texts, 1) as page_no from docs),
+arr as (select doc_id, page_no, string_split(coalesce(t, ''), chr(10)) as a from pages),
+lines as (select doc_id, page_no, unnest(a) as line, generate_subscripts(a, 1) - 1 as line_no from arr),
+rep as (select doc_id, s as line from (select distinct doc_id, page_no, trim(line, {WS}) as s from lines) join (select doc_id as pd, count(distinct page_no) as n from lines group by 1) on pd = doc_id
+  where length(s) >= 8 and not regexp_full_match(s, '\\d+') and n >= 4 group by doc_id, s, n having count(*) >= greatest(2, floor(n * 0.5)))"""
+
+
+def _lines(spark, d):
+    return cleaning.lines_of(cleaning.pages_of(table(spark, d, "parsed_documents").filter("doc_id is not null").dropDuplicates(["doc_id"])))
+
+
+@query(_LINES + " select doc_id, line from rep")
+def g1_repeated_lines(spark, d):
+    return cleaning.repeated_lines(_lines(spark, d))
+
+
+@query(_LINES + r""", edges as (select *, trim(line, {WS}) as s, min(case when trim(line, {WS}) <> '' then line_no end) over (partition by doc_id, page_no) as lo,
+  max(case when trim(line, {WS}) <> '' then line_no end) over (partition by doc_id, page_no) as hi from lines)
+select doc_id, page_no, line_no, e.line from edges e where not (regexp_full_match(s, '\d{1,4}') and (line_no = lo or line_no = hi)) and not exists (select 1 from rep r where r.doc_id = e.doc_id and r.line = e.s)""")
+def p4_strip_running_lines(spark, d):
+    lines = _lines(spark, d)
+    out = cleaning.strip_running_lines(lines, cleaning.repeated_lines(lines))
+    return out.select("doc_id", F.col("page_no").cast("long").alias("page_no"), F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+@query("""select doc_id, string_agg(coalesce(t, ''), chr(10) || chr(10) order by page_no) as full_text from (
+  select doc_id, unnest(page_texts) as t, generate_subscripts(page_texts, 1) as page_no from (select distinct doc_id, page_texts from parsed_documents where doc_id is not null)) group by doc_id""")
+def g4_full_text(spark, d):
+    return cleaning.full_text(cleaning.pages_of(table(spark, d, "parsed_documents").filter("doc_id is not null").dropDuplicates(["doc_id"])))
+
+
+def _numbered(spark, d):
+    docs = table(spark, d, "documents").filter(F.col("text").isNotNull())
+    pages = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page_no"), F.regexp_replace("text", "\r\n?", "\n").alias("text"))
+    return structure.clause_lines(structure.without_contents(cleaning.lines_of(pages)))
+
+
+_CLAUSES = r"""with raw as (select cast(doc_id as varchar) as doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) as a from documents where text is not null),
+l as (select doc_id, unnest(a) as line, generate_subscripts(a, 1) as pos from raw),
+k as (select doc_id, line, row_number() over (partition by doc_id order by pos) as seq from l where trim(line, {WS}) <> ''),
+c as (select *, regexp_extract(line, '^(\d{1,2}(?:\.\d{1,2}){0,5})\.\s*(.*)$', 1) as num from k where not regexp_matches(line, '\.{4,}')),
+s as (select *, case when num <> '' and instr(num, '.') = 0 then cast(num as int) end as sec from c),
+m as (select *, max(sec) over (partition by doc_id order by seq rows between unbounded preceding and 1 preceding) as top from s),
+o as (select doc_id, seq, case when num <> '' and not coalesce(sec < top, false) then num end as number from m),
+clauses as (select doc_id, seq, number, len(string_split(number, '.')) - 1 as level, count(number) over (partition by doc_id order by seq) as clause_no from o)"""
+
+
+@query(_CLAUSES + " select doc_id, cast(seq as int) as seq, number, cast(level as int) as level, clause_no from clauses")
+def p8_clause_lines(spark, d):
+    return _numbered(spark, d).select("doc_id", "seq", "number", "level", "clause_no")
+
+
+@query(_CLAUSES + """ select doc_id, clause_no, number, (select max(b.clause_no) from clauses b where b.doc_id = a.doc_id and b.number is not null and b.clause_no < a.clause_no and b.level = a.level - 1
+  and not exists (select 1 from clauses x where x.doc_id = a.doc_id and x.number is not null and x.clause_no > b.clause_no and x.clause_no < a.clause_no and x.level < b.level)
+  and b.clause_no = (select max(y.clause_no) from clauses y where y.doc_id = a.doc_id and y.number is not null and y.clause_no < a.clause_no and y.level <= a.level - 1)) as parent_no
+from clauses a where number is not null""")
+def a4_parents(spark, d):
+    rows = _numbered(spark, d).filter(F.col("number").isNotNull()).select("doc_id", "clause_no", "number", "level", "appendix")
+    return structure.parents(rows).select("doc_id", "clause_no", "number", "parent_no")
+
+
+@query()
+def q6_structure(spark, d):
+    docs = table(spark, d, "documents").filter(F.col("text").isNotNull())
+    pages = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page_no"), T.normalize_whitespace(F.col("text")).alias("text"))
+    return structure.parse_structure(pages)
+
+
+_FOLD = r"""list_reduce(list_transform(string_split(regexp_replace({t}, '([.;:])[\s\x{a0}\x{85}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}]+', '\1' || chr(1), 'g'), chr(1)), lambda s: {'cur': s, 'w': []::varchar[]}),
+  lambda a, b: case when a.cur <> '' and length(a.cur) + length(b.cur) + 1 > 1330 then {'cur': trim(right(a.cur, 224) || ' ' || b.cur, {WS}), 'w': list_append(a.w, trim(a.cur, {WS}))}
+    else {'cur': trim(a.cur || ' ' || b.cur, {WS}), 'w': a.w} end, {'cur': '', 'w': []::varchar[]})"""
+
+
+@query("with t as (select distinct node_id, trim(text, {WS}) as t from section_nodes where length(trim(text, {WS})) >= 24), f as (select node_id, t, " + _FOLD.replace("{t}", "t") + """ as r from t)
+select node_id, case when length(t) <= 1330 then [t] when trim(r.cur, {WS}) <> '' then list_append(r.w, r.cur) else r.w end as windows from f""")
+def a8_windows(spark, d):
+    rows = table(spark, d, "section_nodes").select("node_id", trimmed(F.col("text")).alias("t")).distinct().filter(F.length("t") >= 24)
+    return rows.select("node_id", chunking.sentence_windows(F.col("t"), DEFAULT.child_chars, DEFAULT.overlap_chars).alias("windows"))
+
+
+_LABEL = "case when nullif({0}.number, '') is not null and {0}.level >= 1 then 'п. ' || {0}.number when nullif({0}.number, '') is not null then 'Раздел ' || {0}.number else coalesce(nullif({0}.title, ''), {0}.node_id) end"
+
+
+@query(f"""with n as (select distinct * from section_nodes)
+select a.node_id, left(concat_ws(chr(10), case when coalesce(b.text, '') <> '' and length(coalesce(a.text, '')) < 800 then {_LABEL.format('b')} || ': ' || trim(left(b.text, 600), {{WS}}) end,
+  {_LABEL.format('a')} || ': ' || coalesce(a.text, '')), 4900) as parent_text from n a left join n b on a.doc_id = b.doc_id and a.parent_id = b.node_id""")
+def j1_parent_context(spark, d):
+    return chunking.parent_context(table(spark, d, "section_nodes").distinct(), DEFAULT.parent_chars).select("node_id", "parent_text")
+
+
+@query()
+def q8_chunks(spark, d):
+    meta = table(spark, d, "document_meta").groupBy("doc_id").agg(F.max_by(F.struct("title", "doc_type", "source_url", "effective_date"), "registered_at").alias("x")).select("doc_id", "x.*")
+    pages = cleaning.pages_of(table(spark, d, "parsed_documents").dropDuplicates(["doc_id"]))
+    return chunking.chunk_documents(meta, table(spark, d, "section_nodes").distinct(), pages)
+
+
+# Search, ranking, answers
+
+
+def _questions(spark, d):
+    """The query set of searches: every row whose id is divisible by 20."""
+    rows = table(spark, d, "answers").select(F.col("answer_id").alias("question_id"), "question").distinct()
+    return rows.filter((F.col("question_id") % 20 == 0) & F.col("question").isNotNull())
+
+
+def _chunks(spark, d):
+    return table(spark, d, "chunks").filter(F.col("chunk_id").isNotNull() & (F.length("text") > 0)).dropDuplicates(["chunk_id"])
+
+
+_SEARCH = r"""with ch as (select chunk_id, any_value(text) as text, any_value(doc_id) as doc_id, any_value(clause) as clause from chunks where chunk_id is not null and length(text) > 0 group by 1),
+n as (select count(*) as n from ch),
+post as (select chunk_id, term, count(*) as tf from (select chunk_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+')) as term from ch) group by 1, 2),
+df as (select term, count(*) as df from post group by 1),
+raw as (select chunk_id, term, (1 + ln(tf)) * ln(1 + (select n from n)::double / df) as w from post join df using (term)),
+norm as (select chunk_id, sqrt(sum(w * w)) as l from raw group by 1),
+q as (select distinct answer_id as question_id, question from answers where answer_id % 20 = 0 and question is not null),
+qt as (select question_id, term, 1 + ln(count(*)) as w from (select question_id, unnest(regexp_extract_all(lower(question), '[\p{L}\p{Nd}]+')) as term from q) group by 1, 2),
+hit as (select question_id, chunk_id, round(sum(qt.w * raw.w / l), 9) as score from qt join raw using (term) join norm using (chunk_id) group by 1, 2),
+top as (select *, row_number() over (partition by question_id order by score desc, chunk_id) as rank from hit qualify rank <= 50)"""
+
+
+def _hits(spark, d):
+    chunks = _chunks(spark, d)
+    weights = search.document_weights(search.postings(chunks, "chunk_id", "text"), "chunk_id", chunks.count())
+    asked = search.postings(_questions(spark, d), "question_id", "question").select("question_id", "term", (1 + F.log("n")).alias("asked"))
+    hits = asked.join(weights, "term").groupBy("question_id", "chunk_id").agg(F.round(F.sum(F.col("asked") * F.col("weight")), 9).alias("score"))
+    return search.top_k(hits, DEFAULT.retrieve_top_k)
+
+
+@query(_SEARCH + " select question_id, chunk_id, score, cast(rank as int) as rank from top")
+def q2_search(spark, d):
+    return _hits(spark, d)
+
+
+@query(_SEARCH + r""", s as (select question_id, chunk_id, doc_id, clause, rank as fused_rank, len(list_distinct(regexp_extract_all(lower(question), '[\p{L}\p{Nd}]+'))) as nq,
+  len(list_intersect(list_distinct(regexp_extract_all(lower(question), '[\p{L}\p{Nd}]+')), regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+'))) as shared from top join q using (question_id) join ch using (chunk_id)),
+r as (select *, round(ln((shared + 0.5) / (nq - shared + 0.5)), 9) as score from s),
+o as (select *, row_number() over (partition by question_id order by score desc, fused_rank, chunk_id) as rn, count(*) filter (score >= 0) over (partition by question_id) as passed from r),
+k as (select *, row_number() over (partition by question_id, doc_id, coalesce(nullif(clause, ''), chunk_id) order by rn) as copy from o),
+f as (select *, row_number() over (partition by question_id order by rn) - 1 as i from k where (copy = 1 and score >= 0) or (passed = 0 and rn = 1 and score >= -4)),
+h as (select *, count(*) over (partition by question_id) as n from f where i < 6)
+select question_id, chunk_id, score, cast(case when i % 2 = 0 then i // 2 else n - 1 - (i - 1) // 2 end as int) as position from h""")
+def q1_contexts(spark, d):
+    hits = spool(_hits(spark, d), "hits")
+    ranked = ranking.rerank(hits, _questions(spark, d), _chunks(spark, d), lambda q, p: F.round(ranking.overlap_logit(q, p), 9))
+    return ranking.select_contexts(ranked).select("question_id", "chunk_id", "score", "position")
+
+
+@query("""with q as (select vec_id as question_id, embedding as e from embeddings where vec_id % 20 = 0),
+s as (select question_id, vec_id, round(list_sum(list_transform(list_zip(e, embedding), lambda p: cast(p[1] as double) * cast(p[2] as double))), 6) as score from q, embeddings)
+select question_id, vec_id, score, cast(row_number() over (partition by question_id order by score desc, vec_id) as int) as rank from s qualify rank <= 10""")
+def j5_dense_search(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("dense"))
+    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), "dense")
+    return search.dense_search(asked, rows, 10, "vec_id", places=6)
+
+
+@query(_SEARCH + """, b as (select question_id, chunk_id, row_number() over (partition by question_id order by chunk_id) as rank from top),
+u as (select question_id, chunk_id, rank from top union all select question_id, chunk_id, rank from b),
+g as (select question_id, chunk_id, round(sum(1.0 / (60 + rank)), 12) as score from u group by 1, 2)
+select question_id, chunk_id, score, cast(row_number() over (partition by question_id order by score desc, chunk_id) as int) as rank from g qualify rank <= 20""")
+def a10_fusion(spark, d):
+    from pyspark.sql.window import Window as W
+
+    first = spool(_hits(spark, d), "hits")
+    second = first.withColumn("rank", F.row_number().over(W.partitionBy("question_id").orderBy("chunk_id")))
+    return search.fuse([first, second], 20)
+
+
+@query("""select chunk_id, doc_id, doc_type from (select distinct chunk_id, doc_id, doc_type from chunks) where doc_type in ('rules', 'tariff')""")
+def p3_facets(spark, d):
+    return search.facets(table(spark, d, "chunks"), doc_types=["rules", "tariff"]).select("chunk_id", "doc_id", "doc_type").distinct()
+
+
+_STEMS = lambda xs: "|".join(xs)
+_LOC = answering.Locale()
+
+
+@query(f"""select distinct answer_id, case when q is null then 'retrieve' when regexp_matches(q, '{_STEMS(_LOC.topics)}') and regexp_matches(q, '{_STEMS(_LOC.topic_things)}') then 'about'
+  when regexp_matches(q, '{_STEMS(_LOC.lists)}') or (regexp_matches(q, '{_STEMS(_LOC.things)}') and regexp_matches(q, '{_STEMS(_LOC.places)}')) or regexp_matches(q, '{_STEMS(_LOC.abilities)}') then 'meta'
+  else 'retrieve' end as route from (select answer_id, ' ' || replace(lower(question), 'ё', 'е') || ' ' as q from answers)""")
+def p11_routes(spark, d):
+    return table(spark, d, "answers").select("answer_id", answering.route(F.col("question")).alias("route")).distinct()
+
+
+@query(r"""with a as (select distinct answer_id, answer, citations from answers where answer is not null and len(citations) > 0),
+m as (select answer_id, citations, list_filter(list_transform(regexp_extract_all(answer, '\[(\d+)\]', 1), lambda x: cast(x as int)), lambda x: x between 1 and len(citations)) as v from a),
+u as (select answer_id, citations, case when len(v) > 0 then list_filter(list_transform(range(1, len(v) + 1), lambda i: case when list_position(v, v[i]) = i then v[i] end), lambda x: x is not null) else range(1, len(citations) + 1) end as v from m)
+select answer_id as question_id, cast(i - 1 as int) as ord, '[' || v[i] || ']' as marker, citations[v[i]].doc_id as doc_id from (select *, unnest(range(1, len(v) + 1)) as i from u)""")
+def q3_citations(spark, d):
+    rows = table(spark, d, "answers").filter(F.col("answer").isNotNull() & (F.size("citations") > 0)).select(F.col("answer_id").alias("question_id"), "answer", "citations").distinct()
+    contexts = rows.select("question_id", F.posexplode("citations").alias("position", "c")).select("question_id", "position", "c.doc_id", F.lit("").alias("text"), F.lit("").alias("parent_text"))
+    return answering.citations(rows, contexts).select("question_id", "ord", "marker", "doc_id")
+
+
+@query()
+def q4_answers(spark, d):
+    chunks = _chunks(spark, d)
+    contexts = spool(q1_contexts(spark, d), "contexts").join(chunks.select("chunk_id", "doc_id", "doc_title", "clause", "page", "text", "parent_text"), "chunk_id")
+    return answering.extractive_answers(contexts).withColumn("grounded", answering.grounded(F.col("answer"), DEFAULT.refusal))
+
+
+@query("""with g as (select distinct answer_id as question_id, case when grounded then 'fact' else 'unanswerable' end as type, coalesce(grounded, false) as grounded, citations[1].doc_id as doc, citations[1].clause as clause, citations from answers),
+j as (select question_id, type, grounded = (type <> 'unanswerable') as ok, case when type <> 'unanswerable' and doc is not null then list_contains(list_transform(citations, lambda c: c.doc_id), doc) end as dh,
+  case when type <> 'unanswerable' and clause is not null then list_contains(list_transform(citations, lambda c: c.clause), clause) end as ch from g)
+select count(*) as total, count(*) filter (type <> 'unanswerable') as answerable, round(avg(ok::int), 3) as grounding_accuracy, round(avg(dh::int), 3) as doc_hit_rate, round(avg(ch::int), 3) as clause_hit_rate from j""")
+def g5_evaluation(spark, d):
+    rows = table(spark, d, "answers").select(F.col("answer_id").alias("question_id"), "grounded", "citations").distinct()
+    first = F.get("citations", F.lit(0))
+    golden = rows.select("question_id", F.when(F.col("grounded"), "fact").otherwise("unanswerable").alias("type"), first["doc_id"].alias("doc"), first["clause"].alias("clause"))
+    cited = rows.select("question_id", F.explode("citations").alias("c")).select("question_id", "c.doc_id", "c.clause")
+    return evaluation.summarize(evaluation.judge(golden, rows, cited))
+
+
+# Catalog, tables, reports
+
+
+@query("""with c as (select distinct cand_id, url, link_text, protocol, doc_date, regexp_replace(trim(url), '[?#].*$', '', 's') as clean from pdf_candidates),
+n as (select *, concat_ws(' ', coalesce(try(url_decode(replace(regexp_extract(clean, '([^/]*)$', 1), '+', '%2B'))), regexp_extract(clean, '([^/]*)$', 1)), link_text) as named from c),
+m as (select n.*, (select min(family_key) from doc_families f where regexp_matches(named, '(?i)' || f.pattern) or regexp_matches(clean, '(?i)' || f.pattern)) as family from n)
+select cand_id, family, cast(row_number() over (partition by family order by coalesce(protocol, 0) desc, coalesce(doc_date, date '0001-01-01') desc, cand_id) as int) as version, count(*) over (partition by family) as versions from m where family is not null""")
+def a16_versions(spark, d):
+    rows = table(spark, d, "pdf_candidates").select("cand_id", "url", "link_text", "protocol", "doc_date").distinct()
+    families = table(spark, d, "doc_families").withColumn("ord", F.col("family_key"))
+    return catalog.rank_versions(catalog.match_families(rows, families, "cand_id"), ["cand_id"]).select("cand_id", "family", "version", "versions")
+
+
+@query("""with m as (select doc_id, title, max(registered_at) as at from document_meta group by 1, 2), s as (select doc_id, title, 'scraped' as origin from m where doc_id like 'r%')
+select doc_id, title, origin, 0 as part from s union all select doc_id, title, 'existing', 1 from m where doc_id not in (select doc_id from s)""")
+def w9_manifest(spark, d):
+    m = table(spark, d, "document_meta").groupBy("doc_id", "title").agg(F.max("registered_at").alias("seq"))
+    scraped = m.filter(F.col("doc_id").startswith("r")).withColumn("origin", F.lit("scraped"))
+    return catalog.merge_manifest(scraped, m.withColumn("origin", F.lit("existing"))).select("doc_id", "title", "origin", "part")
+
+
+@query("""with n as (select distinct doc_id, upper(doc_title) as doc_title from chunks where doc_type = 'rules')
+select distinct chunk_id, doc_id, doc_title from chunks where doc_id not in (select doc_id from n where doc_id is not null) union all select doc_id || '#new', doc_id, doc_title from n""")
+def w4_replace_documents(spark, d):
+    c = table(spark, d, "chunks").select("chunk_id", "doc_id", "doc_title", "doc_type")
+    new = c.filter("doc_type = 'rules'").select("doc_id", F.upper("doc_title").alias("doc_title")).distinct()
+    new = new.select(F.concat("doc_id", F.lit("#new")).alias("chunk_id"), "doc_id", "doc_title")
+    return store.replaced(c.drop("doc_type").distinct(), new, "doc_id")
+
+
+@query("select count(distinct doc_id) as documents, count(*) as chunks from chunks")
+def g6_index_summary(spark, d):
+    return store.index_summary(table(spark, d, "chunks"))
+
+
+@query("""with m as (select distinct doc_id, title, doc_type, n_pages, effective_date, summary from document_meta), l as (select *, case doc_type when 'rules' then 'Правила' when 'tariff' then 'Тарифы' when 'charter' then 'Устав' when 'regulation' then 'Регламент' else doc_type end as label from m)
+select doc_id, '• ' || title || ' — ' || concat_ws(', ', label, case when n_pages > 0 then n_pages || ' стр.' end, 'ред. ' || strftime(effective_date, '%d.%m.%Y')) as line,
+  '• ' || title || ' (' || label || case when n_pages > 0 then ', ' || n_pages || ' стр.' else '' end || ')' || coalesce(' — ' || nullif(summary, ''), '') as about from l""")
+def g7_corpus_lines(spark, d):
+    m = table(spark, d, "document_meta").select("doc_id", "title", "doc_type", "n_pages", "effective_date", "summary").distinct()
+    lines = answering.corpus_listing(m).select("doc_id", "title", "line")
+    return lines.join(answering.corpus_summaries(m).select("doc_id", F.col("line").alias("about")), "doc_id").select("doc_id", "line", "about")
+
+
+@query("""with l as (select user_id, event_type, arg_max(value, ts) as v from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as n from events) where n = 1 group by 1, 2)
+select cast(user_id as varchar) as doc_id, round(sum(case event_type when 'click' then 0.25 when 'view' then 0.25 when 'purchase' then 0.5 else 0 end * 1.0)::double, 6) as progress from l group by 1""")
+def g14_progress(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("doc_id"), F.col("event_type").alias("stage"), F.lit("done").alias("status"), F.lit(1).alias("done"), F.lit(1).alias("total"), "ts")
+    return history.progress(e, {"click": 0.25, "view": 0.25, "purchase": 0.5})
+
+
+@query(r"""with a as (select distinct answer_id as question_id, question, answer from answers where answer is not null),
+p as (select question_id, list_filter(list_transform(string_split(regexp_replace(answer, '\n{2,}', chr(1), 'g'), chr(1)), lambda x: trim(x, {WS})), lambda x: x <> '') as ps from a)
+select question_id, count(*) as blocks, sum(case when kind = 'paragraph' then 1 else 0 end) as paragraphs from (
+  select question_id, 'title' as kind from a union all select question_id, 'subject' from a union all select question_id, 'disclaimer' from a union all select question_id, 'paragraph' from (select question_id, unnest(ps) from p)) group by 1""")
+def w14_report_blocks(spark, d):
+    rows = table(spark, d, "answers").filter(F.col("answer").isNotNull()).select(F.col("answer_id").alias("question_id"), "question", "answer").distinct()
+    none = spark.createDataFrame([], "question_id long, ord int, marker string, doc_title string, clause string, page int, snippet string")
+    blocks = reporting.report_blocks(rows, none, "Справка")
+    return blocks.groupBy("question_id").agg(F.count("*").alias("blocks"), F.count_if(F.col("kind") == "paragraph").alias("paragraphs"))
+
+
+@query()
+def w15_slides(spark, d):
+    rows = table(spark, d, "answers").filter(F.col("answer").isNotNull()).select(F.col("answer_id").alias("question_id"), "answer").distinct()
+    return reporting.valid_slides(reporting.fallback_slides(rows).withColumn("rows", F.lit(None).cast("array<array<string>>")))
+
+
+@query("""with c as (select distinct answer_id, citations from answers where len(citations) > 0), x as (select answer_id as question_id, unnest(citations) as c, generate_subscripts(citations, 1) - 1 as ord from c)
+select question_id, cast(ord // 2 as bigint) as page_no, list(concat_ws(' ', c.marker, c.doc_id) order by ord) as items from x group by 1, 2""")
+def a19_source_slides(spark, d):
+    rows = table(spark, d, "answers").filter(F.size("citations") > 0).select(F.col("answer_id").alias("question_id"), "citations").distinct()
+    cited = rows.select("question_id", F.posexplode("citations").alias("ord", "c")).select("question_id", "ord", "c.marker", F.col("c.doc_id").alias("doc_title"))
+    return reporting.source_slides(cited, 2)
+
+
+@query("""select p.doc_id, any_value(m.title) as title, any_value(n.nodes) as nodes, any_value(len(p.page_texts)) as pages, any_value(p.parser) as parser, any_value(len(coalesce(p.warnings, []))) as warnings
+from (select distinct doc_id, title from document_meta) m join (select distinct doc_id, page_texts, parser, warnings from parsed_documents) p using (doc_id)
+left join (select doc_id, count(*) as nodes from (select distinct node_id, doc_id from section_nodes) group by 1) n using (doc_id) group by 1""")
+def w7_parse_summary(spark, d):
+    meta = table(spark, d, "document_meta").select("doc_id", "title").distinct()
+    parsed = table(spark, d, "parsed_documents").dropDuplicates(["doc_id"])
+    nodes = table(spark, d, "section_nodes").select("node_id", "doc_id").distinct()
+    n = nodes.groupBy("doc_id").agg(F.count("*").alias("nodes_or_null"))
+    rows = store.parse_summary(meta.join(parsed.select("doc_id"), "doc_id", "left_semi"), nodes, parsed)
+    return rows.drop("nodes").join(n, "doc_id", "left").select("doc_id", "title", F.col("nodes_or_null").alias("nodes"), F.col("pages").cast("long").alias("pages"), "parser", F.col("warnings").cast("long").alias("warnings"))
