@@ -70,8 +70,8 @@ def prompts(questions: DataFrame, contexts: DataFrame, config: Config = DEFAULT)
 
 def extractive_answers(contexts: DataFrame, sentences: int = 3) -> DataFrame:
     """(question_id, answer): the default writer: the first sentence of each of the best contexts with its marker."""
-    body = F.coalesce(F.nullif("parent_text", F.lit("")), F.col("text"))
-    lead = F.get(F.split(F.regexp_replace(body, r"(?U)^[^:]{0,40}:\s+", ""), r"(?U)(?<=[.!?])\s+", 2), F.lit(0))
+    body = F.regexp_replace("text", r"(?U)^(?:[^:]*▸)?[^:▸]*:\s+", "")  # without the header
+    lead = F.get(F.split(body, r"(?U)(?<=[.!?])\s+(?=\p{Lu})", 2), F.lit(0))
     part = F.concat(lead, F.lit(" ["), (F.col("position") + 1).cast("string"), F.lit("]"))
     rows = contexts.filter(F.col("position") < sentences)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", part.alias("x")))), lambda p: p["x"]), " ")

@@ -11,10 +11,10 @@ from tessera.operators.search import terms
 
 
 def overlap_logit(question: Column, passage: Column) -> Column:
-    """The default reranker: 0 where half of the question's terms stand in the passage, below -4 where almost none."""
+    """The default reranker: 0 where half of the question's terms stand in the passage, -10 where none does."""
     asked = F.array_distinct(terms(question))
     shared = F.size(F.array_intersect(asked, terms(passage)))
-    return F.log((shared + 0.5) / (F.size(asked) - shared + 0.5))
+    return F.when(shared == 0, -10.0).otherwise(F.log((shared + 0.5) / (F.size(asked) - shared + 0.5)))
 
 
 def select_contexts(ranked: DataFrame, config: Config = DEFAULT) -> DataFrame:

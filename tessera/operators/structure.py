@@ -108,12 +108,12 @@ def parse_structure(pages: DataFrame, config: Config = DEFAULT) -> DataFrame:
         F.min("page_no").alias("page_start"), F.max("page_no").alias("page_end"),
         trimmed(F.array_join(F.transform(texts, lambda t: t["x"]), " ")).alias("text"),
     )
-    tree = parents(nodes.filter(F.col("clause_no") > 0))
+    tree = nodes.filter(F.col("clause_no") > 0)
     # The preamble stands first but was numbered last; it keeps its first page only.
     total = nodes.groupBy("doc_id").agg(F.max("clause_no").alias("n"))
     preamble = nodes.filter((F.col("clause_no") == 0) & (F.length("text") >= config.min_preamble_chars)).join(total, "doc_id")
-    preamble = preamble.select("doc_id", F.lit(0).cast("long").alias("clause_no"), F.lit(None).cast("string").alias("number"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("appendix"), "page_start", F.col("page_start").alias("page_end"), "text", F.lit(None).cast("long").alias("parent_no"), (F.col("n") + 1).alias("id_no"))
-    tree = tree.select("doc_id", "clause_no", "number", "level", "appendix", "page_start", "page_end", "text", "parent_no", F.col("clause_no").alias("id_no"))
+    preamble = preamble.select("doc_id", F.lit(0).cast("long").alias("clause_no"), F.lit(None).cast("string").alias("number"), F.lit(0).alias("level"), F.lit(0).cast("long").alias("appendix"), "page_start", F.col("page_start").alias("page_end"), "text", (F.col("n") + 1).alias("id_no"))
+    tree = tree.select("doc_id", "clause_no", "number", "level", "appendix", "page_start", "page_end", "text", F.col("clause_no").alias("id_no"))
     rows = tree.unionByName(preamble)
     first = F.get(F.split("text", r"(?U)(?<=[.;])\s", 2), F.lit(0))
     title = F.when((F.col("text") != "") & looks_like_title(first), trimmed(first))
@@ -121,16 +121,24 @@ def parse_structure(pages: DataFrame, config: Config = DEFAULT) -> DataFrame:
     rows = rows.withColumn("node_id", F.concat("doc_id", F.lit("#"), F.col("id_no").cast("string"), F.lit(":"), F.coalesce("number", F.lit("preamble"))))
     numbered = F.concat(F.when(F.col("level") >= 1, "п. ").otherwise("Раздел "), "number", F.coalesce(F.concat(F.lit(". "), "title"), F.lit("")))
     rows = rows.withColumn("label", F.coalesce(numbered, "title"))
-    # The labels of all ancestors: a node's parent is the last clause of its level, so levels are looked up in turn.
-    up = rows.select(F.col("doc_id").alias("p_doc"), F.col("clause_no").alias("p_no"), F.col("node_id").alias("p_id"), F.col("label").alias("p_label"), F.col("parent_no").alias("p_parent"))
-    path = rows.withColumns({"path": F.array("label"), "next": F.col("parent_no"), "parent_id": F.lit(None).cast("string")})
-    for k in range(LEVELS - 1):
-        path = path.join(up, (F.col("doc_id") == F.col("p_doc")) & (F.col("next") == F.col("p_no")), "left")
-        known = F.col("p_no").isNotNull()
-        path = path.withColumn("path", F.when(known, F.concat(F.array("p_label"), "path")).otherwise(F.col("path")))
-        if not k:
-            path = path.withColumn("parent_id", F.col("p_id"))
-        path = path.withColumn("next", F.col("p_parent")).drop("p_doc", "p_no", "p_id", "p_label", "p_parent")
+    # A clause of the level above is still open if nothing of a lower level came after it; the same holds for its own
+    # parent, so all ancestors can be read off the last clauses of each level before a node, without a join.
+    before = W.partitionBy("doc_id").orderBy("clause_no").rowsBetween(W.unboundedPreceding, -1)
+    facts = F.struct(F.col("clause_no").alias("no"), "label", "node_id")
+    rows = rows.withColumns({f"a{k}": F.last(F.when((F.col("level") == k) & F.col("number").isNotNull(), facts), ignorenulls=True).over(before) for k in range(LEVELS - 1)})
+    rows = rows.withColumn("opened", F.min("clause_no").over(W.partitionBy("doc_id", "appendix")))
+    no = lambda k: F.coalesce(F.col(f"a{k}.no"), F.lit(0))
+    open_ = [(no(k) >= F.col("opened")) & (no(k) > F.greatest(F.lit(0), F.lit(0), *[no(i) for i in range(k)])) for k in range(LEVELS - 1)]
+    path, parent_id = F.array("label"), F.lit(None).cast("string")
+    for level in range(1, LEVELS):
+        chain, alive = [F.col("label")], F.lit(True)
+        for k in range(level - 1, -1, -1):
+            alive = alive & open_[k]
+            chain.insert(0, F.when(alive, F.col(f"a{k}.label")))
+        own = F.col("level") == level
+        path = F.when(own, F.filter(F.array(*chain), lambda x: x.isNotNull())).otherwise(path)
+        parent_id = F.when(own, F.when(open_[level - 1], F.col(f"a{level - 1}.node_id"))).otherwise(parent_id)
+    path = rows.withColumns({"path": path, "parent_id": parent_id})
     prefix = F.when(F.col("appendix") > 0, F.array(F.concat(F.lit("Приложение № "), F.col("appendix").cast("string")))).otherwise(F.array().cast("array<string>"))
     return path.select(
         "node_id", "doc_id", F.col("level").cast("int").alias("level"), "number", "title", "text", "page_start", "page_end", "parent_id",

@@ -1,10 +1,8 @@
-"""Explicit schemas of the engine's tables; nothing is inferred."""
+"""Explicit schemas of the engine's tables, as DDL; nothing is inferred."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-_DDL = {
+SCHEMAS: dict[str, str] = {
     "document_meta": "doc_id string, title string, doc_type string, source_url string, file_name string, sha256 string, n_pages int, summary string, reg_date date, publish_date date, effective_date date, version_note string",
     "section_nodes": "node_id string, doc_id string, level int, number string, title string, text string, page_start int, page_end int, parent_id string, path_titles array<string>",
     "pages": "doc_id string, page_no int, text string, ocr boolean, warning string",
@@ -20,5 +18,3 @@ _DDL = {
     "progress": "ts timestamp, doc_id string, stage string, status string, done int, total int",
     "answer_events": "question_id bigint, seq int, type string, payload string",
 }
-
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}

@@ -6,13 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tessera.schemas import SCHEMAS
 
-PARSED = StructType.fromDDL(
-    f"meta struct<{', '.join(f'{f.name}: {f.dataType.simpleString()}' for f in SCHEMAS['document_meta'].fields)}>, "
-    f"full_text string, nodes array<struct<{', '.join(f'{f.name}: {f.dataType.simpleString()}' for f in SCHEMAS['section_nodes'].fields)}>>, "
+_FIELDS = {name: ", ".join(f.strip().replace(" ", ": ", 1) for f in SCHEMAS[name].split(",")) for name in ("document_meta", "section_nodes")}
+PARSED = (
+    f"meta struct<{_FIELDS['document_meta']}>, full_text string, nodes array<struct<{_FIELDS['section_nodes']}>>, "
     "page_texts array<string>, parser string, warnings array<string>, _corrupt string"
 )
 
@@ -37,7 +36,7 @@ def manifest(spark: SparkSession, path: str, only: list[str] | None = None) -> D
 
 def golden(spark: SparkSession, path: str) -> DataFrame:
     """(question_id, q, doc, type, clause) of a JSON object with a list of questions."""
-    schema = StructType.fromDDL("questions array<struct<q: string, doc: string, type: string, clause: string>>")
+    schema = "questions array<struct<q: string, doc: string, type: string, clause: string>>"
     rows = spark.read.schema(schema).option("multiLine", True).json(path)
     return rows.select(F.posexplode("questions").alias("question_id", "x")).select(F.col("question_id").cast("long").alias("question_id"), "x.*")
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
 from tessera.config import DEFAULT, Config
 from tessera.operators.chunking import chunk_documents
@@ -14,7 +13,7 @@ from tessera.operators.history import progress
 from tessera.operators.store import Store
 from tessera.operators.structure import parse_structure
 
-LANDED = StructType.fromDDL("doc_id string, title string, doc_type string, source_url string, effective_date date, page_texts array<string>")
+LANDED = "doc_id string, title string, doc_type string, source_url string, effective_date date, page_texts array<string>"
 
 
 def ingest_batch(store: Store, landed: DataFrame, config: Config = DEFAULT) -> dict:
