@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.frequent import most_frequent
+
 #: Encodings that texts are wrongly read as, and encodings that they were written in.
 READ_AS = ("cp1252", "cp1251", "cp866", "koi8-r", "mac-cyrillic", "mac-roman", "cp850", "cp437", "iso8859-5")
 WRITTEN_IN = ("utf-8", "cp1251", "koi8-r", "cp866", "mac-cyrillic", "iso8859-5", "cp1252", "mac-roman", "cp850")
@@ -26,7 +28,8 @@ WRITTEN_IN = ("utf-8", "cp1251", "koi8-r", "cp866", "mac-cyrillic", "iso8859-5",
 class GarbleParams:
     alphabet: int = 1024  # characters with counts of their own; the rest share 64 classes by code point
     low_share: float = 0.1  # share of the corpus's pairs that count as improbable
-    run_score: float = 6.0  # least score of an improbable run
+    run_score: float = 6.0  # least score of an improbable run, and of one that mappings to one-byte encodings are tried on
+    byte_run_score: float = 7.5
     utf8_gain: float = 4.0  # least gain of an accepted mapping to UTF-8, and to a one-byte encoding
     byte_gain: float = 18.0
     passes: int = 4  # texts garbled repeatedly, or in several stretches, are undone so many times
@@ -56,7 +59,7 @@ def _joined(texts) -> str:
     return "\x00" + "\x00".join(t for t in texts if t) + "\x00"
 
 
-def _chunks(b: pa.RecordBatch, at: int, chars: int = 2_000_000):
+def _chunks(b: pa.RecordBatch, at: int, chars: int = 300_000):
     held, size = [], 0
     for i, t in enumerate(b.column(at).to_pylist()):
         if t:
@@ -123,7 +126,7 @@ def pair_scores(df: DataFrame, text_col: str, params: GarbleParams = GarbleParam
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["key", "n"])
 
     counts = rows.mapInArrow(characters, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    found = {r.key for r in counts.orderBy(F.desc("n"), "key").limit(params.alphabet // 2).collect()}
+    found = {r.key for r in most_frequent(counts, "n", params.alphabet // 2)}
     alphabet = sorted(found | {int(_LOWER[c]) for c in found})
     empty = PairScores(alphabet, {}, params)
 
@@ -258,8 +261,8 @@ class Repairer:
         self.is_space = np.zeros(0x110000, bool)
         self.is_space[[0, 9, 10, 13, 32]] = True
 
-    def runs(self, whole: str) -> list[tuple[int, int]]:
-        """The improbable runs of texts joined by NUL, widened by a token on each side."""
+    def runs(self, whole: str) -> list[tuple[int, int, float]]:
+        """The improbable runs of texts joined by NUL, widened by a token on each side, with their scores."""
         raw = _raw(whole)
         gain = -self.scores.of(raw)
         border = raw == _SEP
@@ -269,28 +272,29 @@ class Repairer:
         best = total - np.minimum(np.minimum.accumulate(total), 0)
         cuts = np.concatenate([[0], np.flatnonzero(best <= 0), [len(best)]])
         cuts = cuts[np.concatenate([[True], np.diff(cuts) > 0])]
-        high = np.maximum.reduceat(best, cuts[:-1]) >= self.params.run_score if len(cuts) > 1 else []
-        found = []
-        for k in np.flatnonzero(high).tolist():
-            lo, hi = int(cuts[k]), int(cuts[k + 1])
-            found += [(lo + s, lo + e + 1) for s, e, v in maximal_segments(gain[lo:hi]) if v >= self.params.run_score]
+        if len(cuts) < 2:
+            return []
+        high = np.maximum.reduceat(best, cuts[:-1]) >= self.params.run_score
+        gain[cuts[:-1]] = np.where(gain[cuts[:-1]] > 0, gain[cuts[:-1]], -1e7)  # an excursion starts with what no segment holds
+        at = np.flatnonzero(np.repeat(high, np.diff(cuts)))
+        found = [(int(at[s]), int(at[e - 1]) + 2, v) for s, e, v in maximal_segments(gain[at]) if v >= self.params.run_score]
         if not found:
             return []
         space, ends = np.flatnonzero(self.is_space[raw]), np.flatnonzero(border)
-        s, e = (np.array(x) for x in zip(*found))
+        s, e, score = (np.array(x) for x in zip(*found))
         text = np.searchsorted(ends, s, side="right") - 1  # of the text
         lo = space[np.maximum(np.searchsorted(space, s, side="right") - 2, 0)]
         hi = space[np.minimum(np.searchsorted(space, e - 1) + 1, len(space) - 1)]
         lo, hi = np.maximum(lo, ends[text]) + 1, np.minimum(hi, ends[text + 1])
-        out: list[list[int]] = []
-        for a, b in zip(lo.tolist(), hi.tolist()):
+        out: list[list] = []
+        for a, b, v in zip(lo.tolist(), hi.tolist(), score.tolist()):
             if out and a <= out[-1][1] + 1 and whole.find("\x00", out[-1][1], a) < 0:
-                out[-1][1] = max(b, out[-1][1])
+                out[-1][1:] = max(b, out[-1][1]), max(v, out[-1][2])
             elif b > a:
-                out.append([a, b])
-        return [(a, b) for a, b in out if not whole[a:b].isascii()]
+                out.append([a, b, v])
+        return [(a, b, v) for a, b, v in out if not whole[a:b].isascii()]
 
-    def best(self, runs: list[str], only: tuple[str, str] | None = None) -> list[tuple[float, tuple[str, str], np.ndarray] | None]:
+    def best(self, runs: list[str], only: tuple[str, str] | None = None, to: tuple[str, ...] | None = None) -> list[tuple[float, tuple[str, str], np.ndarray] | None]:
         """For every run its best mapping: (gain, mapping, gain of each token)."""
         raw = _raw(_joined(runs))
         at = ~self.is_space[raw]
@@ -299,27 +303,33 @@ class Repairer:
         own = self.scores.of(raw)
         run = np.searchsorted(np.flatnonzero(raw == _SEP), starts, side="right") - 1
         first = np.searchsorted(run, np.arange(len(runs) + 1))
-        cuts = np.stack([starts - 1, ends], 1).ravel()  # the pairs of a token, those with its neighbours included
+        cuts = np.stack([starts, ends], 1).ravel()
+
+        def chars(x: np.ndarray) -> np.ndarray:
+            """How many of a token's characters are marked."""
+            return np.add.reduceat(x.view(np.int8), cuts, dtype=np.int32)[::2]
 
-        def per_token(x: np.ndarray) -> np.ndarray:
-            total = np.concatenate([[0], np.cumsum(x, dtype=np.float64)])
-            return total[np.minimum(cuts[1::2], len(x))] - total[cuts[::2]]
+        def pair_sum(x: np.ndarray) -> np.ndarray:
+            """The sum over a token's pairs, those with its neighbours included."""
+            return np.add.reduceat(np.append(x, np.float32(0)), np.stack([starts - 1, ends], 1).ravel(), dtype=np.float64)[::2]
 
-        before = per_token(own)
-        mixed = self._mixed(raw, per_token)
+        if not len(starts):
+            return [None] * len(runs)
+        before = pair_sum(own)
+        mixed = self._mixed(raw, chars)
         best: list = [None] * len(runs)
         for read_as in self.params.read_as if only is None else only[:1]:
             data = self.maps.bytes_of(raw, read_as)
-            lacking = per_token(np.append((data < 0)[1:], False)) > 0
+            lacking = chars(data < 0) > 0
             if lacking.all():
                 continue
-            for written_in in self.params.written_in if only is None else only[1:]:
+            for written_in in (to or self.params.written_in) if only is None else only[1:]:
                 if written_in == read_as:
                     continue
                 if written_in == "utf-8":
                     lead, bad = _sequences(data)
-                    count = per_token(np.append(lead[1:], False))
-                    gain = np.where(per_token(np.append(bad[1:], False)) > 0, -4.0, 4 * count)
+                    count = chars(lead)
+                    gain = np.where(chars(bad) > 0, -4.0, 4.0 * count)
                     least = self.params.utf8_gain
                     for t in np.flatnonzero(gain > 0):
                         u = self.maps.undo(raw[starts[t] : ends[t]].astype("<u4").tobytes().decode("utf-32-le"), read_as, written_in)
@@ -327,11 +337,11 @@ class Repairer:
                             gain[t] = -4.0
                 else:
                     new = self.maps.characters(data, written_in)
-                    changed = per_token(np.append((new != raw)[1:], False)) > 0
-                    letters = per_token(np.append(self._letter(new)[1:], False))
-                    gain = per_token(self.scores.of(new)) - before
+                    changed = chars(new != raw) > 0
+                    letters = chars(self._letter(new))
+                    gain = pair_sum(self.scores.of(new)) - before
                     if mixed.any():  # a word of two scripts that comes out in one
-                        gain = gain + 8 * (mixed & changed & ~self._mixed(new, per_token))
+                        gain = gain + 8 * (mixed & changed & ~self._mixed(new, chars))
                     short = np.clip(gain, -4, 3)  # a short word goes along with its neighbours, but proves little
                     gain = np.where(lacking, -4.0, np.where(changed, np.where(letters >= 3, gain, short), 0.0))
                     least = self.params.byte_gain
@@ -347,14 +357,14 @@ class Repairer:
     def _known(self, text: str) -> bool:
         """Whether all characters occur in the corpus or are letters and marks of common scripts."""
         x = _raw(text)
-        usual = (x < 0x600) & ((x < 0x80) | (x >= 0xA0)) | (x >= 0x2000) & (x < 0x2150) & (x != 0xFFFD)
+        usual = (x < 0x80) | (x >= 0xA0) & (x < 0x180) | (x >= 0x370) & (x < 0x530) | (x >= 0x2010) & (x < 0x2045) | (x >= 0x20A0) & (x < 0x20D0) | (x == 0x2116) | (x == 0x2122)
         return bool((usual | (self.scores.ids(x) < len(self.scores.alphabet))).all())
 
     @staticmethod
-    def _mixed(x: np.ndarray, per_token) -> np.ndarray:
+    def _mixed(x: np.ndarray, chars) -> np.ndarray:
         """Which tokens have letters of both the Latin and the Cyrillic script."""
         latin, letter = (x < 0x250) & (_KINDS[x] > 0), (x >= 0x400) & (x < 0x530)
-        return (per_token(np.append(latin[1:], False)) > 0) & (per_token(np.append(letter[1:], False)) > 0)
+        return (chars(latin) > 0) & (chars(letter) > 0)
 
     @staticmethod
     def _letter(x: np.ndarray) -> np.ndarray:
@@ -376,9 +386,15 @@ class Repairer:
         """Undoes what it finds in the given texts; gives the mappings used in each text that changed."""
         whole = "\x00" + "\x00".join(now[i] for i in which) + "\x00"
         starts = np.cumsum([1, *(len(now[i]) + 1 for i in which)])
-        runs = self.runs(whole) if only is None else [(int(a), int(b) - 1) for a, b in zip(starts[:-1], starts[1:])]
+        if only is None:
+            found = self.runs(whole)
+            strong, weak = ([(a, b) for a, b, v in found if (v >= self.params.byte_run_score) == high] for high in (True, False))
+        else:
+            strong, weak = [(int(a), int(b) - 1) for a, b in zip(starts[:-1], starts[1:])], []
         own: dict[int, list] = {}
-        for (a, b), fix in zip(runs, self.best([whole[a:b] for a, b in runs], only) if runs else []):
+        fixes = self.best([whole[a:b] for a, b in strong], only) if strong else []
+        fixes += self.best([whole[a:b] for a, b in weak], to=tuple(w for w in self.params.written_in if w == "utf-8")) if weak else []
+        for (a, b), fix in sorted(zip(strong + weak, fixes), key=lambda x: x[0]):
             if fix is not None:
                 k = int(np.searchsorted(starts, a, side="right")) - 1
                 own.setdefault(which[k], []).append((a - int(starts[k]), b - int(starts[k]), fix))
@@ -431,7 +447,7 @@ def restore(df: DataFrame, id_col: str, text_col: str, scores: PairScores | None
     def run(batches):
         repairer = Repairer(held.value, params)
         for b in batches:
-            for part in _chunks(b, 1):
+            for part in _chunks(b, 1, 1_000_000):
                 fixed = [(i, t) for (i, _), t in zip(part, repairer.repair([t for _, t in part])) if t is not None]
                 row, texts = [i for i, _ in fixed], [t for _, t in fixed]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(texts, pa.string())], names=[id_col, "text"])
