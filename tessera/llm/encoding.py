@@ -22,6 +22,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.frequent import most_frequent
 from tessera.llm.lexicon import Lexicon, write
 from tessera.runtime import shared_dir
 
@@ -84,7 +85,7 @@ def word_counts(df: DataFrame, text_col: str, params: BpeParams = BpeParams()) -
 
 def build_lexicon(df: DataFrame, text_col: str, params: BpeParams = BpeParams()) -> str:
     """Compiles the most frequent words; gives the name of the application file with the lexicon."""
-    top = word_counts(df, text_col, params).orderBy(F.desc("n"), "word").limit(params.words).collect()
+    top = most_frequent(word_counts(df, text_col, params), "n", params.words)
     merger = Merger(params.ranks)
     fd, local = tempfile.mkstemp()  # a transit place on the driver; the file itself goes to the shared folder
     os.close(fd)
