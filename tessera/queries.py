@@ -158,7 +158,7 @@ def g1_repeated_lines(spark, d):
 @query(_LINES + r""", edges as (select *, trim(line, {WS}) as s, min(case when trim(line, {WS}) <> '' then line_no end) over (partition by doc_id, page_no) as lo,
   max(case when trim(line, {WS}) <> '' then line_no end) over (partition by doc_id, page_no) as hi from lines)
 select doc_id, page_no, line_no, e.line from edges e where not (regexp_full_match(s, '\d{1,4}') and (line_no = lo or line_no = hi)) and not exists (select 1 from rep r where r.doc_id = e.doc_id and r.line = e.s)""")
-def p4_strip_running_lines(spark, d):
+def pred_p4_running_lines(spark, d):
     lines = _lines(spark, d)
     out = cleaning.strip_running_lines(lines, cleaning.repeated_lines(lines))
     return out.select("doc_id", F.col("page_no").cast("long").alias("page_no"), F.col("line_no").cast("long").alias("line_no"), "line")
@@ -187,7 +187,7 @@ clauses as (select doc_id, seq, number, len(string_split(number, '.')) - 1 as le
 
 
 @query(_CLAUSES + " select doc_id, cast(seq as int) as seq, number, cast(level as int) as level, clause_no from clauses")
-def p8_clause_lines(spark, d):
+def pred_p8_clause_lines(spark, d):
     return _numbered(spark, d).select("doc_id", "seq", "number", "level", "clause_no")
 
 
@@ -310,7 +310,7 @@ def a10_fusion(spark, d):
 
 
 @query("""select chunk_id, doc_id, doc_type from (select distinct chunk_id, doc_id, doc_type from chunks) where doc_type in ('rules', 'tariff')""")
-def p3_facets(spark, d):
+def pred_p3_facets(spark, d):
     return search.facets(table(spark, d, "chunks"), doc_types=["rules", "tariff"]).select("chunk_id", "doc_id", "doc_type").distinct()
 
 
@@ -321,7 +321,7 @@ _LOC = answering.Locale()
 @query(f"""select distinct answer_id, case when q is null then 'retrieve' when regexp_matches(q, '{_STEMS(_LOC.topics)}') and regexp_matches(q, '{_STEMS(_LOC.topic_things)}') then 'about'
   when regexp_matches(q, '{_STEMS(_LOC.lists)}') or (regexp_matches(q, '{_STEMS(_LOC.things)}') and regexp_matches(q, '{_STEMS(_LOC.places)}')) or regexp_matches(q, '{_STEMS(_LOC.abilities)}') then 'meta'
   else 'retrieve' end as route from (select answer_id, ' ' || replace(lower(question), 'ё', 'е') || ' ' as q from answers)""")
-def p11_routes(spark, d):
+def pred_p11_routes(spark, d):
     return table(spark, d, "answers").select("answer_id", answering.route(F.col("question")).alias("route")).distinct()
 
 
