@@ -22,3 +22,13 @@ def most_frequent(counts: DataFrame, count_col: str, limit: int) -> list[Row]:
             break
         least = r["bar"]
     return counts.filter(bar >= least).collect() if least is not None else []
+
+
+def hash_sample(df: DataFrame, id_col: str, rows: int, total: int, seed: int = 0) -> DataFrame:
+    """At most `rows` of the `total` rows of df, chosen by a hash of their ids; all of them if there are no more.
+
+    Chosen by a threshold and not by a sort, so that no task passes on more than its share."""
+    if total <= rows:
+        return df
+    share = int(0.95 * rows / total * 2**40)  # a little less, so that the limit has to cut next to nothing
+    return df.filter(F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(2**40)) < share).limit(rows)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.frequent import hash_sample, most_frequent
+
 #: Answers that stand for no answer.
 PLACEHOLDERS = ("n/a", "na", "none", "null", "nil", "nan", "undefined", "todo", "tbd", "пусто", "нет ответа", "leer", "empty", "vide")
 
@@ -104,10 +106,10 @@ def words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 
 
-def end_grams(answer: str, n: int) -> tuple[str, str] | None:
-    """The last n and last 2 characters of an answer without markers, digits as one, in lower case."""
+def end_grams(answer: str, n: int) -> tuple[str, str, str] | None:
+    """The last n, the last 2 and the last character of an answer without markers, digits as one, in lower case."""
     x = re.sub(r"\d", "0", _MARKER.sub("", answer).rstrip().lower())
-    return (x[-n:], x[-2:]) if len(x) >= n else None
+    return (x[-n:], x[-2:], x[-1:]) if len(x) >= n else None
 
 
 def short_form(answer: str, most: int) -> str | None:
@@ -136,12 +138,13 @@ def end_counts(df: DataFrame, answer_col: str, params: PairParams) -> dict[str,
                     x = re.sub(r"\d", "0", _MARKER.sub("", a).rstrip().lower())
                     all_.update(x[i : i + n] for i in range(len(x) - n + 1))
                     all_.update(x[i : i + 2] for i in range(len(x) - 1))
+                    all_.update(x)
         keys = list(all_)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([ends[k] for k in keys], pa.int64()), pa.array([all_[k] for k in keys], pa.int64())], names=["gram", "ends", "n"])
 
     rows = df.select(F.col(answer_col).alias("answer")).filter(F.length("answer") > 0)
     table = rows.mapInArrow(run, "gram string, ends long, n long").groupBy("gram").agg(F.sum("ends").alias("ends"), F.sum("n").alias("n")).filter(F.col("ends") > 1)
-    top = table.orderBy(F.desc("ends"), "gram").limit(100_000).collect()  # grams that end texts rarely are judged by their last two characters
+    top = most_frequent(table, "ends", 100_000)  # grams that end texts rarely are judged by their last two characters
     return {r.gram: (r.ends, r.n) for r in top}
 
 
@@ -203,10 +206,11 @@ class Judge:
         e = end_grams(answer, self.params.end_gram)
         if e is None:
             return not final.isalnum() and final not in ".!?»)%"
-        two, all_two = self.ends.get(e[1], (0, 0))
-        back = max(0, two - 1) / max(1, all_two - 1)
-        k, n = self.ends.get(e[0], (1, 1))
-        return (max(0, k - 1) + 4 * back) / (max(0, n - 1) + 4) < self.params.end_share
+        share = 0.0
+        for gram in reversed(e):  # the answer itself does not count; what is rare leans on the shorter gram
+            k, n = self.ends.get(gram, (1, 1))
+            share = (max(0, k - 1) + 4 * share) / (max(0, n - 1) + 4)
+        return share < self.params.end_share
 
 
 _NOTHING = frozenset(" ".join(words(p)) for p in PLACEHOLDERS)
@@ -222,8 +226,8 @@ def languages(documents: DataFrame, id_col: str, text_col: str, lang_col: str, p
     """Fitted on at most fit_rows whole texts, drawn by a hash of their ids from all labelled documents."""
     rows = documents.select(F.col(id_col).alias("id"), label(F.col(lang_col)).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}{3}"))
-    chosen = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(params.fit_rows)
-    return Languages([(r.lang, r.text) for r in rows.join(F.broadcast(chosen), "id", "left_semi").select("lang", "text").collect()], params.grams)
+    chosen = hash_sample(rows, "id", params.fit_rows, rows.count()).select("lang", "text")
+    return Languages([(r.lang, r.text) for r in chosen.collect()], params.grams)
 
 
 def defective(df: DataFrame, id_col: str, question_col: str, answer_col: str, model: Languages, params: PairParams = PairParams()) -> DataFrame:
