@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.frequent import most_frequent
+
 #: What a letter may be misread as. Latin letters, digits and signs for Cyrillic letters; Cyrillic
 #: letters, digits and signs for Latin ones; letters for digits.
 CYRILLIC_AS = {
@@ -84,12 +86,14 @@ def skeleton(line: str) -> str:
         core = token.strip(_STRIP + "-|·№#")
         if not core or core.isdigit() or _ROMAN.match(core) or re.fullmatch(r"[\d.\-/]+", core):
             continue
-        out.append("".join(_SKELETON.get(_as_letter(c), _as_letter(c)) for c in token if c.isalnum() or c in _SIGNS))
+        out.append(_UNLIKE.sub("", token).translate(_ALIKE))
     return " ".join(out)
 
 
-def _as_letter(c: str) -> str:
-    return {"0": "о", "1": "л", "3": "з", "4": "ч", "6": "б", "7": "т", "8": "в", "9": "я"}.get(c, c)
+#: Digits as the letters they look like, and all look-alikes as one character.
+_AS_LETTER = {"0": "о", "1": "л", "3": "з", "4": "ч", "6": "б", "7": "т", "8": "в", "9": "я"}
+_ALIKE = str.maketrans(_SKELETON | {d: _SKELETON.get(c, c) for d, c in _AS_LETTER.items()})
+_UNLIKE = re.compile(f"[^\\w{re.escape(_SIGNS)}]|_")
 
 
 def page_number(line: str) -> int | None:
@@ -112,6 +116,11 @@ def page_number(line: str) -> int | None:
     return numbers[0]
 
 
+def _alike(a: str, b: str, least: float) -> bool:
+    m = SequenceMatcher(None, a, b, autojunk=False)
+    return m.quick_ratio() >= least and m.ratio() >= least
+
+
 _PAGE_SKELETONS = {"".join(_SKELETON.get(c, c) for c in w) for w in PAGE_WORDS}
 
 
@@ -131,10 +140,15 @@ def furniture(pages: list[list[str]], p: ScanParams) -> dict[tuple[int, int], st
     out: dict[tuple[int, int], str] = {}
     numbers = {(k, pg, i): n for k in edges for pg, own in enumerate(edges[k]) for i in own if (n := page_number(pages[pg][i])) is not None}
     offsets = Counter((k, n - pg) for (k, pg, _), n in numbers.items())
-    interior = Counter()
-    for pg, lines in enumerate(pages):
-        at_edge = {*edges["top"][pg], *edges["bottom"][pg]}
-        interior.update(skeleton(x) for i, x in enumerate(lines) if i not in at_edge and x.strip())
+
+    def inside(key: str) -> bool:
+        """Whether the line stands between the edges of a page, too."""
+        for pg, lines in enumerate(pages):
+            at_edge = {*edges["top"][pg], *edges["bottom"][pg]}
+            if any(i not in at_edge and len(x) < 2 * len(key) + 20 and skeleton(x) == key for i, x in enumerate(lines)):
+                return True
+        return False
+
     for k, own in edges.items():
         # Running lines: what recurs on the same edge of other pages, page numbers aside.
         keys = {}
@@ -146,17 +160,18 @@ def furniture(pages: list[list[str]], p: ScanParams) -> dict[tuple[int, int], st
                 if sum(c.isalpha() for c in s) >= 5:
                     keys[pg, i] = s
         common = Counter(keys.values()).most_common(6)
+        common = [x for x in common if x[1] > 1] or common
         groups: Counter = Counter()
         member = {}
         for at, s in keys.items():
             for c, _ in common:
-                if c == s or SequenceMatcher(None, c, s, autojunk=False).ratio() >= p.alike:
+                if c == s or abs(len(c) - len(s)) <= 0.4 * len(c) and _alike(c, s, p.alike):
                     member[at] = c
                     groups[c] += 1
                     break
-        for at, c in member.items():
-            if groups[c] >= max(2, math.ceil(p.header_share * sum(any(x.strip() for x in lines) for lines in pages))) and not interior[c]:
-                out[at] = "header"
+        least = max(2, math.ceil(p.header_share * sum(any(x.strip() for x in lines) for lines in pages)))
+        running = {c for c, n in groups.items() if n >= least and not inside(c)}
+        out.update({at: "header" for at, c in member.items() if c in running})
     for (k, pg, i), n in numbers.items():
         if (pg, i) in out:
             continue
@@ -239,6 +254,16 @@ class Reader:
         self.lm, self.params = language, params
         self.miss, self.keep = math.log(params.noise / 3), math.log(1 - params.noise)
         self.memo: dict[str, list[tuple[str, float, str]]] = {}
+        self.tokens: dict[str, list[tuple[int, str, list]]] = {}
+
+    def _token(self, token: str) -> list[tuple[int, str, list]]:
+        """(offset, part, candidates) of the parts of a token."""
+        known = self.tokens.get(token)
+        if known is None:
+            if len(self.tokens) > 200_000:
+                self.tokens.clear()
+            known = self.tokens[token] = [(off, part, self.candidates(part)) for off, part in _parts(token)]
+        return known
 
     def candidates(self, part: str) -> list[tuple[str, float, str]]:
         """(reading, log probability, script) of a part, what is written first."""
@@ -248,17 +273,17 @@ class Reader:
         kinds = _classes(part)
         letters, digits = kinds.count("c") + kinds.count("l"), kinds.count("d")
         main = "c" if kinds.count("c") >= kinds.count("l") else "l"
-        odd = letters and len(set(kinds)) > 1 or main == "c" and letters == 0 and "s" in kinds
+        odd = bool(letters) and len(set(kinds)) > 1 or bool(digits) and any(c in "|!" for c in part)
         out = []
         tries = []
         if odd:
             if letters >= 2 or "s" in kinds or letters and digits == 0:
                 tries += ["c", "l"] if kinds.count("c") and kinds.count("l") else [main]
-            if digits and letters <= 2 and "s" not in kinds.replace("s", "", sum(c in ".,/:" for c in part)):
+            if digits and letters <= 2 and (not letters or "s" not in kinds.replace("s", "", sum(c in ".,/:" for c in part))):
                 tries.append("d")
-        elif main == "l" and letters and letters == len(part) and len(part) <= 3:
+        elif main == "l" and letters == len(part) and len(part) <= 4:
             tries.append("c")  # a short word all of whose letters look like Cyrillic ones
-        elif main == "c" and letters and len(part) <= 2:
+        elif main == "c" and letters == len(part) and len(part) <= 2:
             tries += ["l"]
         for own in tries:
             for word, n in _readings(part, own):
@@ -267,7 +292,8 @@ class Reader:
                 out.append((word, p + self.miss * n + self.keep * (len(part) - n), own))
         # A word of mixed kinds counts as one that was meant so only where it is common, by itself and beside its readings.
         n = self.lm.counts.get(part.lower(), 0)
-        meant = not odd or n >= self.lm.common and n >= 0.05 * max([0, *(self.lm.counts.get(w.lower(), 0) for w, _, _ in out)])
+        most = max([0, *(self.lm.counts.get(w.lower(), 0) for w, _, _ in out)])
+        meant = not odd or n >= self.lm.common and n >= 0.05 * most
         out.insert(0, (part, (self.lm.log(part.lower()) if meant else _NEVER) + self.keep * len(part), (main if letters else "d")))
         if len(self.memo) > 200_000:
             self.memo.clear()
@@ -276,10 +302,13 @@ class Reader:
 
     def line(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, reading) of the misread parts of a line, by the best path through all candidates."""
-        parts = [(m.start() + off, part) for m in _WORD.finditer(text) for off, part in _parts(m.group())]
-        choices = [self.candidates(part) for _, part in parts]
-        if all(len(c) == 1 for c in choices):
+        if all(len(c) == 1 for t in text.split() for _, _, c in self._token(t)):
             return []
+        parts, choices = [], []
+        for m in _WORD.finditer(text):
+            for off, part, own in self._token(m.group()):
+                parts.append((m.start() + off, part))
+                choices.append(own)
         stay, change = math.log(0.94), math.log(0.06)
         scores: list[list[float]] = []
         back: list[list[int]] = []
@@ -337,8 +366,8 @@ def word_counts(df: DataFrame, pages_col: str, params: ScanParams = ScanParams()
 
 
 def language(df: DataFrame, pages_col: str, params: ScanParams = ScanParams()) -> Language:
-    top = word_counts(df, pages_col, params).orderBy(F.desc("n"), "word").limit(params.vocabulary)
-    return Language({r.word: r.n for r in top.collect()}, params)
+    top = most_frequent(word_counts(df, pages_col, params), "n", params.vocabulary)
+    return Language({r.word: r.n for r in top}, params)
 
 
 def _joins(left: str, right: str, mark: str, lm: Language) -> bool:
