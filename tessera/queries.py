@@ -440,3 +440,86 @@ def w7_parse_summary(spark, d):
     n = nodes.groupBy("doc_id").agg(F.count("*").alias("nodes_or_null"))
     rows = store.parse_summary(meta.join(parsed.select("doc_id"), "doc_id", "left_semi"), nodes, parsed)
     return rows.drop("nodes").join(n, "doc_id", "left").select("doc_id", "title", F.col("nodes_or_null").alias("nodes"), F.col("pages").cast("long").alias("pages"), "parser", F.col("warnings").cast("long").alias("warnings"))
+
+
+# More tables and listings
+
+
+@query("""select distinct doc_id, title, coalesce(parser, '') like '%ocr%' as scanned, case when len(list_filter(coalesce(warnings, []), lambda w: contains(lower(w), 'docling'))) > 0 then 'docling'
+  when len(list_filter(coalesce(warnings, []), lambda w: contains(lower(w), 'ocr'))) > 0 then 'pymupdf+ocr' else 'pymupdf' end as read_by
+from parsed_documents join (select distinct doc_id, title from document_meta) using (doc_id)""")
+def h12_documents(spark, d):
+    parsed = table(spark, d, "parsed_documents").withColumn("warnings", F.coalesce("warnings", F.array().cast("array<string>")))
+    rows = parsed.join(table(spark, d, "document_meta").select("doc_id", "title").distinct(), "doc_id")
+    return rows.select("doc_id", "title", F.contains(F.coalesce("parser", F.lit("")), F.lit("ocr")).alias("scanned"), cleaning.parser_label(F.col("warnings")).alias("read_by")).distinct()
+
+
+@query("""select doc_id, cast(count(*) as bigint) as lines, cast(count(*) filter (trim(line, {WS}) <> '') as bigint) as full_lines from (select doc_id, unnest(string_split(text, chr(10))) as line from documents where text is not null) group by doc_id""")
+def a1_lines(spark, d):
+    pages = table(spark, d, "documents").filter(F.col("text").isNotNull()).select("doc_id", F.lit(1).alias("page_no"), "text")
+    return cleaning.lines_of(pages).groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(trimmed(F.col("line")) != "").alias("full_lines"))
+
+
+@query("""with v as (select cand_id, family, row_number() over (partition by family order by coalesce(protocol, 0) desc, coalesce(doc_date, date '0001-01-01') desc, cand_id) as n, trust from
+  (select distinct cand_id, lower(trim(family)) as family, protocol, doc_date, source_page, n_bytes from pdf_candidates) c left join source_pages p using (source_page) where family is not null and n_bytes > 1000000)
+select family, cand_id from v where n = 1""")
+def a18_latest_available(spark, d):
+    rows = table(spark, d, "pdf_candidates").select("cand_id", F.lower(F.trim("family")).alias("family"), "protocol", "doc_date", "n_bytes").distinct()
+    ranked = catalog.rank_versions(rows, ["cand_id"]).withColumn("available", F.coalesce(F.col("n_bytes") > 1_000_000, F.lit(False)))
+    return catalog.latest_available(ranked).select("family", "cand_id")
+
+
+@query("""select user_id, event_id, ts from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1 order by ts desc, user_id limit 50""")
+def a20_sessions(spark, d):
+    events = table(spark, d, "events").select("user_id", "event_id", "ts")
+    newest = events.groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("x")).select("user_id", "x.event_id", "x.ts")
+    return history.latest_sessions(newest, "user_id", "ts")
+
+
+@query("""with m as (select distinct doc_id, title from document_meta), n as (select doc_id, upper(title) as title from m where doc_id like 'c%')
+select doc_id, title, 0 as part from m where doc_id not in (select doc_id from n) union all select doc_id, title, 1 from n""")
+def w8_manifest_upsert(spark, d):
+    m = table(spark, d, "document_meta").select("doc_id", "title").distinct().withColumn("seq", F.lit(0))
+    new = m.filter(F.col("doc_id").startswith("c")).withColumn("title", F.upper("title"))
+    return catalog.upsert_manifest(m, new).select("doc_id", "title", "part")
+
+
+@query("""with c as (select chunk_id, any_value(doc_id) as doc_id from chunks group by 1), n as (select distinct chunk_id, model as doc_id from chunk_vectors where chunk_id is not null and model is not null),
+one as (select chunk_id, min(doc_id) as doc_id from n group by 1)
+select chunk_id, doc_id from c where chunk_id not in (select chunk_id from one) union all select chunk_id, doc_id from one""")
+def w2_upsert(spark, d):
+    old = table(spark, d, "chunks").groupBy("chunk_id").agg(F.min("doc_id").alias("doc_id"))
+    new = table(spark, d, "chunk_vectors").filter("chunk_id is not null and model is not null").groupBy("chunk_id").agg(F.min("model").alias("doc_id"))
+    return store.replaced(old, new, "chunk_id")
+
+
+@query("""select vec_id, doc_id, doc_type, len(dense) as dims from chunk_vectors join (select distinct chunk_id, doc_id, doc_type from chunks) using (chunk_id)""")
+def j4_chunk_vectors(spark, d):
+    chunks = table(spark, d, "chunks").select("chunk_id", "doc_id", "doc_type").distinct()
+    vectors = table(spark, d, "chunk_vectors").select("vec_id", "chunk_id", F.when(F.col("dense").isNotNull(), F.size("dense")).cast("long").alias("dims"))
+    return vectors.join(chunks, "chunk_id").select("vec_id", "doc_id", "doc_type", "dims")
+
+
+@query(r"""select distinct answer_id, list_transform(string_split(answer, chr(10)), lambda x: case when trim(x, {WS}) = '' then 'blank' when regexp_matches(trim(x, {WS}), '^#{1,6}\s') then 'heading'
+  when regexp_matches(trim(x, {WS}), '^[-*•]\s') then 'bullet' when regexp_matches(trim(x, {WS}), '^\d+[.)]\s') then 'numbered' else 'paragraph' end) as kinds from answers where answer is not null""")
+def f40_markdown(spark, d):
+    rows = table(spark, d, "answers").filter(F.col("answer").isNotNull())
+    return rows.select("answer_id", F.transform(F.split("answer", "\n"), T.markdown_kind).alias("kinds")).distinct()
+
+
+@query(r"""select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '\n{2,}', chr(1), 'g'), chr(1)), lambda x: trim(x, {WS})), lambda x: x <> '') as paragraphs from documents where text is not null""")
+def f38_paragraphs(spark, d):
+    return table(spark, d, "documents").filter(F.col("text").isNotNull()).select("doc_id", T.paragraphs(F.col("text")).alias("paragraphs"))
+
+
+@query()
+def f27_prompts(spark, d):
+    contexts = spool(q1_contexts(spark, d), "contexts").join(_chunks(spark, d).select("chunk_id", "doc_title", "text", "parent_text"), "chunk_id")
+    return answering.prompts(_questions(spark, d), contexts)
+
+
+@query()
+def q5_answer_events(spark, d):
+    contexts = spool(q1_contexts(spark, d), "contexts")
+    written = answering.extractive_answers(contexts.join(_chunks(spark, d).select("chunk_id", "text", "parent_text"), "chunk_id"))
+    return answering.answer_events(written, contexts)
