@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from tessera.llm.frequent import hash_sample
 from tessera.runtime import spool
 
 
@@ -253,8 +254,9 @@ def nearest_vectors(
     classes = vectors.groupBy("key").agg(F.min(F.struct("id", "dense")).alias("first"), F.countDistinct("id").alias("members"))
     reps = spool(classes.select("key", "first.id", "first.dense", "members"), "neighbours-classes")
     rows = reps.count()
-    fit = [r.dense for r in reps.orderBy(F.xxhash64("id", F.lit(params.seed)), "id").limit(params.fit_rows).select("dense").collect()]
-    sample = _unit(np.array(fit, np.float64).reshape(-1, dim)) if fit else np.zeros((0, dim))
+    chosen = hash_sample(reps.select("id", "dense"), "id", params.fit_rows, rows, params.seed)
+    sample = _matrix(chosen.select("dense").toArrow().column("dense"), dim)
+    sample = _unit(sample) if len(sample) else sample
     forest = Forest(sample.astype(np.float32), rows, params)
     indexed = spool(_indexed(reps, forest, dim), "neighbours-leaves")
     found = _leaf_pairs(indexed, dim, 2 * k, None if min_similarity is None else min_similarity - params.code_slack, params.block_rows)
@@ -262,10 +264,11 @@ def nearest_vectors(
     near = _cosines(pairs, reps, dim)
     if min_similarity is not None:
         near = near.filter(F.col("cosine") >= min_similarity)
+    near = spool(near, "neighbours-pairs")
     near = near.select(F.col("a").alias("rep"), F.col("b").alias("other"), "cosine").union(near.select(F.col("b"), F.col("a"), "cosine"))
 
     shared = reps.filter("members > 1").select("key", F.col("id").alias("rep"))
-    copies = vectors.select("id", "key").distinct().join(shared, "key").select("rep", "id")
+    copies = spool(vectors.select("id", "key").distinct().join(shared, "key").select("rep", "id"), "neighbours-copies")
     by_id = W.partitionBy("rep").orderBy("id")
     heads = copies.withColumn("n", F.row_number().over(by_id)).filter(F.col("n") <= k + 1).select("rep", F.col("id").alias("head"))
     lists = (
@@ -278,8 +281,8 @@ def nearest_vectors(
         lists.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1)
         .groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "neighbour", "cosine"))).alias("near"))
     )
-    alone = lists.join(shared.select("rep"), "rep", "left_anti").withColumn("id", F.col("rep"))
-    out = alone.select("id", "near").union(copies.join(lists, "rep").select("id", "near"))
+    # Every copy takes its class's list without itself; a vector without copies is a class of its own.
+    out = lists.join(copies, "rep", "left").select(F.coalesce("id", "rep").alias("id"), "near")
     others = F.slice(F.filter("near", lambda x: x["neighbour"] != F.col("id")), 1, k)
     return out.select("id", F.posexplode(others).alias("pos", "x")).select("id", F.col("x.neighbour").alias("neighbour"), F.col("x.cosine").alias("cosine"), (F.col("pos") + 1).alias("rank"))
 
