@@ -185,7 +185,7 @@ def furniture(pages: list[list[str]], p: ScanParams) -> dict[tuple[int, int], st
 
 
 class Language:
-    """Word counts, and a trigram model of words for those without."""
+    """Word counts, a trigram model of words for those without, and the shares of each character's misreads."""
 
     def __init__(self, counts: dict[str, int], params: ScanParams):
         self.params, self.counts, self.total = params, counts, max(1, sum(counts.values()))
@@ -199,6 +199,25 @@ class Language:
                     self.tri[x[i : i + 3]] += weight
         self.common = max(3, params.meant_share * self.total)
         self.memo: dict[str, float] = {}
+        self.shares: dict[tuple[str, str], float] = {}
+        self._learn()
+
+    def _learn(self) -> None:
+        """How a character's misreads are shared out among what it looks like: first evenly, then as the words of mixed
+        kinds that read as a common word in one way only show it."""
+        tables = {"c": CYRILLIC_AS, "l": LATIN_AS, "d": DIGIT_AS}
+        prior = {(t, c.lower()): 1.0 for table in tables.values() for t, seen in table.items() for c in seen}
+        self.shares = dict.fromkeys(prior, math.log(1 / 3))
+        reader, counts = Reader(self, self.params), Counter(prior)
+        for w, n in self.counts.items():
+            if not (w.isalpha() and w.isascii()) and len(set(_classes(w))) > 1 and n < self.common:
+                common = {r for r, _, _ in reader.candidates(w)[1:] if len(r) == len(w) and self.counts.get(r.lower(), 0) >= self.common}
+                if len(common) == 1:
+                    counts.update({(t, c): n for t, c in zip(common.pop().lower(), w) if t != c})
+        of: Counter = Counter()
+        for (t, _), n in counts.items():
+            of[t] += n
+        self.shares = {(t, c): math.log(n / of[t]) for (t, c), n in counts.items()}
 
     def log(self, word: str) -> float:
         """The log probability of a word in lower case."""
@@ -215,6 +234,7 @@ class Language:
 
 
 _NEVER = -120.0
+_RARE = math.log(0.01)
 _WORD = re.compile(r"\S+")
 
 
@@ -233,26 +253,28 @@ def _classes(part: str) -> str:
     return "".join(_script(c) for c in part)
 
 
-def _readings(part: str, own: str) -> list[tuple[str, int]]:
-    """(reading, characters changed): what the part may have been, were its main script `own`."""
+def _readings(part: str, own: str, shares: dict[tuple[str, str], float]) -> list[tuple[str, int, float]]:
+    """(reading, characters changed, log of their confusion shares): what the part may have been, were its script `own`."""
     table = {"c": _READ_C, "l": _READ_L, "d": _READ_D}[own]
-    out = [("", 0)]
+    out = [("", 0, 0.0)]
     for c in part:
         if _script(c) == own and not (own == "l" and not c.isascii()) or own == "d" and c in ".,/:":
-            out = [(w + c, n) for w, n in out]
+            out = [(w + c, n, p) for w, n, p in out]
             continue
         true = table.get(c) or table.get(c.lower()) or []
         if not true:
             return []
         up = c.isupper() or (own != "d" and part[:1].isupper() and part[1:].isupper())
-        out = [(w + (t.upper() if up else t), n + 1) for w, n in out for t in true][:48]
+        seen = c.lower()
+        out = [(w + (t.upper() if up else t), n + 1, p + shares.get((t, seen), _RARE)) for w, n, p in out for t in true]
+        out = sorted(out, key=lambda x: -x[2])[:64]
     return [x for x in out if x[1]]
 
 
 class Reader:
     def __init__(self, language: Language, params: ScanParams):
         self.lm, self.params = language, params
-        self.miss, self.keep = math.log(params.noise / 3), math.log(1 - params.noise)
+        self.miss, self.keep = math.log(params.noise), math.log(1 - params.noise)
         self.memo: dict[str, list[tuple[str, float, str]]] = {}
         self.tokens: dict[str, list[tuple[int, str, list]]] = {}
 
@@ -286,10 +308,10 @@ class Reader:
         elif main == "c" and letters == len(part) and len(part) <= 2:
             tries += ["l"]
         for own in tries:
-            for word, n in _readings(part, own):
+            for word, n, shares in _readings(part, own, self.lm.shares):
                 low = word.lower()
                 p = self.lm.log(low) if own != "d" else math.log(0.02) - 2.3 * len(re.sub(r"\D", "", word))
-                out.append((word, p + self.miss * n + self.keep * (len(part) - n), own))
+                out.append((word, p + self.miss * n + shares + self.keep * (len(part) - n), own))
         # A word of mixed kinds counts as one that was meant so only where it is common, by itself and beside its readings.
         n = self.lm.counts.get(part.lower(), 0)
         most = max([0, *(self.lm.counts.get(w.lower(), 0) for w, _, _ in out)])
