@@ -2,7 +2,7 @@
 
 The languages of question and answer are compared by a naive Bayes model over character n-grams, trained on labelled
 documents. Whether an answer breaks off is judged by how likely its last characters are to stand at an end of text,
-from n-gram counts over all answers. Empty answers, copies and refusals are told by what is left of them once
+from n-gram counts over all different answers. Empty answers, copies and refusals are told by what is left of them once
 markers, markup and the words of the question, or a refusal's phrases, are set aside.
 """
 
@@ -50,7 +50,7 @@ class PairParams:
     end_gram: int = 4  # characters before an end of text that are looked at
     end_share: float = 0.012  # least likelihood of an end there
     short_words: int = 5  # an answer of more words has to end with a mark
-    short_forms: int = 3  # how many answers make a short form a whole answer
+    short_share: float = 3e-4  # share of all different pairs, and two at least, that make a short form a whole answer
     refusal_chars: int = 320  # a refusal of more characters than that also says something
     alike: float = 0.9  # share of the question's words that a copy repeats
 
@@ -106,9 +106,21 @@ def words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 
 
+def plain(answer: str) -> str:
+    return re.sub(r"\d", "0", _MARKER.sub("", answer).rstrip().lower())
+
+
+def times(gram: str, text: str) -> int:
+    """How often a gram occurs in a text, overlaps included."""
+    n, at = 0, text.find(gram)
+    while at >= 0:
+        n, at = n + 1, text.find(gram, at + 1)
+    return n
+
+
 def end_grams(answer: str, n: int) -> tuple[str, str, str] | None:
     """The last n, the last 2 and the last character of an answer without markers, digits as one, in lower case."""
-    x = re.sub(r"\d", "0", _MARKER.sub("", answer).rstrip().lower())
+    x = plain(answer)
     return (x[-n:], x[-2:], x[-1:]) if len(x) >= n else None
 
 
@@ -118,31 +130,33 @@ def short_form(answer: str, most: int) -> str | None:
     return "=" + re.sub(r"\d+", "0", x) if len(x.split()) <= most else None
 
 
-def end_counts(df: DataFrame, answer_col: str, params: PairParams) -> dict[str, tuple[int, int]]:
-    """gram -> (times at an end of text, times anywhere), over all answers, of the grams that end one; also the short
-    forms, marked by a leading =."""
+def end_counts(df: DataFrame, question_col: str, answer_col: str, params: PairParams) -> dict[str, tuple[int, int]]:
+    """gram -> (times at an end of text, times anywhere), over all different answers, of the grams that end one; also the
+    short forms, marked by a leading =, with the number of different pairs of question and answer, and that of all pairs
+    under the empty string. Replays and copies say nothing; one short answer to many questions does."""
     n = params.end_gram
 
     def run(batches):
         ends: Counter = Counter()
         all_: Counter = Counter()
         for b in batches:
-            for a in b.column(0).to_pylist():
+            for a, asked in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ends[""] += asked
                 e = end_grams(a, n)
                 if e:
                     ends.update(e)
-                    form = short_form(a, params.short_words)
-                    if form:
-                        ends[form] += 1
-                        all_[form] += 1
-                    x = re.sub(r"\d", "0", _MARKER.sub("", a).rstrip().lower())
+                    x = plain(a)
                     all_.update(x[i : i + n] for i in range(len(x) - n + 1))
                     all_.update(x[i : i + 2] for i in range(len(x) - 1))
                     all_.update(x)
-        keys = list(all_)
+                form = short_form(a, params.short_words)
+                if form:
+                    ends[form] += asked
+        keys = list(ends.keys() | all_.keys())
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([ends[k] for k in keys], pa.int64()), pa.array([all_[k] for k in keys], pa.int64())], names=["gram", "ends", "n"])
 
-    rows = df.select(F.col(answer_col).alias("answer")).filter(F.length("answer") > 0)
+    pairs = df.select(F.col(answer_col).alias("answer"), F.xxhash64(question_col).alias("asked")).filter(F.length("answer") > 0)
+    rows = pairs.distinct().groupBy("answer").agg(F.count("*").alias("asked"))
     table = rows.mapInArrow(run, "gram string, ends long, n long").groupBy("gram").agg(F.sum("ends").alias("ends"), F.sum("n").alias("n")).filter(F.col("ends") > 1)
     top = most_frequent(table, "ends", 100_000)  # grams that end texts rarely are judged by their last two characters
     return {r.gram: (r.ends, r.n) for r in top}
@@ -201,15 +215,16 @@ class Judge:
         if final.isalnum() and len(words(text)) > self.params.short_words:
             return True
         form = short_form(answer, self.params.short_words)
-        if form and self.ends.get(form, (0, 0))[0] >= self.params.short_forms:
+        if form and self.ends.get(form, (1, 0))[0] - 1 >= max(2, self.params.short_share * self.ends.get("", (0, 0))[0]):
             return False
         e = end_grams(answer, self.params.end_gram)
         if e is None:
             return not final.isalnum() and final not in ".!?»)%"
-        share = 0.0
+        share, x = 0.0, plain(answer)
         for gram in reversed(e):  # the answer itself does not count; what is rare leans on the shorter gram
-            k, n = self.ends.get(gram, (1, 1))
-            share = (max(0, k - 1) + 4 * share) / (max(0, n - 1) + 4)
+            own = times(gram, x)
+            k, n = self.ends.get(gram, (1, own))
+            share = (max(0, k - 1) + 4 * share) / (max(0, n - own) + 4)
         return share < self.params.end_share
 
 
@@ -236,7 +251,7 @@ def defective(df: DataFrame, id_col: str, question_col: str, answer_col: str, mo
     A null answer is empty; a null question has no language and is copied by nothing. Repeated rows count once; an
     id with several different rows has a row for each different defect. Only the named columns are read.
     """
-    ends = end_counts(df, answer_col, params)
+    ends = end_counts(df, question_col, answer_col, params)
     held = df.sparkSession.sparkContext.broadcast(Judge(model, ends, params))  # bounded by fit_rows and 100 000 grams
 
     def run(batches):

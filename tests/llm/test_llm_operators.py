@@ -210,6 +210,15 @@ def scanned():
     return text
 
 
+def test_replayed_and_copied_answers_do_not_make_an_end(spark, model):
+    q = "Какой порядок установлен для сезонного лимита?"
+    rows = [(i, q, f"Порядок номер {i} — это решение совета. Срок составляет {i} дней, не больше.") for i in range(300)]
+    rows += [(900, q, "Порядок определяется на основании сезонного лимита —")] * 3 + [(i, q, "Размер сбора составл") for i in range(910, 915)]
+    rows += [(i, f"Кто утверждает договор {i}?", "Комитет") for i in range(920, 925)]
+    df = spark.createDataFrame(rows, "id long, question string, answer string")
+    assert found(pairs.defective(df, "id", "question", "answer", model)) == {(900, "truncated"), *((i, "truncated") for i in range(910, 915))}
+
+
 def test_scans(spark):
     words = "участник представляет договор и отчёт не позднее срока который установлен документ вместе с интернет-портал"
     lm = scans.Language({w: 500 for w in words.split()} | {"а4": 300}, scans.ScanParams())
