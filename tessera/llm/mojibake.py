@@ -28,8 +28,7 @@ WRITTEN_IN = ("utf-8", "cp1251", "koi8-r", "cp866", "mac-cyrillic", "iso8859-5",
 class GarbleParams:
     alphabet: int = 1024  # characters with counts of their own; the rest share 64 classes by code point
     low_share: float = 0.1  # share of the corpus's pairs that count as improbable
-    run_score: float = 6.0  # least score of an improbable run, and of one that mappings to one-byte encodings are tried on
-    byte_run_score: float = 7.5
+    run_score: float = 6.0  # least score of an improbable run
     utf8_gain: float = 4.0  # least gain of an accepted mapping to UTF-8, and to a one-byte encoding
     byte_gain: float = 18.0
     passes: int = 4  # texts garbled repeatedly, or in several stretches, are undone so many times
@@ -294,7 +293,7 @@ class Repairer:
                 out.append([a, b, v])
         return [(a, b, v) for a, b, v in out if not whole[a:b].isascii()]
 
-    def best(self, runs: list[str], only: tuple[str, str] | None = None, to: tuple[str, ...] | None = None) -> list[tuple[float, tuple[str, str], np.ndarray] | None]:
+    def best(self, runs: list[str], only: tuple[str, str] | None = None) -> list[tuple[float, tuple[str, str], np.ndarray] | None]:
         """For every run its best mapping: (gain, mapping, gain of each token)."""
         raw = _raw(_joined(runs))
         at = ~self.is_space[raw]
@@ -323,7 +322,7 @@ class Repairer:
             lacking = chars(data < 0) > 0
             if lacking.all():
                 continue
-            for written_in in (to or self.params.written_in) if only is None else only[1:]:
+            for written_in in self.params.written_in if only is None else only[1:]:
                 if written_in == read_as:
                     continue
                 if written_in == "utf-8":
@@ -386,15 +385,10 @@ class Repairer:
         """Undoes what it finds in the given texts; gives the mappings used in each text that changed."""
         whole = "\x00" + "\x00".join(now[i] for i in which) + "\x00"
         starts = np.cumsum([1, *(len(now[i]) + 1 for i in which)])
-        if only is None:
-            found = self.runs(whole)
-            strong, weak = ([(a, b) for a, b, v in found if (v >= self.params.byte_run_score) == high] for high in (True, False))
-        else:
-            strong, weak = [(int(a), int(b) - 1) for a, b in zip(starts[:-1], starts[1:])], []
+        found = [(a, b) for a, b, _ in self.runs(whole)] if only is None else [(int(a), int(b) - 1) for a, b in zip(starts[:-1], starts[1:])]
         own: dict[int, list] = {}
-        fixes = self.best([whole[a:b] for a, b in strong], only) if strong else []
-        fixes += self.best([whole[a:b] for a, b in weak], to=tuple(w for w in self.params.written_in if w == "utf-8")) if weak else []
-        for (a, b), fix in sorted(zip(strong + weak, fixes), key=lambda x: x[0]):
+        fixes = self.best([whole[a:b] for a, b in found], only) if found else []
+        for (a, b), fix in zip(found, fixes):
             if fix is not None:
                 k = int(np.searchsorted(starts, a, side="right")) - 1
                 own.setdefault(which[k], []).append((a - int(starts[k]), b - int(starts[k]), fix))
