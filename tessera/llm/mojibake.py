@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.frequent import most_frequent
+from tessera.runtime import spool
 
 #: Encodings that texts are wrongly read as, and encodings that they were written in.
 READ_AS = ("cp1252", "cp1251", "cp866", "koi8-r", "mac-cyrillic", "mac-roman", "cp850", "cp437", "iso8859-5")
@@ -111,9 +112,19 @@ class PairScores:
         return self.__dict__ | {"_lut": None}
 
 
+def _different(rows: DataFrame) -> DataFrame:
+    """(key, text) of the different texts that have content, the key a hash of the text."""
+    return spool(rows.filter(F.length("text") > 0).select(F.md5("text").alias("key"), "text").distinct(), "garble-texts")
+
+
 def pair_scores(df: DataFrame, text_col: str, params: GarbleParams = GarbleParams()) -> PairScores:
-    """Counts characters, then pairs of adjacent characters, over all whole texts."""
-    rows = df.select(F.col(text_col).alias("text")).filter(F.length("text") > 0)
+    """Counts characters, then pairs of adjacent characters, over all different whole texts: copies of a garbled text do
+    not make it probable."""
+    return _pair_scores(_different(df.select(F.col(text_col).alias("text"))), params)
+
+
+def _pair_scores(texts: DataFrame, params: GarbleParams) -> PairScores:
+    rows = texts.select("text")
 
     def characters(batches):
         n = np.zeros(0x110000, np.int64)
@@ -433,9 +444,11 @@ def restore(df: DataFrame, id_col: str, text_col: str, scores: PairScores | None
     """(id, text): the restored text of every row whose text was at least partly decoded with a wrong encoding.
 
     Null and empty texts and sound ones give no row; repeated rows give a row each; ids may be null. Only id_col and
-    text_col are read. Scores counted before, over another corpus, may be given.
+    text_col are read. Each different text is repaired once. Scores counted before, over another corpus, may be given.
     """
-    scores = pair_scores(df, text_col, params) if scores is None else scores
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = _different(rows)
+    scores = _pair_scores(texts, params) if scores is None else scores
     held = df.sparkSession.sparkContext.broadcast(scores)  # at most (alphabet + 64)^2 numbers
 
     def run(batches):
@@ -444,8 +457,8 @@ def restore(df: DataFrame, id_col: str, text_col: str, scores: PairScores | None
             for part in _chunks(b, 1, 1_000_000):
                 fixed = [(i, t) for (i, _), t in zip(part, repairer.repair([t for _, t in part])) if t is not None]
                 row, texts = [i for i, _ in fixed], [t for _, t in fixed]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(texts, pa.string())], names=[id_col, "text"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(texts, pa.string())], names=["key", "text"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(id_col, text_col).filter(F.length(text_col) > 0)
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, text string")
+    fixed = texts.mapInArrow(run, "key string, text string")
+    keys = rows.filter(F.length("text") > 0).select("id", F.md5("text").alias("key"))
+    return keys.join(fixed, "key").select(F.col("id").alias(id_col), F.col("text").alias("text"))

@@ -316,6 +316,14 @@ def test_stretches_are_restored(spark, texts, written, read):
     assert sum(got[i] == want[i] for i in want) >= 10
 
 
+def test_copies_of_a_garbled_text_are_found(spark, texts):
+    words = texts[0].split(" ")
+    bad = " ".join([*words[:10], " ".join(words[10:25]).encode("cp1251").decode("cp1252"), *words[25:]])
+    rows = list(enumerate([*texts[1:], *[bad] * (len(texts) // 2)]))  # a third of all rows
+    df = spark.createDataFrame(rows, "id long, text string")
+    assert found(mojibake.restore(df, "id", "text")) == {(i, texts[0]) for i, t in rows if t == bad}
+
+
 def test_hardly_improbable_runs_get_every_mapping():
     params = mojibake.GarbleParams()
     scores = mojibake.PairScores(sorted(map(ord, "абвгдежзиклмнопрстуфхцчшщыьэюя äîãâðì")), {}, params)
