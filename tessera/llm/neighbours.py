@@ -2,7 +2,8 @@
 
 A forest of random-projection trees is fitted on a bounded sample; every vector is then indexed in one leaf of
 each tree. A query walks all trees through one shared priority queue (best margin first) and visits the best
-`probes` leaves. Candidates are scored there on one-byte codes, and the survivors are reranked on the exact vectors.
+`probes` leaves. Candidates are scored there on the exact vectors: near-copies lie closer together than any short code
+could tell apart.
 
 Equal vectors form one class, which is indexed once; a class carries its k + 1 smallest ids, all that any top-k
 list can ever use, so that a vector copied a billion times costs no more than any other row.
@@ -31,7 +32,6 @@ class ForestParams:
     fit_rows: int = 20_000  # bound of the sample the trees are fitted on
     fit_leaf: int = 8  # sample rows a fitted leaf must hold
     block_rows: int = 4_096  # a leaf of more rows or queries is worked off in blocks of this size
-    code_slack: float = 0.02  # error allowed for the one-byte codes
     seed: int = 7
 
 
@@ -130,15 +130,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    scale = np.abs(x).max(1, keepdims=True) / 127
-    code = np.rint(x / scale).astype(np.int8)
-    return code, 1 / np.linalg.norm(code.astype(np.float32), axis=1)
-
+#: What two ways of summing a cosine may differ by.
+_ROUNDING = 1e-12
 
 _ROW = T.StructType([
     T.StructField("leaf", T.LongType()), T.StructField("is_query", T.BooleanType()),
-    T.StructField("id", T.LongType()), T.StructField("code", T.BinaryType()),
+    T.StructField("id", T.LongType()), T.StructField("vector", T.BinaryType()),
 ])
 
 
@@ -149,15 +146,14 @@ def _indexed(reps: DataFrame, forest: Forest, dim: int) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
-                x = _unit(_matrix(part.column("dense"), dim))
-                ids = part.column("id").to_numpy()
-                code, _ = _codes(x)
-                x = x.astype(np.float32)
+                dense = _matrix(part.column("dense"), dim)
+                ids, raw_rows = part.column("id").to_numpy(), dense.astype(np.float32)
+                x = _unit(dense).astype(np.float32)
                 for leaf, is_query in ((held.value.leaves(x), False), (held.value.search(x), True)):
                     row = np.repeat(np.arange(len(ids)), leaf.shape[1])
                     keep = leaf.ravel() >= 0
                     row = row[keep]
-                    raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim), len(row), [None, pa.py_buffer(np.ascontiguousarray(code[row]))])
+                    raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(row), [None, pa.py_buffer(np.ascontiguousarray(raw_rows[row]))])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(leaf.ravel()[keep]), pa.array(np.full(len(row), is_query)), pa.array(ids[row]), raw.cast(pa.binary())], names=_ROW.names
                     )
@@ -166,7 +162,7 @@ def _indexed(reps: DataFrame, forest: Forest, dim: int) -> DataFrame:
 
 
 def _leaf_pairs(rows: DataFrame, dim: int, keep: int, floor: float | None, block: int) -> DataFrame:
-    """(id, other): in every leaf, the `keep` best of its rows for each of its queries, by the codes."""
+    """(id, other): in every leaf, the `keep` best of its rows for each of its queries, by the whole vectors."""
     size = rows.groupBy("leaf").agg(F.count_if(~F.col("is_query")).alias("n_rows"), F.count_if("is_query").alias("n_queries"))
     heavy = size.filter((F.col("n_rows") > block) | (F.col("n_queries") > block))
     if heavy.isEmpty():
@@ -184,8 +180,7 @@ def _leaf_pairs(rows: DataFrame, dim: int, keep: int, floor: float | None, block
     keys = ["leaf", "row_block", "query_block"]
 
     def score(tab: pa.Table):
-        code = np.frombuffer(b"".join(tab.column("code").to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
-        code /= np.linalg.norm(code, axis=1, keepdims=True)
+        x = _unit(np.frombuffer(b"".join(tab.column("vector").to_pylist()), np.float32).reshape(-1, dim).astype(np.float64))
         ids, query = tab.column("id").to_numpy(), tab.column("is_query").to_numpy()
         group = np.stack([tab.column(k).to_numpy() for k in keys])
         cuts = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1
@@ -193,12 +188,12 @@ def _leaf_pairs(rows: DataFrame, dim: int, keep: int, floor: float | None, block
             q, r = lo + np.flatnonzero(query[lo:hi]), lo + np.flatnonzero(~query[lo:hi])
             if not len(q) or not len(r):
                 continue
-            s = code[q] @ code[r].T
+            s = x[q] @ x[r].T
             s[ids[q][:, None] == ids[r][None, :]] = -2
             if s.shape[1] > keep:
                 cut = np.partition(s, s.shape[1] - keep, axis=1)[:, s.shape[1] - keep, None]
-                s[s < cut] = -2
-            i, j = np.nonzero(s > (-1.5 if floor is None else floor))
+                s[s < cut - _ROUNDING] = -2
+            i, j = np.nonzero(s > (-1.5 if floor is None else floor - _ROUNDING))
             if len(i):
                 yield ids[q[i]], ids[r[j]]
 
@@ -221,7 +216,7 @@ def _leaf_pairs(rows: DataFrame, dim: int, keep: int, floor: float | None, block
         if held is not None:
             yield from flush(held)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "is_query", "id", "code").mapInArrow(run, "id long, other long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "is_query", "id", "vector").mapInArrow(run, "id long, other long")
 
 
 def _cosines(pairs: DataFrame, reps: DataFrame, dim: int) -> DataFrame:
@@ -259,7 +254,7 @@ def nearest_vectors(
     sample = _unit(sample) if len(sample) else sample
     forest = Forest(sample.astype(np.float32), rows, params)
     indexed = spool(_indexed(reps, forest, dim), "neighbours-leaves")
-    found = _leaf_pairs(indexed, dim, 2 * k, None if min_similarity is None else min_similarity - params.code_slack, params.block_rows)
+    found = _leaf_pairs(indexed, dim, k, min_similarity, params.block_rows)
     pairs = found.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     near = _cosines(pairs, reps, dim)
     if min_similarity is not None:

@@ -58,6 +58,15 @@ def test_neighbours_recall_without_a_threshold(spark):
     assert sum(r.neighbour in want[r.id] for r in rows) >= 0.9 * 15000
 
 
+@pytest.mark.parametrize("spread", [1e-2, 1e-3])
+def test_neighbours_in_a_tight_cluster(spark, spread):
+    rng = np.random.default_rng(4)
+    x = (rng.standard_normal(64) + spread * rng.standard_normal((300, 64))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, dense array<float>")
+    got = found(neighbours.nearest_vectors(df, "id", "dense", 10, min_similarity=0.9, params=neighbours.ForestParams(leaf_rows=512)).select("id", "neighbour"))
+    assert got == {(i, j) for i, near in brute(range(300), x.astype(np.float64), 10, 0.9).items() for j in near}
+
+
 def test_neighbours_edge_cases(spark):
     e = [1.0] + [0.0] * 63
     rows = [(1, e), (1, e), (2, e), (3, None), (4, []), (5, [0.0] * 64), (6, [float("nan")] + e[1:]), (7, [None] + e[1:]), (8, e[:-1]), (None, e), (9, [float("inf")] + e[1:])]
