@@ -31,7 +31,7 @@ class NearParams:
     symbols: int = 6  # symbols in a block: at 0.75, 48 blocks of 6 miss a pair with probability 1e-4
     seed: int = 11
     sigmas: float = 5.0  # how far beyond its mean at the threshold the sketches' distance may lie
-    full_class: int = 64  # a class of equal texts up to this size gives all its pairs, a larger one a star
+    full_class: int = 64  # a class of exactly equal items up to this size gives all its pairs, a larger one a star
 
     def distance(self) -> int:
         """The greatest Hamming distance of two 128-bit sketches: bits differ with probability (1 - t) / 2."""
@@ -56,20 +56,20 @@ class _Hashes:
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, least_words: int, params: NearParams) -> DataFrame:
-    """(id, hashes, class_key, sketch_a, sketch_b, blocks) of every text with at least least_words different words;
-    hashes is the set of its words' 64-bit hashes."""
+    """(id, hashes, class_key, text_key, sketch_a, sketch_b, blocks) of every text with at least least_words different
+    words; hashes is the set of its words' 64-bit hashes, class_key stands for that set, text_key for the text itself."""
     rng = np.random.default_rng(params.seed)
     n = max(params.blocks * params.symbols, 128)
     mult = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(0, 2**63, n, dtype=np.uint64)
     weight = rng.integers(0, 2**63, params.symbols, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     bit = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    names = ["id", "hashes", "class_key", "sketch_a", "sketch_b", "blocks"]
+    names = ["id", "hashes", "class_key", "text_key", "sketch_a", "sketch_b", "blocks"]
 
     def run(batches):
         hashes = _Hashes()
         for b in batches:
-            row, sets, key, sketch, blocks = [], [], [], [], []
+            row, sets, key, own_key, sketch, blocks = [], [], [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
                 words = set(_WORD(text.lower()))
                 if len(words) < least_words:
@@ -82,6 +82,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, least_words: int, pa
                 row.append(i)
                 sets.append(h)
                 key.append(xxhash.xxh3_128_hexdigest(h.tobytes()))
+                own_key.append(xxhash.xxh3_128_hexdigest(text))
                 odd = (low[:128] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(63)
                 sketch.append(((odd[:64] * bit).sum(dtype=np.uint64), (odd[64:] * bit).sum(dtype=np.uint64)))
                 own = low[: params.blocks * params.symbols].reshape(params.blocks, params.symbols)
@@ -94,12 +95,12 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, least_words: int, pa
             words = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             words = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(words))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(row, pa.int64())), words, pa.array(key, pa.string()), pa.array(two[:, 0]), pa.array(two[:, 1]), lists], names=names
+                [b.column(0).take(pa.array(row, pa.int64())), words, pa.array(key, pa.string()), pa.array(own_key, pa.string()), pa.array(two[:, 0]), pa.array(two[:, 1]), lists], names=names
             )
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & (F.length("text") >= 2 * least_words - 1))
-    return rows.mapInArrow(run, f"id {kind}, hashes array<long>, class_key string, sketch_a long, sketch_b long, blocks array<long>")
+    return rows.mapInArrow(run, f"id {kind}, hashes array<long>, class_key string, text_key string, sketch_a long, sketch_b long, blocks array<long>")
 
 
 def candidate_pairs(prints: DataFrame, params: NearParams) -> DataFrame:
@@ -142,12 +143,20 @@ def class_pairs(shared: DataFrame, full: int) -> DataFrame:
     return star.union(both.select("a", "b"))
 
 
+def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b), a < b: the pairs with each side replaced by all members (first, id) of the class that it is the first of."""
+    for side in ("a", "b"):
+        own = members.select(F.col("first").alias(side), "id")
+        pairs = pairs.join(own, side, "left").withColumn(side, F.coalesce("id", side)).drop("id")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter(F.col("a") < F.col("b"))
+
+
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, least_words: int, params: NearParams = NearParams()) -> DataFrame:
     """(a, b), a < b: pairs of ids whose texts have least_words different words each and are alike to the threshold.
 
-    Texts with equal word sets form a class that is compared once, through its smallest id; links between classes
-    are given between all members of classes up to `full_class` members, and else through the smallest ids, with
-    the class itself as a star. No link between different texts is lost. Null ids and null, empty or short texts
+    Texts with equal word sets form a class that is compared once, through its smallest id; all its different texts are
+    linked with each other and with those of similar classes, however many they are. Exactly equal texts give all their
+    pairs and links up to `full_class` ids; beyond, their smallest id has the links, and a star to the others. Null ids and null, empty or short texts
     give no rows; a repeated id counts once, by any one of its texts; only id_col and text_col are read.
     """
     prints = spool(fingerprints(df, id_col, text_col, least_words, params), "near-prints")
@@ -155,13 +164,13 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, least_words: int,
     reps = prints.groupBy("class_key").agg(F.min(shape).alias("x")).select("x.*")
     pairs = spool(candidate_pairs(reps, params), "near-candidates")
     found = spool(verified_pairs(prints, pairs, params.threshold).select("a", "b"), "near-pairs")
-    shared = shared_classes(prints, "class_key", "id")
-    small = shared.filter(F.col("n") <= params.full_class)
-    for side in ("a", "b"):
-        own = small.select(F.col("first").alias(side), "id")
-        found = found.join(own, side, "left").withColumn(side, F.coalesce("id", side)).drop("id")
-    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return found.union(class_pairs(shared, params.full_class))
+    texts = prints.groupBy("text_key", "class_key").agg(F.min("id").alias("id"))
+    forms = shared_classes(texts, "class_key", "id")
+    copies = shared_classes(prints, "text_key", "id")
+    one, other = (forms.select("first", F.col("id").alias(side)) for side in ("a", "b"))
+    within = one.join(other, "first").filter(F.col("a") < F.col("b")).select("a", "b")
+    links = expanded(expanded(found, forms).union(within), copies.filter(F.col("n") <= params.full_class))
+    return links.union(class_pairs(copies, params.full_class))
 
 
 def same_file(df: DataFrame, id_col: str, hash_col: str, params: NearParams = NearParams()) -> DataFrame:

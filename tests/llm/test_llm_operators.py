@@ -167,6 +167,17 @@ def test_copies_become_a_star_beyond_a_size(spark):
     assert near_duplicates.near_duplicates(df.limit(0), "id", "text", 40, params).count() == 0
 
 
+def test_different_texts_of_a_word_set_keep_all_links(spark):
+    words = [f"слово{i}" for i in range(50)]
+    rows = [(i, " ".join([*words[i:], *words[:i]])) for i in range(30)] + [(100 + i, " ".join([*words[i:], *words[:i], "ещё"])) for i in range(3)]
+    rows += [(200 + i, rows[0][1]) for i in range(12)]  # more than full_class copies of one text: a star
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = near_duplicates.near_duplicates(df, "id", "text", 40, near_duplicates.NearParams(full_class=10)).collect()
+    ids = [i for i, _ in rows if i < 200]
+    want = {(a, b) for a in ids for b in ids if a < b} | {(0, 200 + i) for i in range(12)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_same_files(spark):
     h = "ab" * 32
     df = spark.createDataFrame([("a", h), ("b", h.upper()), ("c", f"sha256:{h}"), ("d", f" {h}\n"), ("e", None), ("f", " "), ("g", ""), ("a", h), ("h", "0" * 64)], "id string, sha string")
