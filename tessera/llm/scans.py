@@ -388,7 +388,9 @@ def word_counts(df: DataFrame, pages_col: str, params: ScanParams = ScanParams()
 
 
 def language(df: DataFrame, pages_col: str, params: ScanParams = ScanParams()) -> Language:
-    top = most_frequent(word_counts(df, pages_col, params), "n", params.vocabulary)
+    """Counted over different documents: replays and copies do not make their own misreads common."""
+    different = df.select(pages_col).distinct()
+    top = most_frequent(word_counts(different, pages_col, params), "n", params.vocabulary)
     return Language({r.word: r.n for r in top}, params)
 
 

@@ -252,6 +252,14 @@ def test_scans(spark):
     assert scans.find_noise(df.limit(0), "doc_id", "page_texts").count() == 0
 
 
+def test_copies_do_not_make_their_misreads_common(spark):
+    sound = [(f"s{i}", [f"участник представляет договор {'и отчёт ' * (i + 1)}\nдоговор хранится в архиве организации"]) for i in range(12)]
+    copies = [(f"c{i}", ["участник представляет дoгoвop\nв архиве организации"]) for i in range(6)]  # Latin o and p
+    df = spark.createDataFrame([*sound, *copies, copies[0]], "doc_id string, page_texts array<string>")
+    got = found(scans.find_noise(df, "doc_id", "page_texts"))
+    assert {r for r in got if r[3] == "ocr"} == {(f"c{i}", 1, 1, "ocr") for i in range(6)}
+
+
 def test_page_numbers():
     assert [scans.page_number(x) for x in ("- 39 -", "стр. 1 из 6", "Page 44", "iii", "[2]", "1З", "231 рубль", "2024-01-05")] == [39, 1, 44, 3, 2, 13, None, None]
 
