@@ -3,8 +3,8 @@
 Adjacent characters are scored by their cubed mutual information over the whole corpus (log of p(ab)^3 / p(a)p(b); the
 cube keeps pairs of rare characters, such as garbled ones, from scoring high just for meeting each other). Runs whose
 pairs are improbable are isolated as maximum-scoring segments, and only inside those runs are the inverse mappings of
-(read as, written in) pairs of encodings tried, token by token. A mapping is accepted where it makes the text much
-more probable.
+(read as, written in) pairs of encodings tried, token by token; what a mapping gains on a token is remembered, as tokens
+recur. A mapping is accepted where it makes the run much more probable, or turns it into valid UTF-8.
 """
 
 from __future__ import annotations
@@ -20,21 +20,29 @@ from pyspark.sql import functions as F
 from tessera.llm.frequent import most_frequent
 from tessera.runtime import spool
 
-#: Encodings that texts are wrongly read as, and encodings that they were written in.
-READ_AS = ("cp1252", "cp1251", "cp866", "koi8-r", "mac-cyrillic", "mac-roman", "cp850", "cp437", "iso8859-5")
-WRITTEN_IN = ("utf-8", "cp1251", "koi8-r", "cp866", "mac-cyrillic", "iso8859-5", "cp1252", "mac-roman", "cp850")
+#: Encodings that texts are wrongly read as, encodings that they were written in, and more that
+#: UTF-8 is read as.
+READ_AS = ("cp1252", "cp1251", "cp866", "koi8-r", "mac-cyrillic", "mac-roman", "cp850", "cp437", "iso8859-5", "cp1250")
+WRITTEN_IN = ("utf-8", "cp1251", "koi8-r", "cp866", "mac-cyrillic", "iso8859-5", "cp1252", "mac-roman", "cp850", "cp1250")
+UTF8_READ_AS = ("cp1254", "iso8859-2")
 
 
 @dataclass(frozen=True)
 class GarbleParams:
     alphabet: int = 1024  # characters with counts of their own; the rest share 64 classes by code point
     low_share: float = 0.1  # share of the corpus's pairs that count as improbable
-    run_score: float = 6.0  # least score of an improbable run
+    run_score: float = 3.0  # least score of an improbable run, and of one in a text known to be garbled
+    kin_score: float = 1.0
+    memo: int = 100_000  # tokens whose gains a worker remembers
     utf8_gain: float = 4.0  # least gain of an accepted mapping to UTF-8, and to a one-byte encoding
-    byte_gain: float = 18.0
+    byte_gain: float = 14.0
+    char_gain: float = 6.0  # the most that a letter counts that becomes another one, and any other change
+    sign_gain: float = 18.0
+    odd_gain: float = 12.0  # what a word counts that was odd and is no longer
     passes: int = 4  # texts garbled repeatedly, or in several stretches, are undone so many times
     read_as: tuple[str, ...] = READ_AS
     written_in: tuple[str, ...] = WRITTEN_IN
+    utf8_read_as: tuple[str, ...] = UTF8_READ_AS
 
 
 _OTHERS = 64
@@ -48,6 +56,8 @@ for _c in range(0x3000):
     elif _s.islower():
         _KINDS[_c] = 1
 _LOWER[0x30:0x3A] = 0x30
+_SIGNS = (_KINDS == 0) & (np.arange(0x110000) >= 0x80)
+_SIGNS[[0xAD, 0xB7, 0x2010, 0x2011, 0x2013, 0x2014, 0x2018, 0x2019, 0x2BC, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF]] = False  # may stand in a word
 del _c, _s
 
 
@@ -213,15 +223,20 @@ class Mappings:
     """The inverse mappings, as tables over the characters of the basic plane."""
 
     def __init__(self, params: GarbleParams):
-        self.codecs = {n: _Codec(n) for n in {*params.read_as, *params.written_in} - {"utf-8"}}
+        self.codecs = {n: _Codec(n) for n in {*params.read_as, *params.utf8_read_as, *params.written_in} - {"utf-8"}}
         self.byte = {}
-        for n in params.read_as:
+        for n in (*params.read_as, *params.utf8_read_as):
             table = np.full(0x10000, -1, np.int16)
             for c, i in self.codecs[n].bytes.items():
                 table[ord(c)] = i
             table[:0x80] = np.arange(0x80)
             self.byte[n] = table
-        self.pairs = [(r, w) for w in params.written_in for r in params.read_as if r != w]
+        self.known = {n: re.compile(f"[{re.escape(''.join(c.bytes))}\\x00-\\x7f]+").fullmatch for n, c in self.codecs.items()}
+        self.pairs = [(r, w) for r in params.read_as for w in params.written_in if r != w] + [(r, "utf-8") for r in params.utf8_read_as]
+
+    def holds(self, read_as: str, tokens: list[str]) -> np.ndarray:
+        """Which tokens have no character that the encoding lacks."""
+        return np.fromiter((self.known[read_as](t) is not None for t in tokens), bool, len(tokens))
 
     def bytes_of(self, raw: np.ndarray, read_as: str) -> np.ndarray:
         return np.where(raw < 0x10000, self.byte[read_as][np.minimum(raw, 0xFFFF)], -1)
@@ -265,14 +280,48 @@ def _sequences(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _TOKEN = re.compile(r"[^ \t\r\n]+")
 
 
+class _Tokens:
+    """Tokens between blanks, as one array of code points."""
+
+    def __init__(self, scores: PairScores, tokens: list[str]):
+        self.raw = _raw(" " + " ".join(tokens) + " ")
+        size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        starts = np.cumsum(size + 1) - size
+        self.cuts = np.stack([starts, starts + size], 1).ravel()
+        self.pair_cuts = np.stack([starts - 1, starts + size], 1).ravel()
+        self.before = self.pair_sum(scores.of(self.raw))
+        self.odd = self.is_odd(self.raw)
+
+    def chars(self, x: np.ndarray) -> np.ndarray:
+        """How many of a token's characters are marked."""
+        return np.add.reduceat(x.view(np.int8), self.cuts, dtype=np.int32)[::2]
+
+    def pair_sum(self, x: np.ndarray) -> np.ndarray:
+        """The sum over a token's pairs, those with the blanks included."""
+        return np.add.reduceat(np.append(x, np.float32(0)), self.pair_cuts, dtype=np.float64)[::2]
+
+    def is_odd(self, x: np.ndarray) -> np.ndarray:
+        """Which tokens no writer writes: with letters of both the Latin and the Cyrillic script, with a sign or a capital
+        within a word in small letters, or with a control character."""
+        kind = _KINDS[x]
+        letter, small = kind > 0, kind == 1
+        latin, cyrillic = (x < 0x250) & letter, (x >= 0x400) & (x < 0x530)
+        within = (x >= 0x80) & (x < 0xA0)
+        within[1:-1] |= small[:-2] & (_SIGNS[x[1:-1]] & small[2:] | (kind[1:-1] == 2))
+        return (self.chars(latin) > 0) & (self.chars(cyrillic) > 0) | (self.chars(within) > 0)
+
+
 class Repairer:
     def __init__(self, scores: PairScores, params: GarbleParams):
         self.scores, self.params, self.maps = scores, params, Mappings(params)
+        self.rows: dict[str, int] = {}
+        self.gain = np.zeros((0, len(self.maps.pairs)), np.float32)
+        self.least = np.array([params.utf8_gain if w == "utf-8" else params.byte_gain for _, w in self.maps.pairs])
         self.is_space = np.zeros(0x110000, bool)
         self.is_space[[0, 9, 10, 13, 32]] = True
 
-    def runs(self, whole: str) -> list[tuple[int, int, float]]:
-        """The improbable runs of texts joined by NUL, widened by a token on each side, with their scores."""
+    def runs(self, whole: str, least: float) -> list[tuple[int, int]]:
+        """The improbable runs of texts joined by NUL that score `least`, widened by a token on each side."""
         raw = _raw(whole)
         gain = -self.scores.of(raw)
         border = raw == _SEP
@@ -284,102 +333,102 @@ class Repairer:
         cuts = cuts[np.concatenate([[True], np.diff(cuts) > 0])]
         if len(cuts) < 2:
             return []
-        high = np.maximum.reduceat(best, cuts[:-1]) >= self.params.run_score
+        high = np.maximum.reduceat(best, cuts[:-1]) >= least
         gain[cuts[:-1]] = np.where(gain[cuts[:-1]] > 0, gain[cuts[:-1]], -1e7)  # an excursion starts with what no segment holds
         at = np.flatnonzero(np.repeat(high, np.diff(cuts)))
-        found = [(int(at[s]), int(at[e - 1]) + 2, v) for s, e, v in maximal_segments(gain[at]) if v >= self.params.run_score]
+        found = [(int(at[s]), int(at[e - 1]) + 2, v) for s, e, v in maximal_segments(gain[at]) if v >= least]
         if not found:
             return []
         space, ends = np.flatnonzero(self.is_space[raw]), np.flatnonzero(border)
-        s, e, score = (np.array(x) for x in zip(*found))
+        s, e = (np.array(x) for x in list(zip(*found))[:2])
         text = np.searchsorted(ends, s, side="right") - 1  # of the text
         lo = space[np.maximum(np.searchsorted(space, s, side="right") - 2, 0)]
         hi = space[np.minimum(np.searchsorted(space, e - 1) + 1, len(space) - 1)]
         lo, hi = np.maximum(lo, ends[text]) + 1, np.minimum(hi, ends[text + 1])
         out: list[list] = []
-        for a, b, v in zip(lo.tolist(), hi.tolist(), score.tolist()):
+        for a, b in zip(lo.tolist(), hi.tolist()):
             if out and a <= out[-1][1] + 1 and whole.find("\x00", out[-1][1], a) < 0:
-                out[-1][1:] = max(b, out[-1][1]), max(v, out[-1][2])
+                out[-1][1] = max(b, out[-1][1])
             elif b > a:
-                out.append([a, b, v])
-        return [(a, b, v) for a, b, v in out if not whole[a:b].isascii()]
-
-    def best(self, runs: list[str], only: tuple[str, str] | None = None) -> list[tuple[float, tuple[str, str], np.ndarray] | None]:
-        """For every run its best mapping: (gain, mapping, gain of each token)."""
-        raw = _raw(_joined(runs))
-        at = ~self.is_space[raw]
-        starts = np.flatnonzero(at & ~np.concatenate([[False], at[:-1]]))
-        ends = np.flatnonzero(at & ~np.concatenate([at[1:], [False]])) + 1
-        own = self.scores.of(raw)
-        run = np.searchsorted(np.flatnonzero(raw == _SEP), starts, side="right") - 1
-        first = np.searchsorted(run, np.arange(len(runs) + 1))
-        cuts = np.stack([starts, ends], 1).ravel()
-
-        def chars(x: np.ndarray) -> np.ndarray:
-            """How many of a token's characters are marked."""
-            return np.add.reduceat(x.view(np.int8), cuts, dtype=np.int32)[::2]
-
-        def pair_sum(x: np.ndarray) -> np.ndarray:
-            """The sum over a token's pairs, those with its neighbours included."""
-            return np.add.reduceat(np.append(x, np.float32(0)), np.stack([starts - 1, ends], 1).ravel(), dtype=np.float64)[::2]
-
-        if not len(starts):
-            return [None] * len(runs)
-        before = pair_sum(own)
-        mixed = self._mixed(raw, chars)
+                out.append([a, b])
+        return [(a, b) for a, b in out if not whole[a:b].isascii()]
+
+    def _memo(self, tokens: list[str]) -> np.ndarray:
+        """The row of `gain` of every token; a token met before is not scored again."""
+        new = [t for t in dict.fromkeys(tokens) if t not in self.rows]
+        if new:
+            if len(self.rows) + len(new) > self.params.memo:
+                self.rows, self.gain = {}, self.gain[:0]
+                new = list(dict.fromkeys(tokens))
+            self.rows |= {t: len(self.rows) + i for i, t in enumerate(new)}
+            self.gain = np.concatenate([self.gain, self._gains(new)])
+        return np.fromiter(map(self.rows.__getitem__, tokens), np.int64, len(tokens))
+
+    def _gains(self, tokens: list[str]) -> np.ndarray:
+        """What each mapping gains on each token, which is taken to stand between blanks."""
+        out = np.zeros((len(tokens), len(self.maps.pairs)), np.float32)
+        plain = np.array([t.isascii() for t in tokens])
+        for col, (read_as, _) in enumerate(self.maps.pairs):
+            if not col or read_as != self.maps.pairs[col - 1][0]:
+                every = np.flatnonzero(~plain & self.maps.holds(read_as, tokens))
+                own = [tokens[i] for i in every]
+                part = _Tokens(self.scores, own)
+                data = self.maps.bytes_of(part.raw, read_as)
+            out[~plain, col] = -4
+            if own:
+                out[every, col] = self._gain(part, own, data, *self.maps.pairs[col])
+        return out
+
+    def _gain(self, part: _Tokens, tokens: list[str], data: np.ndarray, read_as: str, written_in: str) -> np.ndarray:
+        if written_in == "utf-8":
+            lead, bad = _sequences(data)
+            gain = np.where(part.chars(bad) > 0, -4.0, 4.0 * part.chars(lead))
+            for t in np.flatnonzero(gain > 0):
+                u = self.maps.undo(tokens[t], read_as, written_in)
+                if u is None or not self._known(u):
+                    gain[t] = -4.0
+            return gain
+        new = self.maps.characters(data, written_in)
+        changed = part.chars(new != part.raw) > 0
+        gain = part.pair_sum(self.scores.of(new)) - part.before
+        was, is_ = _KINDS[part.raw] > 0, _KINDS[new] > 0
+        swapped = part.chars((new != part.raw) & was & is_)
+        most = self.params.char_gain * swapped + self.params.sign_gain * part.chars((new != part.raw) & ~(was & is_))  # what the changed characters can prove,
+        gain = np.minimum(gain, most)
+        gain = gain + self.params.odd_gain * (part.odd.astype(int) - part.is_odd(new))  # unless a word that cannot be becomes one that can
+        short = np.clip(gain, -4, 3)  # a short word goes along with its neighbours, but proves little
+        letters, before = part.chars(is_), part.chars(was)
+        return np.where(changed, np.where((letters >= 5) | (letters >= 3) & (before >= 2), gain, short), 0.0)
+
+    def best(self, runs: list[str], only: set[tuple[str, str]] | None = None) -> list[tuple[tuple, tuple[str, str], np.ndarray] | None]:
+        """For every run its best mapping, of all or of some: (rank, mapping, gain of each token)."""
+        tokens, first = [], [0]
+        for r in runs:
+            tokens += _TOKEN.findall(r)
+            first.append(len(tokens))
         best: list = [None] * len(runs)
-        for read_as in self.params.read_as if only is None else only[:1]:
-            data = self.maps.bytes_of(raw, read_as)
-            lacking = chars(data < 0) > 0
-            if lacking.all():
+        if not tokens:
+            return best
+        at = self._memo(tokens)
+        full = np.flatnonzero(np.diff(first))
+        sums = np.add.reduceat(np.maximum(self.gain[at], 0), np.array(first)[full], axis=0)
+        for r, col in zip(*np.nonzero(sums >= self.least)):
+            mapping, r = self.maps.pairs[col], full[r]
+            if only is not None and mapping not in only:
                 continue
-            for written_in in self.params.written_in if only is None else only[1:]:
-                if written_in == read_as:
-                    continue
-                if written_in == "utf-8":
-                    lead, bad = _sequences(data)
-                    count = chars(lead)
-                    gain = np.where(chars(bad) > 0, -4.0, 4.0 * count)
-                    least = self.params.utf8_gain
-                    for t in np.flatnonzero(gain > 0):
-                        u = self.maps.undo(raw[starts[t] : ends[t]].astype("<u4").tobytes().decode("utf-32-le"), read_as, written_in)
-                        if u is None or not self._known(u):
-                            gain[t] = -4.0
-                else:
-                    new = self.maps.characters(data, written_in)
-                    changed = chars(new != raw) > 0
-                    letters = chars(self._letter(new))
-                    gain = pair_sum(self.scores.of(new)) - before
-                    if mixed.any():  # a word of two scripts that comes out in one
-                        gain = gain + 8 * (mixed & changed & ~self._mixed(new, chars))
-                    short = np.clip(gain, -4, 3)  # a short word goes along with its neighbours, but proves little
-                    gain = np.where(lacking, -4.0, np.where(changed, np.where(letters >= 3, gain, short), 0.0))
-                    least = self.params.byte_gain
-                upto = np.concatenate([[0], np.cumsum(np.maximum(gain, 0))])
-                sums = upto[first[1:]] - upto[first[:-1]]
-                for r in np.flatnonzero(sums >= least):
-                    tokens = gain[first[r] : first[r + 1]]
-                    top = _top_stretch(tokens)[0]
-                    if top >= least and (best[r] is None or top > best[r][0]):
-                        best[r] = (top, (read_as, written_in), tokens)
+            gain = self.gain[at[first[r] : first[r + 1]], col]
+            top = _top_stretch(gain)[0]
+            rank = (mapping[1] == "utf-8" and top > 4, top)  # chance does not make several valid sequences
+            if top >= self.least[col] and (best[r] is None or rank > best[r][0]):
+                best[r] = (rank, mapping, gain)
         return best
 
     def _known(self, text: str) -> bool:
         """Whether all characters occur in the corpus or are letters and marks of common scripts."""
         x = _raw(text)
-        usual = (x < 0x80) | (x >= 0xA0) & (x < 0x180) | (x >= 0x370) & (x < 0x530) | (x >= 0x2010) & (x < 0x2045) | (x >= 0x20A0) & (x < 0x20D0) | (x == 0x2116) | (x == 0x2122)
+        usual = (x < 0x80) | (x >= 0xA0) & (x < 0x180) | (x >= 0x386) & (x < 0x3CF) | (x >= 0x400) & (x < 0x530) | (x >= 0x2010) & (x < 0x2045) | (x >= 0x20A0) & (x < 0x20D0) | (x == 0x2116) | (x == 0x2122)
         return bool((usual | (self.scores.ids(x) < len(self.scores.alphabet))).all())
 
-    @staticmethod
-    def _mixed(x: np.ndarray, chars) -> np.ndarray:
-        """Which tokens have letters of both the Latin and the Cyrillic script."""
-        latin, letter = (x < 0x250) & (_KINDS[x] > 0), (x >= 0x400) & (x < 0x530)
-        return (chars(latin) > 0) & (chars(letter) > 0)
-
-    @staticmethod
-    def _letter(x: np.ndarray) -> np.ndarray:
-        return _KINDS[x] > 0
-
     def _apply(self, run: str, mapping: tuple[str, str], gain: np.ndarray) -> str:
         """The run with the best stretch of tokens mapped; tokens between mapped ones are mapped where they can be."""
         _, lo, hi = _top_stretch(gain) if mapping[1] != "utf-8" else (0, 0, len(gain))  # what is valid UTF-8 needs no neighbours
@@ -392,14 +441,13 @@ class Repairer:
                     last = m.end()
         return "".join([*out, run[last:]])
 
-    def _pass(self, now: list[str], which: list[int], only: tuple[str, str] | None = None) -> dict[int, set]:
+    def _pass(self, now: list[str], which: list[int], least: float, only: set[tuple[str, str]] | None = None) -> dict[int, set]:
         """Undoes what it finds in the given texts; gives the mappings used in each text that changed."""
         whole = "\x00" + "\x00".join(now[i] for i in which) + "\x00"
         starts = np.cumsum([1, *(len(now[i]) + 1 for i in which)])
-        found = [(a, b) for a, b, _ in self.runs(whole)] if only is None else [(int(a), int(b) - 1) for a, b in zip(starts[:-1], starts[1:])]
+        found = self.runs(whole, least)
         own: dict[int, list] = {}
-        fixes = self.best([whole[a:b] for a, b in found], only) if found else []
-        for (a, b), fix in zip(found, fixes):
+        for (a, b), fix in zip(found, self.best([whole[a:b] for a, b in found], only)):
             if fix is not None:
                 k = int(np.searchsorted(starts, a, side="right")) - 1
                 own.setdefault(which[k], []).append((a - int(starts[k]), b - int(starts[k]), fix))
@@ -413,17 +461,17 @@ class Repairer:
 
     def repair(self, texts: list[str]) -> list[str | None]:
         """The restored texts, None for those in which nothing was garbled."""
-        now = list(texts)
+        now, p = list(texts), self.params
         open_ = [i for i, t in enumerate(texts) if t]
-        for _ in range(self.params.passes):
-            used = self._pass(now, open_) if open_ else {}
-            # A mapping found in a text is then tried on the whole of it, for what the improbable runs left out.
-            for mapping in sorted({m for own in used.values() for m in own}):
-                again = [i for i, own in used.items() if mapping in own]
-                for _ in range(self.params.passes):
-                    again = list(self._pass(now, again, mapping)) if again and mapping[1] != "utf-8" else again
-                if mapping[1] == "utf-8":
-                    self._pass(now, again, mapping)
+        for _ in range(p.passes):
+            used = self._pass(now, open_, p.run_score) if open_ else {}
+            # In a text known to be garbled less improbable runs are tried as well, with the mappings found in it.
+            groups: dict[frozenset, list[int]] = {}
+            for i, own in used.items():
+                groups.setdefault(frozenset(own), []).append(i)
+            for own, again in groups.items():
+                for _ in range(p.passes):
+                    again = list(self._pass(now, again, p.kin_score, set(own))) if again else again
             open_ = list(used)
         return [t if t != texts[i] else None for i, t in enumerate(now)]
 
