@@ -29,7 +29,7 @@ UTF8_READ_AS = ("cp1254", "iso8859-2")
 
 @dataclass(frozen=True)
 class GarbleParams:
-    alphabet: int = 1024  # characters with counts of their own; the rest share 64 classes by code point
+    alphabet: int = 4096  # bound of the characters with counts of their own; any others, of scripts of thousands, share 64 classes
     low_share: float = 0.1  # share of the corpus's pairs that count as improbable
     run_score: float = 3.0  # least score of an improbable run, and of one in a text known to be garbled
     kin_score: float = 1.0

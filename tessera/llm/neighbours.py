@@ -1,9 +1,10 @@
 """The k most similar vectors of every vector.
 
 A forest of random-projection trees is fitted on a bounded sample; every vector is then indexed in one leaf of
-each tree. A query walks all trees through one shared priority queue (best margin first) and visits the best
-`probes` leaves. Candidates are scored there on the exact vectors: near-copies lie closer together than any short code
-could tell apart.
+each tree. A query walks all trees through one shared priority queue (smallest squared distance to the planes crossed
+first) and visits the best `probes` leaves. How many that takes is measured: a set of queries is compared with all
+vectors, and the queue goes on until it has met the wanted share of their true neighbours. Candidates are reranked
+there on the exact vectors: near-copies lie closer together than any short code could tell apart.
 
 Equal vectors form one class, which is indexed once; a class carries its k + 1 smallest ids, all that any top-k
 list can ever use, so that a vector copied a billion times costs no more than any other row.
@@ -26,12 +27,16 @@ from tessera.runtime import spool
 
 @dataclass(frozen=True)
 class ForestParams:
-    trees: int = 8
-    probes: int = 16
-    leaf_rows: int = 128  # rows aimed at in a leaf
+    recall: float = 0.96  # share of true neighbours that the probed leaves must hold, measured on `tried` queries
+    tried: int = 256
+    trees: int = 4
+    leaves: int = 64  # leaves aimed at in a tree, as long as a leaf has from least_rows to most_rows
+    least_rows: int = 1_024
+    most_rows: int = 4_096
     fit_rows: int = 20_000  # bound of the sample the trees are fitted on
     fit_leaf: int = 8  # sample rows a fitted leaf must hold
-    block_rows: int = 4_096  # a leaf of more rows or queries is worked off in blocks of this size
+    block_rows: int = 16_384  # a leaf of more rows or queries is worked off in blocks of this size
+    axes: int = 16  # a node's directions are drawn from its sample's covariance along so many main axes
     seed: int = 7
 
 
@@ -39,11 +44,13 @@ class Forest:
     """Complete binary trees in heap order: node i has the children 2i and 2i + 1; leaves are numbered from 0."""
 
     def __init__(self, x: np.ndarray, rows: int, p: ForestParams):
-        wanted = max(0, int(np.ceil(np.log2(max(1, rows / p.leaf_rows)))))
+        aim = min(max(rows / p.leaves, p.least_rows), p.most_rows)
+        wanted = max(0, int(np.ceil(np.log2(max(1, rows / aim)))))
         fitted = max(0, int(np.floor(np.log2(max(1, len(x) / p.fit_leaf)))))
         self.p, self.depth, self.extra = p, min(wanted, fitted), max(0, wanted - fitted)
+        self.total = self.depth + self.extra
         rng, dim = np.random.default_rng(p.seed), x.shape[1]
-        inner, leaves = 1 << self.depth, 1 << self.depth
+        inner = leaves = 1 << self.depth
         self.normal = np.zeros((p.trees, inner, dim), np.float32)
         self.offset = np.zeros((p.trees, inner), np.float32)
         centre = np.zeros((p.trees, leaves, dim), np.float32)
@@ -51,11 +58,7 @@ class Forest:
             held = {1: np.arange(len(x))}
             for node in range(1, inner):
                 own = held.pop(node)
-                a, b = x[rng.choice(own, 2, replace=len(own) < 2)] if len(own) else np.zeros((2, dim))
-                normal = a - b
-                if not normal.any():
-                    normal = rng.standard_normal(dim)
-                normal = (normal / np.linalg.norm(normal)).astype(np.float32)
+                normal = self._direction(x[own], rng)
                 at = x[own] @ normal
                 cut = np.float32(np.median(at)) if len(own) else np.float32(0)
                 self.normal[t, node], self.offset[t, node] = normal, cut
@@ -63,54 +66,66 @@ class Forest:
             for node, own in held.items():
                 if len(own):
                     centre[t, node - leaves] = x[own].mean(0)
-        # Beyond the depth that the sample supports, fixed directions through the leaf's centre go on splitting.
+        # Beyond the depth that the sample supports, fixed directions through the fitted leaf's centre go on splitting.
         self.deep = rng.standard_normal((p.trees, self.extra, dim)).astype(np.float32)
+        self.deep /= np.maximum(np.linalg.norm(self.deep, axis=2, keepdims=True), 1e-9)
         self.deep_offset = np.einsum("tld,ted->tle", centre, self.deep)
 
-    def _deepen(self, x: np.ndarray, tree: np.ndarray, leaf: np.ndarray) -> np.ndarray:
-        out = leaf.astype(np.int64)
-        for e in range(self.extra):
-            side = np.einsum("nd,nd->n", x, self.deep[tree, e]) >= self.deep_offset[tree, leaf, e]
-            out = out * 2 + side
-        return out * self.p.trees + tree
+    def _direction(self, x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """A random direction in which the rows differ: normal, with their covariance along its main axes."""
+        normal = rng.standard_normal(x.shape[1])
+        if len(x) > 1:
+            spread, axis = np.linalg.eigh(np.cov(x.T))
+            drawn = axis[:, -self.p.axes :] @ (rng.standard_normal(axis[:, -self.p.axes :].shape[1]) * np.sqrt(np.maximum(spread[-self.p.axes :], 0)))
+            normal = drawn if np.linalg.norm(drawn) > 1e-6 else normal
+        return (normal / np.linalg.norm(normal)).astype(np.float32)
+
+    def _margin(self, x: np.ndarray, tree: np.ndarray, node: np.ndarray, level: np.ndarray) -> np.ndarray:
+        """On which side of a node's plane a row lies, and how far from it."""
+        fitted = np.where(level < self.depth, node, 0)
+        m = np.einsum("nd,nd->n", x, self.normal[tree, fitted]) - self.offset[tree, fitted]
+        below = np.flatnonzero(level >= self.depth)
+        if len(below):
+            e, t = level[below] - self.depth, tree[below]
+            leaf = (node[below] >> e) - (1 << self.depth)
+            m[below] = np.einsum("nd,nd->n", x[below], self.deep[t, e]) - self.deep_offset[t, leaf, e]
+        return m
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """The leaf of every row in every tree."""
         out = []
         for t in range(self.p.trees):
-            node = np.ones(len(x), np.int64)
-            for _ in range(self.depth):
-                node = 2 * node + (np.einsum("nd,nd->n", x, self.normal[t, node]) >= self.offset[t, node])
-            out.append(self._deepen(x, np.full(len(x), t), node - (1 << self.depth)))
+            node, tree = np.ones(len(x), np.int64), np.full(len(x), t)
+            for level in range(self.total):
+                node = 2 * node + (self._margin(x, tree, node, np.full(len(x), level)) >= 0)
+            out.append((node - (1 << self.total)) * self.p.trees + t)
         return np.stack(out, 1)
 
-    def search(self, x: np.ndarray) -> np.ndarray:
+    def search(self, x: np.ndarray, probes: int) -> np.ndarray:
         """The `probes` leaves of every row that the shared queue yields first; -1 once the queue is empty."""
         n, trees, every = len(x), self.p.trees, np.arange(len(x))
-        width = trees + self.p.probes * max(1, self.depth)
-        key = np.full((n, width), -np.inf, np.float32)
-        node, tree = np.ones((n, width), np.int64), np.zeros((n, width), np.int64)
-        key[:, :trees], tree[:, :trees], used = np.inf, np.arange(trees), trees
+        probes = min(probes, trees << self.total)
+        width = trees + probes * max(1, self.total)
+        cost = np.full((n, width), np.inf, np.float32)
+        node, tree, level = np.ones((n, width), np.int64), np.zeros((n, width), np.int16), np.zeros((n, width), np.int16)
+        cost[:, :trees], tree[:, :trees], used = 0, np.arange(trees), trees
         out = []
-        for _ in range(min(self.p.probes, trees << self.depth)):
-            best = key.argmax(1)
-            at, tr, margin = node[every, best], tree[every, best], key[every, best].copy()
-            gone = np.isneginf(margin)
-            key[every, best] = -np.inf
-            for _ in range(self.depth):
-                inner = (at < (1 << self.depth)) & ~gone
+        for _ in range(probes):
+            best = cost[:, :used].argmin(1)
+            at, tr, depth, own = node[every, best], tree[every, best].astype(np.int64), level[every, best].astype(np.int64), cost[every, best].copy()
+            gone = np.isinf(own)
+            cost[every, best] = np.inf
+            while True:
+                inner = (depth < self.total) & ~gone
                 if not inner.any():
                     break
-                here = np.where(inner, at, 1)
-                m = np.einsum("nd,nd->n", x, self.normal[tr, here]) - self.offset[tr, here]
+                m = self._margin(x, tr, np.where(inner, at, 1), np.where(inner, depth, 0))
                 right = m >= 0
-                key[:, used] = np.where(inner, np.minimum(margin, -np.abs(m)), -np.inf)
-                node[:, used], tree[:, used] = 2 * here + ~right, tr
-                margin = np.where(inner, np.minimum(margin, np.abs(m)), margin)
-                at = np.where(inner, 2 * here + right, at)
+                cost[:, used] = np.where(inner, own + m * m, np.inf)
+                node[:, used], tree[:, used], level[:, used] = 2 * at + ~right, tr, depth + 1
+                at, depth = np.where(inner, 2 * at + right, at), depth + inner
                 used += 1
-            leaf = np.where(gone, 0, at - (1 << self.depth))
-            out.append(np.where(gone, -1, self._deepen(x, tr, leaf)))
+            out.append(np.where(gone, -1, (at - (1 << self.total)) * trees + tr))
         return np.stack(out, 1)
 
 
@@ -130,26 +145,111 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-#: What two ways of summing a cosine may differ by.
-_ROUNDING = 1e-12
+#: What a cosine in single precision may be off, twice.
+_BLUR = 1e-5
 
 _ROW = T.StructType([
     T.StructField("leaf", T.LongType()), T.StructField("is_query", T.BooleanType()),
     T.StructField("id", T.LongType()), T.StructField("vector", T.BinaryType()),
 ])
+_LISTS = "id long, near array<struct<far: double, other: long>>"  # far is the cosine with its sign turned: small is near
+
+
+def _best(query: np.ndarray, far: np.ndarray, other: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query its `keep` nearest different others, ties by the smaller id."""
+    if not len(query):
+        return query, far, other
+    order = np.lexsort((other, far, query))
+    query, far, other = query[order], far[order], other[order]
+    first = np.r_[True, (query[1:] != query[:-1]) | (other[1:] != other[:-1]) | (far[1:] != far[:-1])]
+    query, far, other = query[first], far[first], other[first]
+    start = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+    rank = np.arange(len(query)) - np.repeat(start, np.diff(np.r_[start, len(query)]))
+    top = rank < keep
+    return query[top], far[top], other[top]
+
+
+def _exact(q: np.ndarray, r: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The cosines of pairs of unit vectors, summed in one order for every pair."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), 65_536):
+        out[at : at + 65_536] = np.einsum("nd,nd->n", q[i[at : at + 65_536]], r[j[at : at + 65_536]])
+    return np.minimum(out, 1.0)
+
+
+def _candidates(q: np.ndarray, r: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): for each row of q at least the `keep` rows of r of highest cosine. The keep-th highest of the maxima of
+    groups of columns is a lower bound of the keep-th highest value."""
+    s = q @ r.T
+    groups = min(len(r), max(64, 4 * keep))
+    if len(r) > groups:
+        size = len(r) // groups
+        high = s[:, : groups * size].reshape(len(q), groups, size).max(2)
+        bound = np.partition(high, groups - keep, axis=1)[:, groups - keep, None]
+        return np.nonzero(s >= bound - _BLUR)
+    return np.nonzero(s > -2)
+
+
+def _lists(query: np.ndarray, far: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+    start = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, np.int64)
+    items = pa.StructArray.from_arrays([pa.array(far), pa.array(other)], names=["far", "other"])
+    return pa.RecordBatch.from_arrays([pa.array(query[start], pa.int64()), pa.ListArray.from_arrays(pa.array(np.r_[start, len(query)], pa.int32()), items)], names=["id", "near"])
+
+
+def _probes(reps: DataFrame, forest: Forest, asked_ids: np.ndarray, asked: np.ndarray, dim: int, k: int) -> int:
+    """How many leaves the queue must yield to hold the wanted share of the k nearest of the asked vectors, which are
+    compared with all vectors; the most there are if nothing less does."""
+    p = forest.p
+    most = p.trees << forest.total
+    if most == p.trees:
+        return 1
+    held = reps.sparkSession.sparkContext.broadcast((forest, asked_ids, asked))  # bounded by fit_rows and tried
 
-
-def _indexed(reps: DataFrame, forest: Forest, dim: int) -> DataFrame:
+    def run(batches):
+        forest, own, q = held.value
+        best = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
+        leaf: dict[int, list[int]] = {}
+        for b in batches:
+            ids = b.column("id").to_numpy()
+            for at in range(0, len(ids), 4096):
+                r = _unit(_matrix(b.column("dense").slice(at, 4096), dim))
+                part = ids[at : at + 4096]
+                i, j = _candidates(q, r, min(k + 1, len(r)))
+                i, j = (x[own[i] != part[j]] for x in (i, j))
+                best = [np.concatenate(x) for x in zip(best, (own[i], -_exact(q, r, i, j), part[j]))]
+                best = list(_best(*best, k))
+                new = np.flatnonzero(np.isin(part, best[2]))
+                leaf |= zip(part[new].tolist(), forest.leaves(r[new].astype(np.float32)).tolist())
+        yield pa.RecordBatch.from_arrays([*map(pa.array, best), pa.array([leaf[o] for o in best[2].tolist()], pa.list_(pa.int64()))], names=["id", "far", "other", "leaf"])
+
+    found = reps.select("id", "dense").mapInArrow(run, "id long, far double, other long, leaf array<long>")
+    rank = F.row_number().over(W.partitionBy("id").orderBy("far", "other"))
+    found = found.withColumn("n", rank).filter(F.col("n") <= k).select("id", "leaf").collect()  # at most tried * k rows
+    row = {i: n for n, i in enumerate(asked_ids.tolist())}
+    query, leaves = np.array([row[f.id] for f in found], np.int64), np.array([f.leaf for f in found], np.int64)
+    x, probes = asked.astype(np.float32), 8
+    while len(query):
+        order = forest.search(x, probes)
+        hit = (order[query][:, :, None] == leaves[:, None, :]).any(2)
+        share = np.cumsum(np.bincount(hit.argmax(1)[hit.any(1)], minlength=order.shape[1])) / len(query)
+        if share[-1] >= p.recall or probes >= most:
+            return min(most, int(np.argmax(share >= p.recall)) + 1 if share[-1] >= p.recall else most)
+        probes *= 2
+    return 1
+
+
+def _indexed(reps: DataFrame, forest: Forest, probes: int, dim: int) -> DataFrame:
     held = reps.sparkSession.sparkContext.broadcast(forest)  # bounded by fit_rows, whatever the number of vectors
+    step = max(16, min(4096, 2_000_000 // (forest.p.trees + probes * max(1, forest.total))))
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
                 dense = _matrix(part.column("dense"), dim)
                 ids, raw_rows = part.column("id").to_numpy(), dense.astype(np.float32)
                 x = _unit(dense).astype(np.float32)
-                for leaf, is_query in ((held.value.leaves(x), False), (held.value.search(x), True)):
+                for leaf, is_query in ((held.value.leaves(x), False), (held.value.search(x, probes), True)):
                     row = np.repeat(np.arange(len(ids)), leaf.shape[1])
                     keep = leaf.ravel() >= 0
                     row = row[keep]
@@ -161,10 +261,10 @@ def _indexed(reps: DataFrame, forest: Forest, dim: int) -> DataFrame:
     return reps.select("id", "dense").mapInArrow(run, _ROW)
 
 
-def _leaf_pairs(rows: DataFrame, dim: int, keep: int, floor: float | None, block: int) -> DataFrame:
-    """(id, other): in every leaf, the `keep` best of its rows for each of its queries, by the whole vectors."""
+def _leaf_lists(rows: DataFrame, dim: int, keep: int, block: int) -> DataFrame:
+    """(id, near): for each query the `keep` nearest rows of its leaves, in parts, by the whole vectors."""
     size = rows.groupBy("leaf").agg(F.count_if(~F.col("is_query")).alias("n_rows"), F.count_if("is_query").alias("n_queries"))
-    heavy = size.filter((F.col("n_rows") > block) | (F.col("n_queries") > block))
+    heavy = size.filter((F.col("n_rows") > block) | (F.col("n_queries") > 4 * block))
     if heavy.isEmpty():
         rows = rows.withColumns({"row_block": F.lit(0), "query_block": F.lit(0)})
     else:
@@ -179,107 +279,88 @@ def _leaf_pairs(rows: DataFrame, dim: int, keep: int, floor: float | None, block
         )
     keys = ["leaf", "row_block", "query_block"]
 
-    def score(tab: pa.Table):
-        x = _unit(np.frombuffer(b"".join(tab.column("vector").to_pylist()), np.float32).reshape(-1, dim).astype(np.float64))
-        ids, query = tab.column("id").to_numpy(), tab.column("is_query").to_numpy()
-        group = np.stack([tab.column(k).to_numpy() for k in keys])
-        cuts = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0)) + 1
-        for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(ids)]):
-            q, r = lo + np.flatnonzero(query[lo:hi]), lo + np.flatnonzero(~query[lo:hi])
-            if not len(q) or not len(r):
-                continue
-            s = x[q] @ x[r].T
-            s[ids[q][:, None] == ids[r][None, :]] = -2
-            if s.shape[1] > keep:
-                cut = np.partition(s, s.shape[1] - keep, axis=1)[:, s.shape[1] - keep, None]
-                s[s < cut - _ROUNDING] = -2
-            i, j = np.nonzero(s > (-1.5 if floor is None else floor - _ROUNDING))
-            if len(i):
-                yield ids[q[i]], ids[r[j]]
-
-    def run(batches):
-        held = None
-
-        def flush(tab):
-            found = list(score(tab)) if tab.num_rows else []
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in (0, 1)], names=["id", "other"])
-
-        for b in batches:
-            new = pa.Table.from_batches([b])
-            held = new if held is None else pa.concat_tables([held, new])
-            group = np.stack([held.column(k).to_numpy() for k in keys])
-            changes = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(0))
-            if len(changes):  # the last group may go on in the next batch
-                yield from flush(held.slice(0, int(changes[-1]) + 1))
-                held = held.slice(int(changes[-1]) + 1)
-        if held is not None:
-            yield from flush(held)
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "is_query", "id", "vector").mapInArrow(run, "id long, other long")
+    def units(part: pa.RecordBatch) -> np.ndarray:
+        return _unit(np.frombuffer(b"".join(part.column("vector").to_pylist()), np.float32).reshape(-1, dim).astype(np.float64))
 
-
-def _cosines(pairs: DataFrame, reps: DataFrame, dim: int) -> DataFrame:
     def run(batches):
+        group, r, r_ids = None, [], []  # the rows of the group, which come before its queries
+        done, size = [], 0
         for b in batches:
-            if b.num_rows:
-                s = np.einsum("nd,nd->n", _unit(_matrix(b.column("dense_a"), dim)), _unit(_matrix(b.column("dense_b"), dim)))
-                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(np.minimum(s, 1.0))], names=["a", "b", "cosine"])
-
-    left = reps.select(F.col("id").alias("a"), F.col("dense").alias("dense_a"))
-    right = reps.select(F.col("id").alias("b"), F.col("dense").alias("dense_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "dense_a", "dense_b").mapInArrow(run, "a long, b long, cosine double")
-
-
-def nearest_vectors(
-    df: DataFrame, id_col: str, vector_col: str, k: int = 10, dim: int = 64, min_similarity: float | None = None, params: ForestParams = ForestParams()
-) -> DataFrame:
+            key = np.stack([b.column(k).to_numpy() for k in keys])
+            query = b.column("is_query").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0) | (query[1:] != query[:-1])) + 1
+            for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, b.num_rows]):
+                if lo == hi:
+                    continue
+                if group is None or (group != key[:, lo]).any():
+                    group, r, r_ids = key[:, lo], [], []
+                part, ids = b.slice(lo, hi - lo), b.column("id").to_numpy()[lo:hi]
+                if not query[lo]:
+                    r.append(units(part))
+                    r_ids.append(ids)
+                    continue
+                if not r:
+                    continue
+                r, r_ids = [np.concatenate(r)], [np.concatenate(r_ids)]
+                r32 = r[0].astype(np.float32)
+                for at in range(0, hi - lo, 512):
+                    q, own = units(part.slice(at, 512)), ids[at : at + 512]
+                    i, j = _candidates(q.astype(np.float32), r32, min(keep + 1, len(r32)))
+                    i, j = (x[own[i] != r_ids[0][j]] for x in (i, j))
+                    done.append(_best(own[i], -_exact(q, r[0], i, j), r_ids[0][j], keep))
+                    size += len(done[-1][0])
+            if size > 2_000_000:
+                done = [_best(*map(np.concatenate, zip(*done)), keep)]
+                yield _lists(*done[0])
+                done, size = [], 0
+        if done:
+            yield _lists(*_best(*map(np.concatenate, zip(*done)), keep))
+
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "is_query").select(*keys, "is_query", "id", "vector")
+    return rows.mapInArrow(run, _LISTS)
+
+
+def nearest_vectors(df: DataFrame, id_col: str, vector_col: str, k: int = 10, dim: int = 64, params: ForestParams = ForestParams()) -> DataFrame:
     """(id, neighbour, cosine, rank): for every valid vector its k most similar others, ties by the smaller id.
 
     Nulls, wrong lengths, null, NaN or infinite entries and all-zero vectors are no valid vectors: they give no
     rows and are nobody's neighbour. Repeated ids count once. An empty table, or one of a single vector, gives no
-    rows. With min_similarity, less similar neighbours are left out (and cost nothing to carry). Only id_col and
-    vector_col are read, so further columns of any name do no harm.
+    rows. Only id_col and vector_col are read, so further columns of any name do no harm.
     """
     vectors = (
         df.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda v: v.cast("float")).alias("dense"))
         .filter(F.col("id").isNotNull() & valid_vector(F.col("dense"), dim))
         .withColumn("key", F.concat(F.hex(F.xxhash64("dense")), F.hex(F.hash("dense"))))
     )
-    classes = vectors.groupBy("key").agg(F.min(F.struct("id", "dense")).alias("first"), F.countDistinct("id").alias("members"))
-    reps = spool(classes.select("key", "first.id", "first.dense", "members"), "neighbours-classes")
+    classes = vectors.groupBy("key").agg(F.min(F.struct("id", "dense")).alias("first"), F.max("id").alias("last"))
+    reps = spool(classes.select("key", "first.id", "first.dense", (F.col("last") > F.col("first.id")).alias("shared")), "neighbours-classes")
     rows = reps.count()
     chosen = hash_sample(reps.select("id", "dense"), "id", params.fit_rows, rows, params.seed)
-    sample = _matrix(chosen.select("dense").toArrow().column("dense"), dim)
-    sample = _unit(sample) if len(sample) else sample
-    forest = Forest(sample.astype(np.float32), rows, params)
-    indexed = spool(_indexed(reps, forest, dim), "neighbours-leaves")
-    found = _leaf_pairs(indexed, dim, k, min_similarity, params.block_rows)
-    pairs = found.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    near = _cosines(pairs, reps, dim)
-    if min_similarity is not None:
-        near = near.filter(F.col("cosine") >= min_similarity)
-    near = spool(near, "neighbours-pairs")
-    near = near.select(F.col("a").alias("rep"), F.col("b").alias("other"), "cosine").union(near.select(F.col("b"), F.col("a"), "cosine"))
-
-    shared = reps.filter("members > 1").select("key", F.col("id").alias("rep"))
+    sample = chosen.orderBy(F.xxhash64("id", F.lit(params.seed + 1))).toArrow()
+    x = _matrix(sample.column("dense"), dim)
+    x = _unit(x) if len(x) else x
+    forest = Forest(x.astype(np.float32), rows, params)
+    probes = _probes(reps, forest, sample.column("id").to_numpy()[: params.tried], x[: params.tried], dim, k)
+    indexed = spool(_indexed(reps, forest, probes, dim), "neighbours-leaves")
+    lists = _leaf_lists(indexed, dim, k, params.block_rows).groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near"))  # at most k a visited leaf
+    lists = spool(lists.select(F.col("id").alias("rep"), F.slice(F.array_sort(F.array_distinct("near")), 1, k).alias("near")), "neighbours-lists")
+
+    shared = reps.filter("shared").select("key", F.col("id").alias("rep"))
     copies = spool(vectors.select("id", "key").distinct().join(shared, "key").select("rep", "id"), "neighbours-copies")
-    by_id = W.partitionBy("rep").orderBy("id")
-    heads = copies.withColumn("n", F.row_number().over(by_id)).filter(F.col("n") <= k + 1).select("rep", F.col("id").alias("head"))
-    lists = (
-        near.join(heads.withColumnRenamed("rep", "other"), "other", "left")
-        .select("rep", F.coalesce("head", "other").alias("neighbour"), "cosine")
-        .union(heads.select("rep", "head", F.lit(1.0)))
-    )
-    best = W.partitionBy("rep").orderBy(F.desc("cosine"), "neighbour")
-    lists = (
-        lists.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1)
-        .groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "neighbour", "cosine"))).alias("near"))
-    )
-    # Every copy takes its class's list without itself; a vector without copies is a class of its own.
-    out = lists.join(copies, "rep", "left").select(F.coalesce("id", "rep").alias("id"), "near")
-    others = F.slice(F.filter("near", lambda x: x["neighbour"] != F.col("id")), 1, k)
-    return out.select("id", F.posexplode(others).alias("pos", "x")).select("id", F.col("x.neighbour").alias("neighbour"), F.col("x.cosine").alias("cosine"), (F.col("pos") + 1).alias("rank"))
+    if copies.isEmpty():
+        return lists.select(F.col("rep").alias("id"), F.posexplode("near").alias("pos", "x")).select("id", F.col("x.other").alias("neighbour"), (-F.col("x.far")).alias("cosine"), (F.col("pos") + 1).alias("rank"))
+    heads = copies.withColumn("n", F.row_number().over(W.partitionBy("rep").orderBy("id"))).filter(F.col("n") <= k + 1).select("rep", F.col("id").alias("head"))
+    near = lists.select("rep", F.explode("near").alias("x")).select("rep", "x.other", "x.far")
+    near = near.join(heads.withColumnRenamed("rep", "other"), "other", "left").select("rep", "far", F.coalesce("head", "other").alias("other"))
+    near = near.union(heads.select("rep", F.lit(-1.0), "head"))
+    best = F.row_number().over(W.partitionBy("rep").orderBy("far", "other"))
+    lists = near.withColumn("n", best).filter(F.col("n") <= k + 1).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("far", "other"))).alias("near"))
+    # Every copy takes its class's list without itself. The copies of a class may be many; as a side of an inner join
+    # they can be split.
+    singles = lists.join(shared.select("rep"), "rep", "left_anti").select(F.col("rep").alias("id"), "near")
+    out = singles.unionByName(copies.join(lists, "rep").select("id", "near"))
+    others = F.slice(F.filter("near", lambda x: x["other"] != F.col("id")), 1, k)
+    return out.select("id", F.posexplode(others).alias("pos", "x")).select("id", F.col("x.other").alias("neighbour"), (-F.col("x.far")).alias("cosine"), (F.col("pos") + 1).alias("rank"))
 
 
 def similar_pairs(neighbours: DataFrame, min_similarity: float) -> DataFrame:

@@ -21,8 +21,13 @@ from tessera.runtime import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = nearest_vectors(table(spark, sf_dir, "chunk_vectors"), "vec_id", "dense", k=10, min_similarity=0.9)
-    return similar_pairs(near, 0.9)
+    return similar_pairs(nearest_vectors(table(spark, sf_dir, "chunk_vectors"), "vec_id", "dense", k=10), 0.9)
+
+
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists of the stated query set, every vector whose id is divisible by 20, against all vectors."""
+    near = nearest_vectors(table(spark, sf_dir, "chunk_vectors"), "vec_id", "dense", k=10).filter("id % 20 = 0")
+    return near.select(F.col("id").alias("vec_id"), "neighbour", F.round("cosine", 6).alias("cosine"), "rank")
 
 
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,11 +93,19 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p3_found, p3_survivors, p4_found, p5_found, p6_found, p6_repaired, p7_ids, p8_containers, p9_found, p9_restored)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pieces, p3_found, p3_survivors, p4_found, p5_found, p6_found, p6_repaired, p7_ids, p8_containers, p9_found, p9_restored)}
 
 
 _SPACES = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(133)||chr(160)||chr(5760)||" + "||".join(f"chr({p})" for p in (*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
+_P1 = """
+with v as (select vec_id, list_transform(dense, lambda e: cast(e as double)) as d from chunk_vectors
+  where len(dense) = 64 and len(list_filter(dense, lambda e: e is not null and isfinite(e))) = 64 and len(list_filter(dense, lambda e: e <> 0)) > 0),
+u as (select vec_id, d, sqrt(list_dot_product(d, d)) as l from v),
+s as (select a.vec_id, b.vec_id as neighbour, round(list_dot_product(a.d, b.d) / a.l / b.l, 12) as c from u a, u b where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id)
+select vec_id, neighbour, round(least(c, 1), 6) as cosine, cast(row_number() over (partition by vec_id order by c desc, neighbour) as int) as rank from s qualify rank <= 10
+"""
+
 _P2 = f"""
 select distinct item_table, item_id, field from (
   select 'section_nodes' as item_table, node_id as item_id, 'text' as field, text as t, 1330 as most from section_nodes
@@ -126,4 +139,4 @@ select group_id, field, cand_id from (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2, "p3_found": _P3}
+    return {"p1_neighbours": _P1, "p2_found": _P2, "p3_found": _P3}
