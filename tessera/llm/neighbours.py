@@ -30,7 +30,7 @@ class ForestParams:
     recall: float = 0.96  # share of true neighbours that the probed leaves must hold, measured on `tried` queries
     tried: int = 256
     trees: int = 4
-    leaves: int = 64  # leaves aimed at in a tree, as long as a leaf has from least_rows to most_rows
+    leaves: int = 32  # leaves aimed at in a tree, as long as a leaf has from least_rows to most_rows
     least_rows: int = 1_024
     most_rows: int = 4_096
     fit_rows: int = 20_000  # bound of the sample the trees are fitted on
@@ -184,16 +184,16 @@ def _candidates(q: np.ndarray, r: np.ndarray, keep: int) -> tuple[np.ndarray, np
     groups = min(len(r), max(64, 4 * keep))
     if len(r) > groups:
         size = len(r) // groups
-        high = s[:, : groups * size].reshape(len(q), groups, size).max(2)
+        high = s[:, : groups * size].reshape(len(q), size, groups).max(1)
         bound = np.partition(high, groups - keep, axis=1)[:, groups - keep, None]
-        return np.nonzero(s >= bound - _BLUR)
-    return np.nonzero(s > -2)
+        return np.divmod(np.flatnonzero(s >= bound - _BLUR), len(r))
+    return np.divmod(np.arange(s.size), len(r))
 
 
 def _lists(query: np.ndarray, far: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
     start = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, np.int64)
     items = pa.StructArray.from_arrays([pa.array(far), pa.array(other)], names=["far", "other"])
-    return pa.RecordBatch.from_arrays([pa.array(query[start], pa.int64()), pa.ListArray.from_arrays(pa.array(np.r_[start, len(query)], pa.int32()), items)], names=["id", "near"])
+    return pa.RecordBatch.from_arrays([pa.array(query[start] if len(query) else [], pa.int64()), pa.ListArray.from_arrays(pa.array(np.r_[start, len(query)], pa.int32()), items)], names=["id", "near"])
 
 
 def _probes(reps: DataFrame, forest: Forest, asked_ids: np.ndarray, asked: np.ndarray, dim: int, k: int) -> int:
@@ -303,8 +303,8 @@ def _leaf_lists(rows: DataFrame, dim: int, keep: int, block: int) -> DataFrame:
                     continue
                 r, r_ids = [np.concatenate(r)], [np.concatenate(r_ids)]
                 r32 = r[0].astype(np.float32)
-                for at in range(0, hi - lo, 512):
-                    q, own = units(part.slice(at, 512)), ids[at : at + 512]
+                for at in range(0, hi - lo, 256):
+                    q, own = units(part.slice(at, 256)), ids[at : at + 256]
                     i, j = _candidates(q.astype(np.float32), r32, min(keep + 1, len(r32)))
                     i, j = (x[own[i] != r_ids[0][j]] for x in (i, j))
                     done.append(_best(own[i], -_exact(q, r[0], i, j), r_ids[0][j], keep))
@@ -320,6 +320,31 @@ def _leaf_lists(rows: DataFrame, dim: int, keep: int, block: int) -> DataFrame:
     return rows.mapInArrow(run, _LISTS)
 
 
+def _merged(lists: DataFrame, keep: int) -> DataFrame:
+    """(id, near): one list for each id, of the `keep` nearest of its parts."""
+
+    def flat(tab: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        near = tab.column("near").combine_chunks()
+        near = pa.concat_arrays(near.chunks) if isinstance(near, pa.ChunkedArray) else near
+        items = near.flatten()
+        return np.repeat(tab.column("id").to_numpy(), near.value_lengths().to_numpy()), items.field("far").to_numpy(), items.field("other").to_numpy()
+
+    def run(batches):
+        held = None
+        for b in batches:
+            new = pa.Table.from_batches([b])
+            held = new if held is None else pa.concat_tables([held, new])
+            ids = held.column("id").to_numpy()
+            upto = int(np.searchsorted(ids, ids[-1])) if len(ids) else 0
+            if upto:  # the parts of the last id may go on in the next batch
+                yield _lists(*_best(*flat(held.slice(0, upto)), keep))
+                held = held.slice(upto)
+        if held is not None and held.num_rows:
+            yield _lists(*_best(*flat(held), keep))
+
+    return lists.repartition("id").sortWithinPartitions("id").mapInArrow(run, _LISTS)
+
+
 def nearest_vectors(df: DataFrame, id_col: str, vector_col: str, k: int = 10, dim: int = 64, params: ForestParams = ForestParams()) -> DataFrame:
     """(id, neighbour, cosine, rank): for every valid vector its k most similar others, ties by the smaller id.
 
@@ -342,8 +367,7 @@ def nearest_vectors(df: DataFrame, id_col: str, vector_col: str, k: int = 10, di
     forest = Forest(x.astype(np.float32), rows, params)
     probes = _probes(reps, forest, sample.column("id").to_numpy()[: params.tried], x[: params.tried], dim, k)
     indexed = spool(_indexed(reps, forest, probes, dim), "neighbours-leaves")
-    lists = _leaf_lists(indexed, dim, k, params.block_rows).groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near"))  # at most k a visited leaf
-    lists = spool(lists.select(F.col("id").alias("rep"), F.slice(F.array_sort(F.array_distinct("near")), 1, k).alias("near")), "neighbours-lists")
+    lists = spool(_merged(_leaf_lists(indexed, dim, k, params.block_rows), k).withColumnRenamed("id", "rep"), "neighbours-lists")
 
     shared = reps.filter("shared").select("key", F.col("id").alias("rep"))
     copies = spool(vectors.select("id", "key").distinct().join(shared, "key").select("rep", "id"), "neighbours-copies")
