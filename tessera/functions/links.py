@@ -18,6 +18,7 @@ def clean_url(url: Column) -> Column:
 
 def date_in(text: Column) -> Column:
     """The first valid date of the years 2000 to 2100: of all dd.mm.yyyy, else of all yyyy.mm.dd, else of all dd.mm.yy."""
+    #: The shapes of dates in names of files, with the place of the year.
     shapes = ((r"(\d{2})[._\-](\d{2})[._\-](\d{4})", 3), (r"(\d{4})[._\-](\d{2})[._\-](\d{2})", 1), (r"(\d{2})[._\-](\d{2})[._\-](\d{2})(?!\d)", 3))
     found = []
     for n, (shape, year) in enumerate(shapes):
@@ -29,6 +30,7 @@ def date_in(text: Column) -> Column:
 
 
 def protocol(text: Column) -> Column:
+    #: Fixed value: the shape of a protocol's number.
     return F.nullif(F.regexp_extract(text, r"(?i)protokol[_\-\s]*(\d{2,4})", 1), F.lit("")).cast("int")
 
 

@@ -34,29 +34,32 @@ def route(question: Column, locale: Locale = Locale()) -> Column:
     return F.when(about, "about").when(meta, "meta").otherwise("retrieve")
 
 
+#: How a document is listed.
+BULLET, DASH, PAGES, EDITION, SCANNED = "• ", " — ", " стр.", "ред. ", "скан/OCR"
+
+
 def corpus_listing(meta: DataFrame, parsers: DataFrame | None = None) -> DataFrame:
     """(doc_id, title, line): a line about every document, in the order of titles."""
     rows = meta if parsers is None else meta.join(parsers.select("doc_id", F.contains(F.coalesce("parser", F.lit("")), F.lit("ocr")).alias("scanned")), "doc_id", "left")
-    scanned = F.when(F.coalesce(F.col("scanned"), F.lit(False)), F.lit("скан/OCR")) if parsers is not None else F.lit(None).cast("string")
-    pages = F.when(F.col("n_pages") > 0, F.concat(F.col("n_pages").cast("string"), F.lit(" стр.")))
-    edition = F.when(F.col("effective_date").isNotNull(), F.concat(F.lit("ред. "), short_date(F.date_format("effective_date", "yyyy-MM-dd"))))
+    scanned = F.when(F.coalesce(F.col("scanned"), F.lit(False)), F.lit(SCANNED)) if parsers is not None else F.lit(None).cast("string")
+    pages = F.when(F.col("n_pages") > 0, F.concat(F.col("n_pages").cast("string"), F.lit(PAGES)))
+    edition = F.when(F.col("effective_date").isNotNull(), F.concat(F.lit(EDITION), short_date(F.date_format("effective_date", "yyyy-MM-dd"))))
     facts = F.concat_ws(", ", type_label(F.col("doc_type")), pages, edition, scanned)
-    return rows.select("doc_id", "title", F.concat(F.lit("• "), "title", F.lit(" — "), facts).alias("line"))
+    return rows.select("doc_id", "title", F.concat(F.lit(BULLET), "title", F.lit(DASH), facts).alias("line"))
 
 
 def corpus_summaries(meta: DataFrame) -> DataFrame:
     """(doc_id, title, line, has_summary): a line about the content of every document."""
-    pages = F.when(F.col("n_pages") > 0, F.concat(F.lit(", "), F.col("n_pages").cast("string"), F.lit(" стр."))).otherwise(F.lit(""))
-    head = F.concat(F.lit("• "), "title", F.lit(" ("), type_label(F.col("doc_type")), pages, F.lit(")"))
+    pages = F.when(F.col("n_pages") > 0, F.concat(F.lit(", "), F.col("n_pages").cast("string"), F.lit(PAGES))).otherwise(F.lit(""))
+    head = F.concat(F.lit(BULLET), "title", F.lit(" ("), type_label(F.col("doc_type")), pages, F.lit(")"))
     summary = F.nullif("summary", F.lit(""))
-    return meta.select("doc_id", "title", F.concat(head, F.coalesce(F.concat(F.lit(" — "), summary), F.lit(""))).alias("line"), summary.isNotNull().alias("has_summary"))
+    return meta.select("doc_id", "title", F.concat(head, F.coalesce(F.concat(F.lit(DASH), summary), F.lit(""))).alias("line"), summary.isNotNull().alias("has_summary"))
 
 
-def corpus_answer(lines: DataFrame, question_ids: DataFrame, grounded: Column) -> DataFrame:
-    """(question_id, answer, grounded): the number of documents and their lines by title, the same for all questions."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("title", "doc_id", "line"))), lambda x: x["line"]), "\n")
-    one = lines.agg(F.concat(F.count("*").cast("string"), F.lit(" документов\n"), text).alias("answer"), grounded.alias("grounded"))
-    return question_ids.select("question_id").join(F.broadcast(one))  # one row
+def corpus_lines(listing: DataFrame, summaries: DataFrame) -> DataFrame:
+    """(route, title, doc_id, line): what the routes 'meta' and 'about' answer with, a row for each document, by title."""
+    rows = listing.select(F.lit("meta").alias("route"), "title", "doc_id", "line").union(summaries.select(F.lit("about"), "title", "doc_id", "line"))
+    return rows.orderBy("route", "title", "doc_id")
 
 
 def prompts(questions: DataFrame, contexts: DataFrame, config: Config = DEFAULT) -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql.window import Window as W
 STAGE_WEIGHTS = {"receive": 0.02, "parse": 0.38, "summarize": 0.1, "chunk": 0.05, "embed": 0.4, "index": 0.05}
 
 
+RECORD = "id string, kind string, doc_type string, question string, subject string, model string, filename string, path string, grounded boolean, n_citations int, created_at timestamp, doc_id string"
+
+
 def listed(history: DataFrame) -> DataFrame:
     """The latest first."""
     return history.orderBy(F.desc("created_at"), "id")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from tessera.functions.text import clean_bullet, clean_cell, ellipsis, paragraphs
+from tessera.functions.text import clean_bullet, clean_cell, ellipsis, lenient_json, normal_keys, paragraphs
 
 
 def report_blocks(answers: DataFrame, citations: DataFrame, title: str, subject: Column | None = None, extracts: bool = False) -> DataFrame:
@@ -62,8 +63,6 @@ def valid_slides(slides: DataFrame, most: int = 6) -> DataFrame:
     bullets = F.when((F.col("layout") == "table") & ~F.col("is_table") & (F.size("bullets") == 0), flat).otherwise(F.col("bullets"))
     rows = rows.withColumns({"bullets": bullets, "new_layout": layout})
     rows = rows.filter(F.col("is_table") | (F.size("bullets") > 0)).withColumn("layout", F.col("new_layout"))
-    from pyspark.sql.window import Window as W
-
     n = F.row_number().over(W.partitionBy("question_id").orderBy("slide_no"))
     return rows.withColumn("n", n).filter(F.col("n") <= most).drop("n", "new_layout", "is_table")
 
@@ -75,8 +74,33 @@ def source_slides(citations: DataFrame, per_slide: int = 7) -> DataFrame:
     return rows.groupBy("question_id", "page_no").agg(items.alias("items"))
 
 
+#: The most characters and bullets that go with a size of type.
+FONT_STEPS = ((160, 3, 20), (320, 4, 18), (520, 2**31 - 1, 16))
+LEAST_FONT = 14
+
+
 def font_size(bullets: Column) -> Column:
     """Points for the bullets of a slide, from how much there is to show."""
-    total = F.aggregate(bullets, F.lit(0), lambda n, b: n + F.length(b))
-    n = F.size(bullets)
-    return F.when((total > 700) | (n > 7), 14).when((total > 450) | (n > 5), 16).when((total > 250) | (n > 3), 18).otherwise(20)
+    total, n = F.aggregate(bullets, F.lit(0), lambda n, b: n + F.length(b)), F.greatest(F.lit(1), F.size(bullets))
+    size = F.lit(LEAST_FONT)
+    for chars, count, points in reversed(FONT_STEPS):
+        size = F.when((total <= chars) & (n <= count), points).otherwise(size)
+    return size
+
+
+DECK = "title string, subtitle string, slides array<struct<title string, layout string, bullets array<string>, table array<array<string>>>>"
+
+
+def deck_slides(decks: DataFrame) -> DataFrame:
+    """The slides of decks (question_id, deck: a model's output); what is no JSON object gives none."""
+    parsed = F.from_json(normal_keys(lenient_json(F.col("deck"))), DECK)
+    rows = decks.select("question_id", F.posexplode(parsed["slides"]).alias("slide_no", "s"))
+    return rows.select("question_id", "slide_no", "s.layout", "s.title", "s.bullets", F.col("s.table").alias("rows"))
+
+
+def whole_deck(decks: DataFrame, answers: DataFrame) -> DataFrame:
+    """The valid slides of each answer's deck; answers without any get the slides made of their paragraphs."""
+    own = valid_slides(deck_slides(decks))
+    rest = answers.join(own.select("question_id").distinct(), "question_id", "left_anti")
+    made = fallback_slides(rest).withColumn("rows", F.lit(None).cast("array<array<string>>"))
+    return own.unionByName(valid_slides(made))

@@ -29,15 +29,13 @@ def scrape(pages: DataFrame, families: DataFrame, available: DataFrame | None =
     return best.join(facts, "family").select(
         slugify(F.col("family")).alias("doc_id"), "title", "doc_type", "url", "file_name", "doc_date", "protocol",
         F.col("family").alias("family_key"), "source_page", "link_text", "versions",
-    )
+    ).orderBy("family_key")
 
 
 def ingest(engine: Engine, manifest: DataFrame, parsed: DataFrame) -> DataFrame:
     """Parses and indexes all documents of a manifest whose pages (doc_id, page_texts) are there; gives the index summary."""
     meta = manifest.select("doc_id", F.coalesce("title", "doc_id").alias("title"), F.coalesce("doc_type", F.lit("regulation")).alias("doc_type"), F.col("url").alias("source_url"), F.col("doc_date").alias("effective_date"))
-    pages, nodes = engine.parse(parsed.join(meta.select("doc_id"), "doc_id", "left_semi"))
-    engine.store.replace("meta", meta.join(parsed.select("doc_id", F.size("page_texts").alias("n_pages")), "doc_id", "left").withColumn("summary", F.lit(None).cast("string")))
-    return engine.index(meta, nodes, pages)
+    return engine.add(meta, parsed, manifest)
 
 
 def request_error(question: Column, model: Column, known: list[str]) -> Column:

@@ -18,13 +18,15 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 WS = "||".join(f"chr({p})" for p in _POINTS)
+#: Unicode white space as a class of the oracle's regular expressions.
+US = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def query(sql: str | None = None):
     def add(f):
         _QUERIES[f.__name__] = f
         if sql:
-            _SQL[f.__name__] = sql.replace("{WS}", WS)
+            _SQL[f.__name__] = sql.replace("{WS}", WS).replace("{US}", US)
         return f
 
     return add
@@ -80,13 +82,9 @@ def f13_point_ids(spark, d):
     return table(spark, d, "chunks").select("chunk_id", T.uuid5(F.col("chunk_id")).alias("point_id"), F.md5("text").alias("content_hash")).distinct()
 
 
-_SLUG = "lower(trim(title, {WS}))"
-for _a, _b in T.DIGRAPHS.items():
-    _SLUG = f"replace({_SLUG}, '{_a}', '{_b}')"
-
-
-@query(f"""select doc_id, coalesce(nullif(left(regexp_replace(regexp_replace(regexp_replace(translate({_SLUG}, '{T.LETTERS[0]}', '{T.LETTERS[1]}'), '[^a-z0-9-]+', '_', 'g'),
-  '_+', '_', 'g'), '^_+|_+$', '', 'g'), 60), ''), 'document') as slug from documents""")
+@query(r"""with l as (select doc_id, translate(lower(trim(title, {WS})), 'абвгдеёзийклмнопрстуфцыэ', 'abvgdeeziyklmnoprstufcye') as t from documents),
+d as (select doc_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(t, 'ж', 'zh'), 'х', 'h'), 'ч', 'ch'), 'щ', 'sch'), 'ш', 'sh'), 'ъ', ''), 'ь', ''), 'ю', 'yu'), 'я', 'ya') as t from l)
+select doc_id, coalesce(nullif(left(trim(regexp_replace(regexp_replace(t, '[^a-z0-9-]+', '_', 'g'), '_+', '_', 'g'), '_'), 60), ''), 'document') as slug from d""")
 def f16_slugs(spark, d):
     return table(spark, d, "documents").select("doc_id", T.slugify(F.col("title")).alias("slug"))
 
@@ -120,20 +118,25 @@ def f24_long_dates(spark, d):
 select answer_id, case when answer is not null then list_transform(list_filter(list_transform(range(1, len(m) + 1), lambda i: case when list_position(m, m[i]) = i then m[i] end), lambda x: x is not null), lambda x: cast(x as int)) end as markers,
   coalesce(trim(answer, {WS}) <> '' and (starts_with(rtrim(lower(trim(answer, {WS})), '.'), 'в предоставленных документах ответ не на') or
     (length(trim(answer, {WS})) < 180 and not regexp_matches(answer, '\[\d+\]') and regexp_matches(lower(answer), 'не найден|не содержится|нет информации|не указан|отсутствует в|не предоставлен|невозможно ответить|нет ответа|не приводится'))), false) as refused,
-  trim(regexp_replace(trim(regexp_replace(regexp_replace(answer, '\s*\[\d+(\s*[,–-]\s*\d+)*\]', '', 'g'), '[\s\x{a0}\x{2000}-\x{200a}\x{3000}]+', ' ', 'g'), {WS}), '^[•\-–—*·\s\x{a0}]+', '', 'g'), {WS}) as bullet from m""")
+  trim(regexp_replace(regexp_replace(trim(regexp_replace(answer, '\[\s*\d+(\s*[,\-–]\s*\d+)*\s*\]', '', 'g'), {WS}), '^({US}|[•\-–—▸])+', ''), '{US}+', ' ', 'g'), {WS}) as bullet from m""")
 def f25_markers(spark, d):
     a = F.col("answer")
     return table(spark, d, "answers").select("answer_id", T.markers(a).alias("markers"), T.is_refusal(a, DEFAULT.refusal).alias("refused"), T.clean_bullet(a).alias("bullet")).distinct()
 
 
-@query("""select vec_id, list_sum(list_transform(list_filter(list_zip(sparse_indices, sparse_values), lambda p: p[2] > 0), lambda p: cast(p[2] as double))) as total,
-  len(list_filter(list_zip(sparse_indices, sparse_values), lambda p: p[2] > 0)) as kept from chunk_vectors where len(list_distinct(sparse_indices)) = len(sparse_indices) and len(sparse_indices) = len(sparse_values)""")
+@query("""with z as (select vec_id, list_filter(list_transform(range(1, least(len(sparse_indices), len(sparse_values)) + 1), lambda i: {'k': sparse_indices[i], 'v': cast(sparse_values[i] as double)}), lambda p: p.k is not null) as z from chunk_vectors),
+one as (select vec_id, list_filter(z, lambda p: p.v > 0 and not isnan(p.v) and p.v = list_max(list_transform(list_filter(z, lambda o: o.k = p.k), lambda o: o.v))) as p from z)
+select vec_id, list_sum(list_transform(list_distinct(p), lambda x: x.v)) as total, len(list_distinct(p)) as kept from one""")
 def f41_sparse_weights(spark, d):
-    rows = table(spark, d, "chunk_vectors").filter((F.size(F.array_distinct("sparse_indices")) == F.size("sparse_indices")) & (F.size("sparse_indices") == F.size("sparse_values")))
-    weights = F.map_from_arrays(F.transform("sparse_indices", lambda i: i.cast("string")), F.transform("sparse_values", lambda v: v.cast("double")))
+    """Of a token that repeats, the greatest weight counts."""
+    rows = table(spark, d, "chunk_vectors")
+    pairs = F.filter(F.arrays_zip(F.col("sparse_indices").alias("k"), F.col("sparse_values").alias("v")), lambda p: p["k"].isNotNull())
+    best = F.transform(F.array_distinct(F.transform(pairs, lambda p: p["k"])), lambda k: F.struct(k.cast("string").alias("k"), F.array_max(F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"].cast("double"))).alias("v")))
+    weights = F.map_from_entries(best)
     kept = F.map_values(T.positive_weights(weights))
     total = F.when(F.size(kept) > 0, F.aggregate(kept, F.lit(0.0), lambda s, v: s + v))
-    return rows.select("vec_id", total.alias("total"), F.size(kept).cast("long").alias("kept"))
+    size = F.when(F.col("sparse_indices").isNotNull(), F.size(kept)).cast("long")
+    return rows.select("vec_id", total.alias("total"), size.alias("kept"))
 
 
 # Cleaning and structure
@@ -200,7 +203,24 @@ def a4_parents(spark, d):
     return structure.parents(rows).select("doc_id", "clause_no", "number", "parent_no")
 
 
-@query()
+_STRUCTURE = r"""with recursive raw as (select cast(doc_id as varchar) as doc_id, list_transform(string_split(translate(text, chr(160)||chr(13), ' '||chr(10)), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'), {WS})) as a from documents where text is not null),
+l as (select doc_id, unnest(a) as line, generate_subscripts(a, 1) as pos from raw), k as (select doc_id, line, row_number() over (partition by doc_id order by pos) as seq from l where trim(line, {WS}) <> ''),
+c as (select *, nullif(regexp_extract(line, '^(\d{1,2}(?:\.\d{1,2}){0,5})\.\s*(.*)$', 1), '') as num, trim(regexp_extract(line, '^(\d{1,2}(?:\.\d{1,2}){0,5})\.\s*(.*)$', 2), {WS}) as rest from k where not regexp_matches(line, '\.{4,}')),
+m as (select *, max(case when instr(num, '.') = 0 then cast(num as int) end) over (partition by doc_id order by seq rows between unbounded preceding and 1 preceding) as top from c),
+o as (select *, case when not coalesce(instr(num, '.') = 0 and cast(num as int) < top, false) then num end as number from m),
+g as (select *, count(number) over (partition by doc_id order by seq) as no from o),
+n as (select doc_id, no, max(number) as number, len(string_split(max(number), '.')) - 1 as level, trim(string_agg(case when number is not null then nullif(rest, '') else trim(line, {WS}) end, ' ' order by seq), {WS}) as text from g group by 1, 2),
+h as (select doc_id, no, number, level, coalesce(text, '') as text, split_part(regexp_replace(coalesce(text, ''), '([.;]){US}', '\1' || chr(1)), chr(1), 1) as head, case when no = 0 then (select max(no) from n x where x.doc_id = n.doc_id) + 1 else no end as id_no from n where no > 0 or length(coalesce(text, '')) >= 40),
+t as (select doc_id, no, number, case when no = 0 then 0 else level end as level, text, doc_id || '#' || id_no || ':' || coalesce(number, 'preamble') as node_id, coalesce(case when text <> '' and trim(head, {WS}) <> '' and length(trim(head, {WS})) <= 140
+  and (not regexp_matches(trim(head, {WS}), '[.;,:]$') or (head = upper(head) and head <> lower(head))) then trim(head, {WS}) end, case when number is null then 'Вводная часть' end) as title from h),
+p as (select *, case when number is null then title when level >= 1 then 'п. ' || number || coalesce('. ' || title, '') else 'Раздел ' || number || coalesce('. ' || title, '') end as label from t),
+last as (select a.*, (select max(b.no) from p b where b.doc_id = a.doc_id and b.number is not null and b.no < a.no and b.level < a.level) as before from p a),
+up as (select a.*, b.node_id as parent_id, b.no as parent_no from last a left join p b on b.doc_id = a.doc_id and b.no = a.before and b.level = a.level - 1 and a.number is not null),
+path as (select doc_id, no, [label] as path, parent_no from up union all select path.doc_id, path.no, [up.label] || path.path, up.parent_no from path join up on up.doc_id = path.doc_id and up.no = path.parent_no)
+select u.node_id, u.doc_id, cast(u.level as int) as level, u.number, u.title, u.text, 1 as page_start, 1 as page_end, u.parent_id, path.path as path_titles, u.no as ord from up u join path using (doc_id, no) where path.parent_no is null"""
+
+
+@query(_STRUCTURE)
 def q6_structure(spark, d):
     docs = table(spark, d, "documents").filter(F.col("text").isNotNull())
     pages = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page_no"), T.normalize_whitespace(F.col("text")).alias("text"))
@@ -229,7 +249,22 @@ def j1_parent_context(spark, d):
     return chunking.parent_context(table(spark, d, "section_nodes").distinct(), DEFAULT.parent_chars).select("node_id", "parent_text")
 
 
-@query()
+_WINDOWS = "case when length(t) <= 1330 then [t] when trim(r.cur, {WS}) <> '' then list_append(r.w, r.cur) else r.w end"
+_CHUNKS = f"""with m as (select doc_id, x.* from (select doc_id, arg_max({{'title': title, 'doc_type': doc_type, 'source_url': source_url, 'effective_date': effective_date}}, registered_at) as x from document_meta group by 1)),
+n as (select distinct * from section_nodes), lab as (select *, {_LABEL.format('n')} as label from n),
+par as (select a.*, left(concat_ws(chr(10), case when coalesce(b.text, '') <> '' and length(coalesce(a.text, '')) < 800 then b.label || ': ' || trim(left(b.text, 600), {{WS}}) end, a.label || ': ' || coalesce(a.text, '')), 4900) as parent_text
+  from lab a left join lab b on a.doc_id = b.doc_id and a.parent_id = b.node_id),
+t as (select par.*, trim(par.text, {{WS}}) as t, m.title as doc_title, m.doc_type, m.source_url, strftime(m.effective_date, '%Y-%m-%d') as effective_date from par join m using (doc_id) where length(trim(par.text, {{WS}})) >= 24),
+f as (select *, {_FOLD.replace('{t}', 't')} as r from t), w as (select *, {_WINDOWS} as ws from f),
+c as (select *, unnest(ws) as win, generate_subscripts(ws, 1) - 1 as i from w),
+own as (select node_id || ':' || i as chunk_id, doc_id, doc_title, concat_ws(' ▸ ', nullif(doc_title, ''), case when instr(doc_title, path_titles[1]) = 0 then nullif(path_titles[1], '') end, nullif(label, '')) || ': ' || win as text, parent_text, parent_id,
+  array_to_string(path_titles, ' > ') as section_path, case when level >= 1 then number end as clause, page_start as page, cast(floor(length(win) / 3.5) as int) as token_count, doc_type, source_url, effective_date from c),
+pd as (select doc_id, any_value(page_texts) as a from parsed_documents where doc_id is not null group by 1), pg as (select doc_id, trim(unnest(a), {{WS}}) as t, generate_subscripts(a, 1) as page_no from pd where doc_id not in (select doc_id from own)),
+pf as (select *, {_FOLD.replace('{t}', 't')} as r from pg where length(t) >= 24), pw as (select *, {_WINDOWS} as ws from pf), pc as (select *, unnest(ws) as win, generate_subscripts(ws, 1) - 1 as i from pw)
+select * from own union all select doc_id || '#p' || page_no || ':' || i, doc_id, m.title, m.title || ': ' || win, win, null, 'стр. ' || page_no, null, cast(page_no as int), cast(floor(length(win) / 3.5) as int), m.doc_type, m.source_url, strftime(m.effective_date, '%Y-%m-%d') from pc join m using (doc_id)"""
+
+
+@query(_CHUNKS)
 def q8_chunks(spark, d):
     meta = table(spark, d, "document_meta").groupBy("doc_id").agg(F.max_by(F.struct("title", "doc_type", "source_url", "effective_date"), "registered_at").alias("x")).select("doc_id", "x.*")
     pages = cleaning.pages_of(table(spark, d, "parsed_documents").dropDuplicates(["doc_id"]))
@@ -264,9 +299,7 @@ top as (select *, row_number() over (partition by question_id order by score des
 def _hits(spark, d):
     chunks = _chunks(spark, d)
     weights = search.document_weights(search.postings(chunks, "chunk_id", "text"), "chunk_id", chunks.count())
-    asked = search.postings(_questions(spark, d), "question_id", "question").select("question_id", "term", (1 + F.log("n")).alias("asked"))
-    hits = asked.join(weights, "term").groupBy("question_id", "chunk_id").agg(F.round(F.sum(F.col("asked") * F.col("weight")), 9).alias("score"))
-    return search.top_k(hits, DEFAULT.retrieve_top_k)
+    return search.sparse_search(_questions(spark, d), weights, DEFAULT.retrieve_top_k)
 
 
 @query(_SEARCH + " select question_id, chunk_id, score, cast(rank as int) as rank from top")
@@ -274,39 +307,67 @@ def q2_search(spark, d):
     return _hits(spark, d)
 
 
-@query(_SEARCH + r""", s as (select question_id, chunk_id, doc_id, clause, rank as fused_rank, len(list_distinct(regexp_extract_all(lower(question), '[\p{L}\p{Nd}]+'))) as nq,
+_CONTEXTS = _SEARCH + r""", s as (select question_id, chunk_id, doc_id, clause, rank as fused_rank, len(list_distinct(regexp_extract_all(lower(question), '[\p{L}\p{Nd}]+'))) as nq,
   len(list_intersect(list_distinct(regexp_extract_all(lower(question), '[\p{L}\p{Nd}]+')), regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+'))) as shared from top join q using (question_id) join ch using (chunk_id)),
 r as (select *, round(ln((shared + 0.5) / (nq - shared + 0.5)), 9) as score from s),
 o as (select *, row_number() over (partition by question_id order by score desc, fused_rank, chunk_id) as rn, count(*) filter (score >= 0) over (partition by question_id) as passed from r),
 k as (select *, row_number() over (partition by question_id, doc_id, coalesce(nullif(clause, ''), chunk_id) order by rn) as copy from o),
 f as (select *, row_number() over (partition by question_id order by rn) - 1 as i from k where (copy = 1 and score >= 0) or (passed = 0 and rn = 1 and score >= -4)),
-h as (select *, count(*) over (partition by question_id) as n from f where i < 6)
-select question_id, chunk_id, score, cast(case when i % 2 = 0 then i // 2 else n - 1 - (i - 1) // 2 end as int) as position from h""")
+h as (select *, count(*) over (partition by question_id) as n from f where i < 6),
+ctx as (select question_id, chunk_id, score, cast(case when i % 2 = 0 then i // 2 else n - 1 - (i - 1) // 2 end as int) as position from h)"""
+
+
+@query(_CONTEXTS + " select question_id, chunk_id, score, position from ctx")
 def q1_contexts(spark, d):
     hits = spool(_hits(spark, d), "hits")
     ranked = ranking.rerank(hits, _questions(spark, d), _chunks(spark, d), lambda q, p: F.round(ranking.overlap_logit(q, p), 9))
     return ranking.select_contexts(ranked).select("question_id", "chunk_id", "score", "position")
 
 
-@query("""with q as (select vec_id as question_id, embedding as e from embeddings where vec_id % 20 = 0),
-s as (select question_id, vec_id, round(list_sum(list_transform(list_zip(e, embedding), lambda p: cast(p[1] as double) * cast(p[2] as double))), 6) as score from q, embeddings)
+_VECTORS = """v as (select vec_id, chunk_id, list_transform(dense, lambda e: cast(e as double)) as d from chunk_vectors where len(dense) > 0 and len(list_filter(dense, lambda e: e is not null and isfinite(e))) = len(dense) and len(list_filter(dense, lambda e: e <> 0)) > 0),
+u as (select vec_id, chunk_id, d, sqrt(list_dot_product(d, d)) as l from v)"""
+
+
+@query(f"""with {_VECTORS}, s as (select a.vec_id as question_id, b.vec_id, round(list_dot_product(a.d, b.d) / a.l / b.l, 6) as score from u a join u b on len(a.d) = len(b.d) where a.vec_id % 20 = 0)
 select question_id, vec_id, score, cast(row_number() over (partition by question_id order by score desc, vec_id) as int) as rank from s qualify rank <= 10""")
 def j5_dense_search(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("dense"))
+    rows = table(spark, d, "chunk_vectors").select("vec_id", "dense")
     asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), "dense")
     return search.dense_search(asked, rows, 10, "vec_id", places=6)
 
 
-@query(_SEARCH + """, b as (select question_id, chunk_id, row_number() over (partition by question_id order by chunk_id) as rank from top),
-u as (select question_id, chunk_id, rank from top union all select question_id, chunk_id, rank from b),
-g as (select question_id, chunk_id, round(sum(1.0 / (60 + rank)), 12) as score from u group by 1, 2)
-select question_id, chunk_id, score, cast(row_number() over (partition by question_id order by score desc, chunk_id) as int) as rank from g qualify rank <= 20""")
+_HYBRID = f"""with ch as (select chunk_id, any_value(text) as text from chunks where chunk_id is not null and length(text) > 0 group by 1),
+post as (select chunk_id, term, 1 + ln(count(*)) as raw from (select chunk_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{Nd}}]+')) as term from ch) group by 1, 2),
+w as (select chunk_id, term, raw / sqrt(sum(raw * raw) over (partition by chunk_id)) as w from post), df as (select term, count(*) as df from post group by 1),
+q as (select distinct answer_id as question_id, question from answers where answer_id % 20 = 0 and question is not null),
+qt as (select question_id, term, tf * ln(1 + (select count(*) from ch)::double / df) as a from (select question_id, term, 1 + ln(count(*)) as tf from (select question_id, unnest(regexp_extract_all(lower(question), '[\\p{{L}}\\p{{Nd}}]+')) as term from q) group by 1, 2) join df using (term)),
+sp as (select question_id, chunk_id, row_number() over (partition by question_id order by score desc, chunk_id) as rank from (select question_id, chunk_id, round(sum(a * w), 9) as score from qt join w using (term) group by 1, 2) qualify rank <= 50),
+{_VECTORS}, cv as (select chunk_id, arg_min(d, vec_id) as d, arg_min(l, vec_id) as l from u where chunk_id is not null group by 1),
+de as (select question_id, chunk_id, row_number() over (partition by question_id order by score desc, chunk_id) as rank from (select q.question_id, cv.chunk_id, round(list_dot_product(u.d, cv.d) / u.l / cv.l, 9) as score from q join u on u.vec_id = q.question_id join cv on len(cv.d) = len(u.d)) qualify rank <= 50),
+f as (select question_id, chunk_id, round(sum(1.0 / (60 + rank)), 12) as score from (select * from sp union all select * from de) group by 1, 2)
+select question_id, chunk_id, score, cast(row_number() over (partition by question_id order by score desc, chunk_id) as int) as rank from f qualify rank <= """
+
+
+def _hybrid(spark, d, k):
+    """Questions carry the vector of the same number; a chunk has the vector of the smallest vec_id."""
+    chunks, vectors = _chunks(spark, d), table(spark, d, "chunk_vectors").filter(search.unit(F.col("dense")).isNotNull())
+    asked = _questions(spark, d).join(vectors.select(F.col("vec_id").alias("question_id"), "dense"), "question_id", "left")
+    own = vectors.filter(F.col("chunk_id").isNotNull()).groupBy("chunk_id").agg(F.min_by("dense", "vec_id").alias("dense"))
+    sparse = search.sparse_search(asked, search.text_weights(chunks, "chunk_id", "text"), DEFAULT.retrieve_top_k, documents=chunks.count())
+    return search.fuse([sparse, search.dense_search(asked, own, DEFAULT.retrieve_top_k)], k)
+
+
+@query(_HYBRID + "20")
 def a10_fusion(spark, d):
-    from pyspark.sql.window import Window as W
+    return _hybrid(spark, d, 20)
+
 
-    first = spool(_hits(spark, d), "hits")
-    second = first.withColumn("rank", F.row_number().over(W.partitionBy("question_id").orderBy("chunk_id")))
-    return search.fuse([first, second], 20)
+@query(_HYBRID + "50")
+def q2_hybrid(spark, d):
+    chunks, vectors = _chunks(spark, d), table(spark, d, "chunk_vectors").filter(search.unit(F.col("dense")).isNotNull())
+    asked = _questions(spark, d).join(vectors.select(F.col("vec_id").alias("question_id"), "dense"), "question_id", "left")
+    own = vectors.filter(F.col("chunk_id").isNotNull()).groupBy("chunk_id").agg(F.min_by("dense", "vec_id").alias("dense"))
+    return search.hybrid_search(asked, search.text_weights(chunks, "chunk_id", "text"), own, documents=chunks.count())
 
 
 @query("""select chunk_id, doc_id, doc_type from (select distinct chunk_id, doc_id, doc_type from chunks) where doc_type in ('rules', 'tariff')""")
@@ -314,12 +375,11 @@ def pred_p3_facets(spark, d):
     return search.facets(table(spark, d, "chunks"), doc_types=["rules", "tariff"]).select("chunk_id", "doc_id", "doc_type").distinct()
 
 
-_STEMS = lambda xs: "|".join(xs)
-_LOC = answering.Locale()
-
-
-@query(f"""select distinct answer_id, case when q is null then 'retrieve' when regexp_matches(q, '{_STEMS(_LOC.topics)}') and regexp_matches(q, '{_STEMS(_LOC.topic_things)}') then 'about'
-  when regexp_matches(q, '{_STEMS(_LOC.lists)}') or (regexp_matches(q, '{_STEMS(_LOC.things)}') and regexp_matches(q, '{_STEMS(_LOC.places)}')) or regexp_matches(q, '{_STEMS(_LOC.abilities)}') then 'meta'
+@query("""select distinct answer_id, case when q is null then 'retrieve'
+  when regexp_matches(q, 'о чем|про что|чему посвящ|кратко[ем]м? содержан|о содержании|как(ая|ие) тем[аы]|тематик|суть документ') and regexp_matches(q, 'документ|файл|материал|корпус|база знан') then 'about'
+  when regexp_matches(q, '(список|перечень|сколько|что за) документ|(список|перечень) нормативн|какие нормативные документ|список файл|какие файл') or (regexp_matches(q, 'документ|файл|нормативн')
+    and regexp_matches(q, 'в базе|базе знаний|в системе|загружен|доступн|у тебя|у вас|ты знаешь|ты работаешь|с какими документ|содержит|проиндексирован|в тебе|по каким документ|твоя база|твоей базе'))
+    or regexp_matches(q, 'что в (базе|системе)|что ты (умеешь|знаешь|можешь)|чем ты можешь (помочь|быть полезен)|о чем ты можешь|что вы знаете|на какие вопросы|о чем я могу|что я могу спросить|что можно (спросить|узнать)|какие вопросы можно') then 'meta'
   else 'retrieve' end as route from (select answer_id, ' ' || replace(lower(question), 'ё', 'е') || ' ' as q from answers)""")
 def pred_p11_routes(spark, d):
     return table(spark, d, "answers").select("answer_id", answering.route(F.col("question")).alias("route")).distinct()
@@ -335,22 +395,28 @@ def q3_citations(spark, d):
     return answering.citations(rows, contexts).select("question_id", "ord", "marker", "doc_id")
 
 
-@query()
+_WRITTEN = _CONTEXTS + r""", body as (select question_id, position, regexp_replace(text, '^(?:[^:]*▸)?[^:▸]*:{US}+', '') as b from ctx join ch using (chunk_id) where position < 3),
+written as (select question_id, string_agg(split_part(regexp_replace(b, '([.!?]){US}+(\p{Lu})', '\1' || chr(1) || '\2'), chr(1), 1) || ' [' || (position + 1) || ']', ' ' order by position) as answer from body group by 1)"""
+
+
+@query(_WRITTEN + r""" select question_id, answer, trim(answer) <> '' and not (starts_with(rtrim(lower(trim(answer, {WS})), '.'), 'в предоставленных документах ответ не на') or (length(trim(answer, {WS})) < 180
+  and not regexp_matches(answer, '\[\d+\]') and regexp_matches(lower(answer), 'не найден|не содержится|нет информации|не указан|отсутствует в|не предоставлен|невозможно ответить|нет ответа|не приводится'))) as grounded from written""")
 def q4_answers(spark, d):
     chunks = _chunks(spark, d)
     contexts = spool(q1_contexts(spark, d), "contexts").join(chunks.select("chunk_id", "doc_id", "doc_title", "clause", "page", "text", "parent_text"), "chunk_id")
     return answering.extractive_answers(contexts).withColumn("grounded", answering.grounded(F.col("answer"), DEFAULT.refusal))
 
 
-@query("""with g as (select distinct answer_id as question_id, case when grounded then 'fact' else 'unanswerable' end as type, coalesce(grounded, false) as grounded, citations[1].doc_id as doc, citations[1].clause as clause, citations from answers),
-j as (select question_id, type, grounded = (type <> 'unanswerable') as ok, case when type <> 'unanswerable' and doc is not null then list_contains(list_transform(citations, lambda c: c.doc_id), doc) end as dh,
-  case when type <> 'unanswerable' and clause is not null then list_contains(list_transform(citations, lambda c: c.clause), clause) end as ch from g)
+@query("""with g as (select distinct answer_id as question_id, case when length(trim(answer, {WS})) > 0 then 'fact' else 'unanswerable' end as type, coalesce(grounded, false) as grounded, citations[-1].doc_id as doc, citations[-1].clause as clause, citations[1].doc_id as c_doc, citations[1].clause as c_clause from answers),
+j as (select question_id, type, grounded = (type <> 'unanswerable') as ok, case when type <> 'unanswerable' and doc is not null then coalesce(c_doc = doc, false) end as dh, case when type <> 'unanswerable' and clause is not null then coalesce(c_clause = clause, false) end as ch from g)
 select count(*) as total, count(*) filter (type <> 'unanswerable') as answerable, round(avg(ok::int), 3) as grounding_accuracy, round(avg(dh::int), 3) as doc_hit_rate, round(avg(ch::int), 3) as clause_hit_rate from j""")
 def g5_evaluation(spark, d):
-    rows = table(spark, d, "answers").select(F.col("answer_id").alias("question_id"), "grounded", "citations").distinct()
-    first = F.get("citations", F.lit(0))
-    golden = rows.select("question_id", F.when(F.col("grounded"), "fact").otherwise("unanswerable").alias("type"), first["doc_id"].alias("doc"), first["clause"].alias("clause"))
-    cited = rows.select("question_id", F.explode("citations").alias("c")).select("question_id", "c.doc_id", "c.clause")
+    """Whatever has an answer counts as answerable, by the document cited last; the answer counts with what it cites first."""
+    rows = table(spark, d, "answers").select(F.col("answer_id").alias("question_id"), "answer", "grounded", "citations").distinct()
+    last, first = F.try_element_at("citations", F.lit(-1)), F.get("citations", F.lit(0))
+    type_ = F.when(F.length(trimmed(F.col("answer"))) > 0, "fact").otherwise("unanswerable")
+    golden = rows.select("question_id", type_.alias("type"), last["doc_id"].alias("doc"), last["clause"].alias("clause"))
+    cited = rows.filter(F.size("citations") > 0).select("question_id", first["doc_id"].alias("doc_id"), first["clause"].alias("clause"))
     return evaluation.summarize(evaluation.judge(golden, rows, cited))
 
 
@@ -405,21 +471,48 @@ def g14_progress(spark, d):
     return history.progress(e, {"click": 0.25, "view": 0.25, "purchase": 0.5})
 
 
-@query(r"""with a as (select distinct answer_id as question_id, question, answer from answers where answer is not null),
-p as (select question_id, list_filter(list_transform(string_split(regexp_replace(answer, '\n{2,}', chr(1), 'g'), chr(1)), lambda x: trim(x, {WS})), lambda x: x <> '') as ps from a)
-select question_id, count(*) as blocks, sum(case when kind = 'paragraph' then 1 else 0 end) as paragraphs from (
-  select question_id, 'title' as kind from a union all select question_id, 'subject' from a union all select question_id, 'disclaimer' from a union all select question_id, 'paragraph' from (select question_id, unnest(ps) from p)) group by 1""")
-def w14_report_blocks(spark, d):
-    rows = table(spark, d, "answers").filter(F.col("answer").isNotNull()).select(F.col("answer_id").alias("question_id"), "question", "answer").distinct()
-    none = spark.createDataFrame([], "question_id long, ord int, marker string, doc_title string, clause string, page int, snippet string")
-    blocks = reporting.report_blocks(rows, none, "Справка")
-    return blocks.groupBy("question_id").agg(F.count("*").alias("blocks"), F.count_if(F.col("kind") == "paragraph").alias("paragraphs"))
+_PARAGRAPHS = r"list_filter(list_transform(string_split(regexp_replace(answer, '\n{2,}', chr(1), 'g'), chr(1)), lambda x: trim(x, {WS})), lambda x: x <> '')"
 
 
-@query()
+@query(r"""with a as (select distinct answer_id as question_id, question, answer, citations from answers where answer is not null),
+p as (select question_id, """ + _PARAGRAPHS + r""" as ps from a),
+c as (select question_id, answer, unnest(citations) as c, generate_subscripts(citations, 1) - 1 as pos from a),
+b as (select question_id, 0 as section, 0 as pos, 'title' as kind, 'Справка' as text from a union all select question_id, 1, 0, 'subject', question from a
+  union all select question_id, 2, generate_subscripts(ps, 1) - 1, 'paragraph', unnest(ps) from p
+  union all select question_id, 3, pos, 'extract', case when length(answer) > 500 then left(answer, 500) || '…' else answer end from c
+  union all select question_id, 4, pos, 'source', concat_ws(' | ', c.marker, c.doc_id, c.clause, cast(c.page as varchar), case when length(answer) > 500 then left(answer, 500) || '…' else answer end) from c
+  union all select question_id, 5, 0, 'disclaimer', 'Ответ составлен автоматически по приведённым источникам.' from a)
+select question_id, cast(row_number() over (partition by question_id order by section, pos) - 1 as int) as ord, kind, text from b""")
+def w14_report_blocks(spark, d):
+    rows = table(spark, d, "answers").filter(F.col("answer").isNotNull()).select(F.col("answer_id").alias("question_id"), "question", "answer", "citations").distinct()
+    cited = rows.select("question_id", "answer", F.posexplode("citations").alias("ord", "c")).select("question_id", "ord", "c.marker", F.col("c.doc_id").alias("doc_title"), "c.clause", "c.page", F.col("answer").alias("snippet"))
+    return reporting.report_blocks(rows.drop("citations"), cited, "Справка", extracts=True)
+
+
+@query(r"""with a as (select distinct answer_id as question_id, answer from answers where answer is not null),
+p as (select question_id, """ + _PARAGRAPHS + r"""[1:5] as ps from a), s as (select question_id, cast(generate_subscripts(ps, 1) - 1 as int) as slide_no, unnest(ps) as p from p),
+t as (select question_id, slide_no, string_split(trim(regexp_replace(p, '{US}+', ' ', 'g')), ' ') as words,
+  list_filter(list_transform(string_split(regexp_replace(p, '([.!?]){US}+', '\1' || chr(1), 'g'), chr(1)), lambda x: left(trim(regexp_replace(regexp_replace(trim(regexp_replace(x, '\[\s*\d+(\s*[,\-–]\s*\d+)*\s*\]', '', 'g'), {WS}),
+    '^({US}|[•\-–—▸])+', ''), '{US}+', ' ', 'g'), {WS}), 160)), lambda x: x <> '')[1:4] as raw from s),
+v as (select question_id, slide_no, words, list_filter(list_transform(raw, lambda x: trim(x, {WS})), lambda x: x <> '') as bullets from t)
+select question_id, slide_no, 'bullets' as layout, left(case when len(words) > 5 then array_to_string(words[1:5], ' ') || '…' else array_to_string(words, ' ') end, 60) as title, bullets, []::varchar[][] as rows from v where len(bullets) > 0""")
 def w15_slides(spark, d):
     rows = table(spark, d, "answers").filter(F.col("answer").isNotNull()).select(F.col("answer_id").alias("question_id"), "answer").distinct()
-    return reporting.valid_slides(reporting.fallback_slides(rows).withColumn("rows", F.lit(None).cast("array<array<string>>")))
+    none = spark.createDataFrame([], "question_id long, deck string")
+    return reporting.whole_deck(none, rows)
+
+
+@query(r"""with a as (select distinct answer_id, """ + _PARAGRAPHS + r""" as ps from answers where answer is not null), n as (select answer_id, cast(greatest(1, len(ps)) as int) as n, coalesce(list_sum(list_transform(ps, lambda x: length(x))), 0) as total from a)
+select answer_id, case when total <= 160 and n <= 3 then 20 when total <= 320 and n <= 4 then 18 when total <= 520 then 16 else 14 end as points from n""")
+def f36_font_sizes(spark, d):
+    rows = table(spark, d, "answers").filter(F.col("answer").isNotNull()).select("answer_id", T.paragraphs(F.col("answer")).alias("bullets")).distinct()
+    return rows.select("answer_id", reporting.font_size(F.col("bullets")).alias("points"))
+
+
+@query(r"""with l as (select doc_id, regexp_replace(title, '^{US}*(?i:это|этот|данный|настоящий|представленный)?{US}*(?i:документ){US}*(—|–|-|:|(?i:представляет собой)|(?i:это))?{US}*', '') as t from (select doc_id, 'Этот документ — ' || title as title from documents))
+select doc_id, coalesce(nullif(upper(left(trim(t, {WS}), 1)) || substr(trim(t, {WS}), 2), ''), 'Этот документ — ' || (select any_value(title) from documents x where x.doc_id = l.doc_id)) as title from l""")
+def f29_leadins(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.strip_leadin(F.concat(F.lit("Этот документ — "), "title")).alias("title"))
 
 
 @query("""with c as (select distinct answer_id, citations from answers where len(citations) > 0), x as (select answer_id as question_id, unnest(citations) as c, generate_subscripts(citations, 1) - 1 as ord from c)
@@ -512,13 +605,18 @@ def f38_paragraphs(spark, d):
     return table(spark, d, "documents").filter(F.col("text").isNotNull()).select("doc_id", T.paragraphs(F.col("text")).alias("paragraphs"))
 
 
-@query()
+@query(_CONTEXTS + r""", full_ as (select chunk_id, any_value(doc_title) as doc_title, any_value(parent_text) as parent_text from chunks group by 1),
+b as (select question_id, string_agg('[' || (position + 1) || '] Документ: ' || doc_title || chr(10) || coalesce(nullif(parent_text, ''), text), chr(10) || chr(10) order by position) as blocks from ctx join ch using (chunk_id) join full_ using (chunk_id) group by 1)
+select question_id, 'ВОПРОС: ' || question || chr(10) || chr(10) || 'ФРАГМЕНТЫ ДОКУМЕНТОВ:' || chr(10) || coalesce(blocks, '') || chr(10) || chr(10) ||
+  'Отвечай строго по фрагментам; если ответа нет, верни ровно "В предоставленных документах ответ не найден." После каждого факта ставь ссылку [N].' as prompt from q join b using (question_id)""")
 def f27_prompts(spark, d):
     contexts = spool(q1_contexts(spark, d), "contexts").join(_chunks(spark, d).select("chunk_id", "doc_title", "text", "parent_text"), "chunk_id")
     return answering.prompts(_questions(spark, d), contexts)
 
 
-@query()
+@query(_WRITTEN + r""", e as (select question_id, ['contexts'] || list_transform(regexp_extract_all(answer, '\S+\s*'), lambda w: 'token') || ['done'] as t,
+  [cast(n as varchar)] || regexp_extract_all(answer, '\S+\s*') || [answer] as p from written join (select question_id, count(*) as n from ctx group by 1) using (question_id))
+select question_id, cast(generate_subscripts(t, 1) - 1 as int) as seq, unnest(t) as type, unnest(p) as payload from e""")
 def q5_answer_events(spark, d):
     contexts = spool(q1_contexts(spark, d), "contexts")
     written = answering.extractive_answers(contexts.join(_chunks(spark, d).select("chunk_id", "text", "parent_text"), "chunk_id"))

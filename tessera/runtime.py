@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -37,15 +39,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, one of our own on a single machine; on a
+    cluster an error, as every executor would write to a disk of its own."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
     sc = spark.sparkContext
+    if sc.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     known = getattr(sc, "_tessera_shared_dir", None)
     if known is None:
-        known = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        sc._tessera_shared_dir = known
+        known = sc._tessera_shared_dir = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, known.removeprefix("file://"), True)
     return known
 
 
@@ -55,4 +60,15 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext.__dict__.setdefault("_tessera_spools", []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_spools(spark: SparkSession) -> int:
+    """Deletes the intermediates written so far, once the results that were made of them are stored; gives their number."""
+    sc = spark.sparkContext
+    paths = sc.__dict__.pop("_tessera_spools", [])
+    for path in paths:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from tessera import queries as core
+from tessera import runtime
 from tessera.operators.store import Store
 from tessera.plans.engine import Engine, models
 from tessera.sources import readers
@@ -108,5 +109,12 @@ def test_sources(spark, tmp_path):
     assert rows["a", 1].ocr and rows["a", 1].text == "recognised text" and rows["a", 2].text == "tiny" and "ocr off" in rows["a", 2].warning and "no pages" in rows["b", 1].warning
 
 
+def test_intermediates_are_shared_and_deleted(spark):
+    runtime.drop_spools(spark)
+    df = runtime.spool(spark.range(5), "five")
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert df.count() == 5 and os.path.exists(path) and runtime.drop_spools(spark) == 1 and not os.path.exists(path)
+
+
 def test_entry(spark):
     assert core.entry(spark, SF).count() > 0
