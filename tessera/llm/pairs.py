@@ -2,8 +2,9 @@
 
 The languages of question and answer are compared by a naive Bayes model over character n-grams, trained on labelled
 documents. Whether an answer breaks off is judged by how likely its last characters are to stand at an end of text,
-from n-gram counts over all different answers. Empty answers, copies and refusals are told by what is left of them once
-markers, markup and the words of the question, or a refusal's phrases, are set aside.
+from n-gram counts over all different answers. Refusals are told by a naive Bayes model over words and word pairs, fitted on
+a bounded sample of the answers themselves, of which those with a known phrase are the first examples. Empty answers and
+copies are told by what is left of them once markers, markup and the words of the question are set aside.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.frequent import hash_sample, most_frequent
+from tessera.llm.frequent import hash_sample
+from tessera.runtime import spool
 
-#: Answers that stand for no answer.
+#: Answers that stand for no answer.
 PLACEHOLDERS = ("n/a", "na", "none", "null", "nil", "nan", "undefined", "todo", "tbd", "пусто", "нет ответа", "leer", "empty", "vide")
 
-#: Phrases by which an answer declines or says that it cannot answer.
+#: Phrases by which an answer declines or says that it cannot answer: the first examples of refusals.
 REFUSALS = (
     r"не могу (?:ответить|дать|сказать|сообщить|помочь|предоставить|подтвердить)", r"(?:ответить|сообщить|дать|сказать|помочь) (?:на это |ничего )?не (?:могу|можем|смогу)",
     r"не знаю", r"затрудня(?:юсь|емся)", r"оснований для ответа", r"недостаточно (?:данных|сведений|информации|оснований)", r"нет (?:данных|сведений|информации|ответа) (?:для|по|об|о|на)\b",
@@ -37,7 +39,7 @@ REFUSALS = (
     r"je ne (?:peux|sais|dispose)", r"impossible de répondre",
 )
 
-#: Words by which a copied question may be introduced.
+#: Words by which a copied question may be introduced.
 QUESTION_WORDS = frozenset(("question", "вопрос", "frage", "answer", "ответ", "antwort", "q", "a"))
 
 
@@ -47,10 +49,14 @@ class PairParams:
     grams: int = 3  # its longest n-grams
     language_margin: float = 0.25  # by how much, in log odds a character, another language must win
     least_letters: int = 12  # shorter answers have no language of their own
+    held_grams: int = 300_000  # end counts beyond that number are joined to the answers instead of being sent around
     end_gram: int = 4  # characters before an end of text that are looked at
     end_share: float = 0.012  # least likelihood of an end there
+    mark_share: float = 0.03  # least likelihood of an end after the last mark alone
     short_words: int = 5  # an answer of more words has to end with a mark
     short_share: float = 3e-4  # share of all different pairs, and two at least, that make a short form a whole answer
+    fit_answers: int = 20_000  # bound of the answers the model of refusals is fitted on
+    refusal_odds: float = 5.0  # least log odds, over the root of the number of features, of a refusal
     refusal_chars: int = 320  # a refusal of more characters than that also says something
     alike: float = 0.9  # share of the question's words that a copy repeats
 
@@ -91,6 +97,32 @@ class Languages:
         return lang, s
 
 
+class Refusals:
+    """Naive Bayes over words and word pairs, refusals against answers."""
+
+    def __init__(self, answers: list[str]):
+        self.yes, self.no = Counter(), Counter()
+        self.sizes = [0, 0]
+        for a in answers:
+            text = bare(a)
+            seen = declines(text)
+            (self.yes if seen else self.no).update(self._features(text))
+            self.sizes[not seen] += 1
+        least = [g for g in self.yes.keys() | self.no.keys() if self.yes[g] + self.no[g] >= 3]
+        a, b = self.sizes
+        self.logs = {g: math.log((self.yes[g] + 0.5) / (a + 1)) - math.log((self.no[g] + 0.5) / (b + 1)) for g in least}
+        self.yes = self.no = None
+
+    @staticmethod
+    def _features(text: str) -> set[str]:
+        w = ["^", *(re.sub(r"\d+", "0", x) for x in words(_QUOTED.sub(" ", text))), "$"]
+        return set(w[1:-1]) | {f"{a} {b}" for a, b in zip(w, w[1:])}
+
+    def odds(self, text: str) -> float:
+        found = [x for x in map(self.logs.get, self._features(text)) if x is not None] if len(words(text)) > 2 else []  # less is judged by known phrases alone
+        return sum(found) / math.sqrt(len(found)) if found and self.sizes[0] >= 3 else 0.0
+
+
 _MARKER = re.compile(r"\s*\[\d+(?:\s*[,–-]\s*\d+)*\]")
 _MARKUP = re.compile(r"<[^<>]{0,40}>|```\w*|[*_#`~|{}\u200b-\u200f\u2060\ufeff\u00ad]")
 _QUOTED = re.compile(r"«[^«»]*»|“[^“”]*”|„[^„“”]*[“”]|\"[^\"]*\"")
@@ -98,10 +130,19 @@ _LATIN = re.compile(r"\b[A-Za-z][\w.\-]*\b")
 _REFUSAL = re.compile("|".join(REFUSALS), re.IGNORECASE)
 
 
+#: An ellipsis, an item or bullet just opened, or a lone letter with a stop other than those that end a year or a price.
+_OPEN_END = re.compile(r"(?:…|\.{3})$|\n\s*(?:\d{1,3}[.)]|[-•*–—])$|(?<=\s)(?![гр])[^\W\d_]\.$")
+
+
 def bare(answer: str) -> str:
     return _MARKUP.sub(" ", _MARKER.sub(" ", answer)).strip()
 
 
+def declines(text: str) -> bool:
+    """Whether a known phrase of refusal stands in a text, quotations aside."""
+    return bool(_REFUSAL.search(_QUOTED.sub(" ", re.sub(r"\s+", " ", text))))
+
+
 def words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 
@@ -130,8 +171,8 @@ def short_form(answer: str, most: int) -> str | None:
     return "=" + re.sub(r"\d+", "0", x) if len(x.split()) <= most else None
 
 
-def end_counts(df: DataFrame, question_col: str, answer_col: str, params: PairParams) -> dict[str, tuple[int, int]]:
-    """gram -> (times at an end of text, times anywhere), over all different answers, of the grams that end one; also the
+def end_counts(df: DataFrame, question_col: str, answer_col: str, params: PairParams) -> DataFrame:
+    """(gram, ends, n): times at an end of text and anywhere, over all different answers, of the grams that end one; also the
     short forms, marked by a leading =, with the number of different pairs of question and answer, and that of all pairs
     under the empty string. Replays and copies say nothing; one short answer to many questions does."""
     n = params.end_gram
@@ -157,14 +198,12 @@ def end_counts(df: DataFrame, question_col: str, answer_col: str, params: PairPa
 
     pairs = df.select(F.col(answer_col).alias("answer"), F.xxhash64(question_col).alias("asked")).filter(F.length("answer") > 0)
     rows = pairs.distinct().groupBy("answer").agg(F.count("*").alias("asked"))
-    table = rows.mapInArrow(run, "gram string, ends long, n long").groupBy("gram").agg(F.sum("ends").alias("ends"), F.sum("n").alias("n")).filter(F.col("ends") > 1)
-    top = most_frequent(table, "ends", 100_000)  # grams that end texts rarely are judged by their last two characters
-    return {r.gram: (r.ends, r.n) for r in top}
+    return rows.mapInArrow(run, "gram string, ends long, n long").groupBy("gram").agg(F.sum("ends").alias("ends"), F.sum("n").alias("n")).filter(F.col("ends") > 1)
 
 
 class Judge:
-    def __init__(self, languages: Languages, ends: dict[str, tuple[int, int]], params: PairParams):
-        self.languages, self.ends, self.params = languages, ends, params
+    def __init__(self, languages: Languages, ends: dict[str, tuple[int, int]], params: PairParams, refusals: Refusals | None = None):
+        self.languages, self.ends, self.params, self.refusals = languages, ends, params, refusals
 
     def defect(self, question: str | None, answer: str | None) -> str | None:
         question, answer = question or "", answer or ""
@@ -191,8 +230,9 @@ class Judge:
         return shared >= self.params.alike and len(rest) <= max(0, len(question) // 10)
 
     def refuses(self, text: str) -> bool:
-        text = re.sub(r"\s+", " ", text)
-        return len(text) <= self.params.refusal_chars and bool(_REFUSAL.search(_QUOTED.sub(" ", text)))
+        if len(re.sub(r"\s+", " ", text)) > self.params.refusal_chars:
+            return False
+        return declines(text) or self.refusals is not None and self.refusals.odds(text) >= self.params.refusal_odds
 
     def other_language(self, question: str, text: str) -> bool:
         plain = _QUOTED.sub(" ", text)
@@ -206,6 +246,8 @@ class Judge:
 
     def breaks_off(self, answer: str) -> bool:
         text = _MARKER.sub("", answer).rstrip()
+        if _OPEN_END.search(text):
+            return True
         if any(text.count(a) > text.count(b) for a, b in ("()", "«»", "[]", "“”")) or text.count("```") % 2:
             return True
         table = [x.strip() for x in text.split("\n") if x.strip().startswith("|")]
@@ -214,6 +256,9 @@ class Judge:
         final = text[-1:]
         if final.isalnum() and len(words(text)) > self.params.short_words:
             return True
+        k, n = self.ends.get(final, (0, 0))
+        if final and not final.isalnum() and n > 1 and (k - 1) / (n - 1) < self.params.mark_share:
+            return True  # a mark after which texts go on
         form = short_form(answer, self.params.short_words)
         if form and self.ends.get(form, (1, 0))[0] - 1 >= max(2, self.params.short_share * self.ends.get("", (0, 0))[0]):
             return False
@@ -251,18 +296,49 @@ def defective(df: DataFrame, id_col: str, question_col: str, answer_col: str, mo
     A null answer is empty; a null question has no language and is copied by nothing. Repeated rows count once; an
     id with several different rows has a row for each different defect. Only the named columns are read.
     """
-    ends = end_counts(df, question_col, answer_col, params)
-    held = df.sparkSession.sparkContext.broadcast(Judge(model, ends, params))  # bounded by fit_rows and 100 000 grams
+    spark = df.sparkSession
+    different = df.select(F.col(answer_col).alias("answer"), F.xxhash64(question_col, answer_col).alias("pair")).filter(F.length("answer") > 0)
+    different = spool(different.distinct(), "answers")  # one short answer to many questions counts with each
+    sample = hash_sample(different, "pair", params.fit_answers, different.count())
+    refusals = Refusals([r.answer for r in sample.collect()])
+    ends = spool(end_counts(df, question_col, answer_col, params), "ends")
+    few = ends.count() <= params.held_grams
+    table = {r.gram: (r.ends, r.n) for r in (ends if few else ends.filter(F.length("gram") < 2)).collect()}
+    held = spark.sparkContext.broadcast(Judge(model, table, params, refusals))  # bounded by fit_rows, fit_answers and held_grams
+    rows = df.select(F.col(id_col).alias("id"), F.col(question_col).alias("question"), F.col(answer_col).alias("answer"))
+    kind = df.schema[id_col].dataType.simpleString()
+    if not few:
+        rows = _with_counts(rows, ends, kind, params)
 
     def run(batches):
+        judge = held.value
         for b in batches:
             row, kind = [], []
-            for i, (q, a) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-                d = held.value.defect(q, a)
+            counts = b.column("counts").to_pylist() if not few else [None] * b.num_rows
+            for i, (q, a, own) in enumerate(zip(b.column("question").to_pylist(), b.column("answer").to_pylist(), counts)):
+                if own is not None:
+                    judge.ends = table | {c["gram"]: (c["ends"], c["n"]) for c in own}
+                d = judge.defect(q, a)
                 if d:
                     row.append(i)
                     kind.append(d)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(kind, pa.string())], names=[id_col, "defect"])
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row, pa.int64())), pa.array(kind, pa.string())], names=[id_col, "defect"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, question_col, answer_col).mapInArrow(run, f"`{id_col}` {kind}, defect string").distinct()
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, defect string").distinct()
+
+
+def _with_counts(rows: DataFrame, ends: DataFrame, kind: str, params: PairParams) -> DataFrame:
+    """The rows with the counts of the grams and the form that their answer ends in."""
+
+    def run(batches):
+        for b in batches:
+            grams = []
+            for a in b.column("answer").to_pylist():
+                own = [*(end_grams(a, params.end_gram) or ()), short_form(a, params.short_words)] if a else []
+                grams.append(list({g for g in own if g and len(g) > 1}))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "question", "answer")), pa.array(grams, pa.list_(pa.string()))], names=["id", "question", "answer", "grams"])
+
+    known = rows.mapInArrow(run, f"id {kind}, question string, answer string, grams array<string>").withColumn("row", F.xxhash64("id", "question", "answer")).distinct()
+    asked = known.select("row", F.explode("grams").alias("gram")).join(ends, "gram")
+    counts = asked.groupBy("row").agg(F.collect_set(F.struct("gram", "ends", "n")).alias("counts"))  # four at most
+    return known.join(counts, "row", "left").select("id", "question", "answer", F.coalesce("counts", F.array().cast("array<struct<gram: string, ends: bigint, n: bigint>>")).alias("counts"))

@@ -246,6 +246,26 @@ def test_pair_defects(spark, model):
     got = dict(found(pairs.defective(df, "answer_id", "question", "answer", model)))
     assert got == {c[0]: c[3] for c in cases if c[3]}
     assert pairs.defective(df.limit(0), "answer_id", "question", "answer", model).count() == 0
+    joined = pairs.PairParams(held_grams=0)
+    assert dict(found(pairs.defective(df, "answer_id", "question", "answer", model, joined))) == got
+
+
+def test_texts_that_stop_where_texts_go_on(model):
+    ends = {".": (900, 1000), ":": (3, 900), ")": (60, 900), "": (1000, 0)}
+    judge = pairs.Judge(model, ends, pairs.PairParams())
+    body = "Порядок подачи заявки определяется договором комитета"
+    for tail in (":", "…", "...", ".\n2)", ".\n2)\n", ".\n- ", " без т."):
+        assert judge.breaks_off(body + tail), tail
+    for tail in (" от 2020 г.", ", плата 5 р."):
+        assert not pairs._OPEN_END.search(body + tail)
+
+
+def test_refusals_are_learned_from_known_ones():
+    known = [f"К сожалению, по теме {w} сведений у меня нет, не могу ответить." for w in ("платы", "срока", "залога", "счёта", "фонда", "акта")]
+    sound = [f"Порядок {w} определяется договором и утверждён комитетом, плата не указана отдельно." for w in "абвгдежзиклмнопрст"]
+    model = pairs.Refusals([*known, *sound])
+    assert model.odds("К сожалению, по теме тарифа сведений у меня нет.") > pairs.PairParams().refusal_odds > 0 > model.odds(sound[0])
+    assert pairs.Refusals(sound).odds("К сожалению, не знаю") == 0
 
 
 # 6. Scans
