@@ -31,6 +31,7 @@ class NearParams:
     symbols: int = 6  # symbols in a block: at 0.75, 48 blocks of 6 miss a pair with probability 1e-4
     seed: int = 11
     sigmas: float = 5.0  # how far beyond its mean at the threshold the sketches' distance may lie
+    partition_bytes: int = 16 << 20  # aimed at in a partition of the joins on blocks and on word sets, whatever the input
     full_class: int = 64  # a class of exactly equal items up to this size gives all its pairs, a larger one a star
 
     def distance(self) -> int:
@@ -103,10 +104,21 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, least_words: int, pa
     return rows.mapInArrow(run, f"id {kind}, hashes array<long>, class_key string, text_key string, sketch_a long, sketch_b long, blocks array<long>")
 
 
-def candidate_pairs(prints: DataFrame, params: NearParams) -> DataFrame:
-    """(a, b), a < b: pairs that share a block and pass the Hamming test; ids must be unique."""
+def partitions(df: DataFrame, size: int, params: NearParams) -> int:
+    """How many partitions hold `size` bytes; never fewer than the session's own number."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // params.partition_bytes))
+
+
+def candidate_pairs(prints: DataFrame, params: NearParams, texts: int | None = None) -> DataFrame:
+    """(a, b), a < b: pairs that share a block and pass the Hamming test; ids must be unique.
+
+    The number of partitions follows the number of texts. A block that many texts share is one key of an inner join,
+    which adaptive execution splits; what it costs is its pairs.
+    """
     t = params.threshold
+    texts = prints.count() if texts is None else texts
     blocks = prints.select("id", "words", "sketch_a", "sketch_b", F.explode("blocks").alias("block"))
+    blocks = blocks.repartition(partitions(prints, texts * params.blocks * 72, params), "block")
     a, b = blocks.alias("a"), blocks.alias("b")
     ham = F.bit_count(F.col("a.sketch_a").bitwiseXOR(F.col("b.sketch_a"))) + F.bit_count(F.col("a.sketch_b").bitwiseXOR(F.col("b.sketch_b")))
     near = (
@@ -117,9 +129,11 @@ def candidate_pairs(prints: DataFrame, params: NearParams) -> DataFrame:
     return a.join(b, near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
-def verified_pairs(prints: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose exact Jaccard similarity is at least the threshold."""
-    sets = prints.select("id", "hashes").dropDuplicates(["id"])
+def verified_pairs(prints: DataFrame, pairs: DataFrame, params: NearParams) -> DataFrame:
+    """The pairs whose exact Jaccard similarity is at least the threshold; ids must be unique."""
+    threshold = params.threshold
+    words = prints.agg(F.sum(F.size("hashes")).alias("n"), F.count("*").alias("texts")).first()
+    sets = prints.select("id", "hashes").repartition(partitions(prints, 8 * (words.n or 0) + 64 * words.texts, params), "id")
     left = sets.select(F.col("id").alias("a"), F.col("hashes").alias("in_a"))
     right = sets.select(F.col("id").alias("b"), F.col("hashes").alias("in_b"))
     both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("in_a", "in_b")))
@@ -151,6 +165,20 @@ def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter(F.col("a") < F.col("b"))
 
 
+def _texts(df: DataFrame, id_col: str, text_col: str, least_words: int, params: NearParams) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all texts, and (a, b): the links between different texts, each stood for by its smallest id."""
+    prints = spool(fingerprints(df, id_col, text_col, least_words, params), "near-prints")
+    shape = F.struct("id", F.size("hashes").alias("words"), "sketch_a", "sketch_b", "blocks", "hashes")
+    reps = spool(prints.groupBy("class_key").agg(F.min(shape).alias("x")).select("x.*"), "near-classes")
+    pairs = spool(candidate_pairs(reps, params), "near-candidates")
+    found = spool(verified_pairs(reps, pairs, params).select("a", "b"), "near-pairs")
+    texts = prints.groupBy("text_key", "class_key").agg(F.min("id").alias("id"))
+    forms = shared_classes(texts, "class_key", "id")
+    one, other = (forms.select("first", F.col("id").alias(side)) for side in ("a", "b"))
+    within = one.join(other, "first").filter(F.col("a") < F.col("b")).select("a", "b")
+    return prints, expanded(found, forms).union(within)
+
+
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, least_words: int, params: NearParams = NearParams()) -> DataFrame:
     """(a, b), a < b: pairs of ids whose texts have least_words different words each and are alike to the threshold.
 
@@ -159,18 +187,21 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, least_words: int,
     pairs and links up to `full_class` ids; beyond, their smallest id has the links, and a star to the others. Null ids and null, empty or short texts
     give no rows; a repeated id counts once, by any one of its texts; only id_col and text_col are read.
     """
-    prints = spool(fingerprints(df, id_col, text_col, least_words, params), "near-prints")
-    shape = F.struct("id", F.size("hashes").alias("words"), "sketch_a", "sketch_b", "blocks")
-    reps = prints.groupBy("class_key").agg(F.min(shape).alias("x")).select("x.*")
-    pairs = spool(candidate_pairs(reps, params), "near-candidates")
-    found = spool(verified_pairs(prints, pairs, params.threshold).select("a", "b"), "near-pairs")
-    texts = prints.groupBy("text_key", "class_key").agg(F.min("id").alias("id"))
-    forms = shared_classes(texts, "class_key", "id")
+    prints, links = _texts(df, id_col, text_col, least_words, params)
     copies = shared_classes(prints, "text_key", "id")
-    one, other = (forms.select("first", F.col("id").alias(side)) for side in ("a", "b"))
-    within = one.join(other, "first").filter(F.col("a") < F.col("b")).select("a", "b")
-    links = expanded(expanded(found, forms).union(within), copies.filter(F.col("n") <= params.full_class))
-    return links.union(class_pairs(copies, params.full_class))
+    return expanded(links, copies.filter(F.col("n") <= params.full_class)).union(class_pairs(copies, params.full_class))
+
+
+def link_counts(df: DataFrame, id_col: str, text_col: str, least_words: int, params: NearParams = NearParams()) -> DataFrame:
+    """(id, class_id, copies, links): for every text with least_words different words the smallest id with the same text,
+    the number of ids that have it, and the number of different texts that are alike to the threshold. As many rows as
+    documents, however large a family is; other cases as in near_duplicates.
+    """
+    prints, links = _texts(df, id_col, text_col, least_words, params)
+    both = links.union(links.select("b", "a")).distinct().groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "class_id")
+    members = prints.select("id", "text_key").dropDuplicates(["id"])
+    texts = members.groupBy("text_key").agg(F.min("id").alias("class_id"), F.count("*").alias("copies")).join(both, "class_id", "left")
+    return members.join(texts, "text_key").select(F.col("id").alias(id_col), "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def same_file(df: DataFrame, id_col: str, hash_col: str, params: NearParams = NearParams()) -> DataFrame:

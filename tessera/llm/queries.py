@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.encoding import encode
 from tessera.llm.mojibake import restore
-from tessera.llm.near_duplicates import NearParams, near_duplicates, same_file
+from tessera.llm.near_duplicates import NearParams, link_counts, near_duplicates, same_file
 from tessera.llm.neighbours import nearest_vectors, similar_pairs
 from tessera.llm.packing import fill_containers
 from tessera.llm.pairs import defective, languages
@@ -62,6 +62,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.union, [df.select(F.lit(kind).alias("kind"), F.col("a").alias("key_a"), F.col("b").alias("key_b")) for kind, df in parts.items()])
 
 
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_counts(table(spark, sf_dir, "chunks"), "chunk_id", "text", 40, NearParams(threshold=0.75))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = languages(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
     return defective(table(spark, sf_dir, "answers"), "answer_id", "question", "answer", model)
@@ -93,7 +97,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pieces, p3_found, p3_survivors, p4_found, p5_found, p6_found, p6_repaired, p7_ids, p8_containers, p9_found, p9_restored)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pieces, p3_found, p3_survivors, p4_found, p4_links, p5_found, p6_found, p6_repaired, p7_ids, p8_containers, p9_found, p9_restored)}
 
 
 _SPACES = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(133)||chr(160)||chr(5760)||" + "||".join(f"chr({p})" for p in (*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
@@ -138,5 +142,26 @@ select group_id, field, cand_id from (
 """
 
 
+_P4 = r"""
+with t as (select distinct 'chunk' as kind, chunk_id as id, text, 40 as least from chunks where chunk_id is not null union all select distinct 'note', doc_id, version_note, 20 from document_meta where doc_id is not null),
+w as (select kind, id, text, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as w, least from t where text is not null),
+s as (select *, len(w) as n from w where len(w) >= least),
+"""
+
+_P4_FOUND = _P4 + r"""
+alike as (select a.kind, a.id as key_a, b.id as key_b from s a join s b on a.kind = b.kind and a.id < b.id and a.n >= 0.75 * b.n and b.n >= 0.75 * a.n
+  where len(list_intersect(a.w, b.w)) >= 0.75 * (a.n + b.n - len(list_intersect(a.w, b.w)))),
+h as (select distinct doc_id as id, regexp_replace(trim(lower(sha256)), '^[^0-9a-z]*sha-?256[^0-9a-f]*', '') as bare from document_meta where doc_id is not null),
+f as (select id, case when length(regexp_replace(bare, '[^0-9a-f]', '', 'g')) = 64 then regexp_replace(bare, '[^0-9a-f]', '', 'g') else bare end as v from h where bare is not null)
+select * from alike union all select 'file', a.id, b.id from f a join f b on a.v = b.v and a.id < b.id where a.v <> ''
+"""
+
+_P4_LINKS = _P4 + r"""
+c as (select min(id) as class_id, text, any_value(w) as w, any_value(n) as n, count(*) as copies from s where kind = 'chunk' group by text),
+l as (select a.class_id, count(*) as links from c a join c b on a.class_id <> b.class_id and a.n >= 0.75 * b.n and b.n >= 0.75 * a.n where len(list_intersect(a.w, b.w)) >= 0.75 * (a.n + b.n - len(list_intersect(a.w, b.w))) group by 1)
+select s.id as chunk_id, c.class_id, c.copies, coalesce(l.links, 0) as links from s join c using (text) left join l using (class_id) where s.kind = 'chunk'
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_neighbours": _P1, "p2_found": _P2, "p3_found": _P3}
+    return {"p4_found": _P4_FOUND, "p4_links": _P4_LINKS, "p1_neighbours": _P1, "p2_found": _P2, "p3_found": _P3}

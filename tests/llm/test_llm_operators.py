@@ -214,6 +214,18 @@ def test_same_files(spark):
     assert got == {(x, y) for x in "abcd" for y in "abcd" if x < y}
 
 
+def test_links_of_a_large_family_are_counted_text_by_text(spark):
+    base = " ".join(f"слово{i}" for i in range(60))
+    rows = [(f"f{i:04d}", f"{base} номер{i}", "x") for i in range(800)] + [("copy1", base + " номер5", "x"), ("copy2", base + " номер5", "y"), ("alone", " ".join(f"иное{i}" for i in range(60)), "z"), ("short", "мало слов", "z"), (None, base, "z")]
+    df = spark.createDataFrame(rows, "id string, text string, links string")
+    got = {r.id: (r.class_id, r.copies, r.links) for r in near_duplicates.link_counts(df, "id", "text", 40).collect()}
+    assert got["alone"] == ("alone", 1, 0) and "short" not in got and len(got) == 803
+    assert got["copy1"] == got["copy2"] == got["f0005"] == ("copy1", 3, 799) and got["f0000"] == ("f0000", 1, 799)
+    assert near_duplicates.link_counts(df.limit(0), "id", "text", 40).count() == 0
+    few = spark.createDataFrame(rows[:3], "id string, text string, links string")
+    assert near_duplicates.partitions(few, 1 << 40, near_duplicates.NearParams()) == (1 << 40) >> 24
+
+
 # 5. Pairs
 
 
