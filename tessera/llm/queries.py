@@ -48,6 +48,13 @@ def p3_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_representatives(rows, "path", "cand_id", "trust", "fetched_at", ["family", "protocol", "doc_date"])
 
 
+def p3_undated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The survivors if every fifth row had lost its timestamp; which values are usable is judged before."""
+    rows = pdf_candidates(*(table(spark, sf_dir, t) for t in ("pdf_candidates", "source_pages", "doc_families")))
+    rows = rows.withColumn("fetched_at", F.when(F.col("cand_id") % 5 != 0, F.col("fetched_at")))
+    return best_representatives(rows, "path", "cand_id", "trust", "fetched_at", ["family", "protocol", "doc_date"]).withColumnRenamed("id", "cand_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_survivors(spark, sf_dir).select("group_id", "field", F.col("id").alias("cand_id"))
 
@@ -97,7 +104,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pieces, p3_found, p3_survivors, p4_found, p4_links, p5_found, p6_found, p6_repaired, p7_ids, p8_containers, p9_found, p9_restored)}
+    return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_pieces, p3_found, p3_survivors, p3_undated, p4_found, p4_links, p5_found, p6_found, p6_repaired, p7_ids, p8_containers, p9_found, p9_restored)}
 
 
 _SPACES = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '||chr(133)||chr(160)||chr(5760)||" + "||".join(f"chr({p})" for p in (*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
@@ -124,23 +131,45 @@ with paths as (
     '^([A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*', ''), '[?#].*$', '', 's'), '+', '%2B')), '/+', '/', 'g') as path from pdf_candidates
 ), rows_ as (
   select path, cand_id, fetched_at, coalesce((select max(coalesce(trust, 0)) from source_pages p where p.source_page = c.source_page), 0) as trust,
-    case when lower(trim(family, {_SPACES})) in (select lower(trim(family_key)) from doc_families) then 1 end as family,
-    case when protocol between 10 and 9999 then 1 end as protocol,
-    case when doc_date between date '2000-01-01' and cast(fetched_at as date) then 1 end as doc_date
+    case when lower(trim(family, {_SPACES})) in (select lower(trim(family_key)) from doc_families) then lower(trim(family, {_SPACES})) end as family,
+    case when protocol between 10 and 9999 then cast(protocol as varchar) end as protocol,
+    case when doc_date between date '2000-01-01' and cast(fetched_at as date) then cast(doc_date as varchar) end as doc_date
   from paths c where url is not null
 ), groups as (
   select path, min(cand_id) as group_id from rows_ group by path having count(distinct cand_id) > 1
 ), fields as (
-  select path, cand_id, fetched_at, trust, 'family' as field from rows_ where family = 1
-  union all select path, cand_id, fetched_at, trust, 'protocol' from rows_ where protocol = 1
-  union all select path, cand_id, fetched_at, trust, 'doc_date' from rows_ where doc_date = 1
+  select path, cand_id, fetched_at, trust, 'family' as field, family as value from rows_ where family is not null
+  union all select path, cand_id, fetched_at, trust, 'protocol', protocol from rows_ where protocol is not null
+  union all select path, cand_id, fetched_at, trust, 'doc_date', doc_date from rows_ where doc_date is not null
 )
-select group_id, field, cand_id from (
-  select g.group_id, f.field, f.cand_id, row_number() over (partition by g.path, f.field order by trust desc, fetched_at desc nulls last, f.cand_id desc) as n
+"""
+
+_P3_SURVIVORS = _P3 + """
+select group_id, field, id, value from (
+  select g.group_id, f.field, f.cand_id as id, f.value, row_number() over (partition by g.path, f.field order by trust desc, fetched_at desc nulls last, f.cand_id desc) as n
   from fields f join groups g on f.path = g.path
 ) where n = 1
 """
 
+_P3_UNDATED = _P3 + """, l as (select distinct path, field, value, cand_id, trust, case when cand_id % 5 <> 0 then fetched_at end as tm from fields),
+seen as (select path, field, value, max(tm) as last from l where tm is not null group by all),
+steps as (select field, value as v, lead(value) over (partition by path, field order by last, value) as w from seen),
+votes as (select field, v, w, sum(n) as n from (select field, v, w, 1 as n from steps where w is not null union all select field, w, v, -1 from steps where w is not null) group by all having sum(n) > 0),
+top as (select l.* from l join (select path, field, max(trust) as trust from l group by all) using (path, field, trust)),
+vals as (select path, field, value, max(tm) as tm, arg_max(cand_id, {'tm': coalesce(tm, timestamp '1000-01-01'), 'id': cand_id}) as cand_id, bool_or(tm is null) as undated from top group by all),
+easy as (select path, field, cand_id, value from vals qualify row_number() over (partition by path, field order by tm desc, cand_id desc) = 1 and not bool_or(undated) over (partition by path, field)),
+hard as (select * from vals qualify bool_or(undated) over (partition by path, field)),
+both_ as (select a.path, a.field, a.value as v, b.value as w, a.tm as at_v, b.tm as at_w from hard a join hard b on a.path = b.path and a.field = b.field and a.value <> b.value),
+asked as (select distinct field, v, w from both_),
+ways as (select a.*, 1 as hop, n from asked a join votes using (field, v, w) union all
+  select a.field, a.v, a.w, 2, max(least(x.n, y.n)) from asked a join votes x on x.field = a.field and x.v = a.v and x.w <> a.w join votes y on y.field = a.field and y.v = x.w and y.w = a.w group by all),
+way as (select field, v, w, min(hop) as hop, arg_min(n, hop) as n from ways group by all),
+known as (select a.field, a.v, a.w from way a left join way b on a.field = b.field and a.v = b.w and a.w = b.v where b.hop is null or a.hop < b.hop or (a.hop = b.hop and a.n > b.n)),
+edges as (select b.* from both_ b left join known k using (field, v, w) where case when at_v is not null and at_w is not null then at_v < at_w else k.field is not null end),
+ranked as (select h.*, (select count(*) from edges e where e.path = h.path and e.field = h.field and e.v = h.value) as after, (select count(*) from edges e where e.path = h.path and e.field = h.field and e.w = h.value) as before from hard h),
+best as (select path, field, cand_id, value from easy union all select path, field, cand_id, value from ranked qualify row_number() over (partition by path, field order by after, before desc, tm desc nulls last, cand_id desc) = 1)
+select group_id, field, cand_id, value from best join groups using (path)
+"""
 
 _P4 = r"""
 with t as (select distinct 'chunk' as kind, chunk_id as id, text, 40 as least from chunks where chunk_id is not null union all select distinct 'note', doc_id, version_note, 20 from document_meta where doc_id is not null),
@@ -164,4 +193,4 @@ select s.id as chunk_id, c.class_id, c.copies, coalesce(l.links, 0) as links fro
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": _P4_FOUND, "p4_links": _P4_LINKS, "p1_neighbours": _P1, "p2_found": _P2, "p3_found": _P3}
+    return {"p4_found": _P4_FOUND, "p4_links": _P4_LINKS, "p1_neighbours": _P1, "p2_found": _P2, "p3_found": f"select group_id, field, id as cand_id from ({_P3_SURVIVORS})", "p3_survivors": _P3_SURVIVORS, "p3_undated": _P3_UNDATED}

@@ -164,6 +164,20 @@ def test_undated_values_follow_the_learned_order(spark):
     assert got[100] == "final" and got[0] == "final"
 
 
+def test_the_learned_order_decides_between_dated_and_undated_values(spark):
+    history = [(f"g{i}", 10 * i + k, 1, k, v) for i in range(5) for k, v in enumerate(["draft", "final"])]
+    history += [(f"h{i}", 200 + 10 * i + k, 1, k, v) for i in range(5) for k, v in enumerate(["final", "archived"])]
+    cycle = [(f"c{i}{n}", 400 + 10 * i + 3 * n + k, 1, k, v) for n, p in enumerate((("x", "y"), ("y", "z"), ("z", "x"))) for i in range(2) for k, v in enumerate(p)]
+    open_ = [("a", 1000, 1, 9, "draft"), ("a", 1001, 1, None, "final"), ("b", 1010, 1, 9, "final"), ("b", 1011, 1, None, "draft"), ("p", 1020, 1, None, "archived"), ("p", 1021, 1, None, "draft")]
+    open_ += [("t", 1030, 2, 1, "draft"), ("t", 1031, 1, None, "final"), ("y", 1040, 1, None, "x"), ("y", 1041, 1, None, "y"), ("y", 1042, 1, 3, "z")]
+    df = spark.createDataFrame(history + cycle + open_, "grp string, id long, trust int, at int, state string")
+    got = {r.group_id: (r.value, r.id) for r in survivors.best_representatives(df, "grp", "id", "trust", "at", ["state"]).collect()}
+    assert got[1000] == ("final", 1001) and got[1010] == ("final", 1010)
+    assert got[1020] == ("archived", 1020)  # through a value that the group lacks
+    assert got[1030] == ("draft", 1030)  # trust comes first
+    assert got[1040] == ("z", 1042)  # a cycle: what was last seen
+
+
 # 4. Near-duplicates
 
 
