@@ -14,14 +14,16 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.frequent import most_frequent
 
-#: What a letter may be misread as. Latin letters, digits and signs for Cyrillic letters; Cyrillic
+#: What a letter may be misread as. Latin letters, digits and signs for Cyrillic letters; Cyrillic
 #: letters, digits and signs for Latin ones; letters for digits.
 CYRILLIC_AS = {
     "а": "aáàâäã@4", "б": "6b", "в": "B8bʙv", "г": "rгr", "д": "gd9", "е": "eéèêëē€", "ё": "ëeé", "ж": "", "з": "3z", "и": "uúùûüï", "й": "ŭuй",
@@ -43,7 +45,8 @@ _ROMAN = re.compile(r"[ivxlcdm]+$")
 
 @dataclass(frozen=True)
 class ScanParams:
-    vocabulary: int = 200_000  # words with counts of their own, the most frequent ones; the trigram model covers all others
+    vocabulary: int = 500_000  # words with counts of their own, the most frequent ones; the trigram model covers all others
+    readings: int = 1_024  # of a word of a dozen misread characters the likeliest so many are weighed
     noise: float = 0.01  # share of characters that are misread
     header_share: float = 0.3  # share of a document's pages on which a running line recurs
     alike: float = 0.8  # how alike two misread running lines are
@@ -79,15 +82,17 @@ _SKELETON = {c: t for t, seen in reversed(CYRILLIC_AS.items()) for c in seen if
 _SKELETON |= {c: _SKELETON.get(c, c) for c in "abcdefghijklmnopqrstuvwxyz"}
 
 
+@lru_cache(100_000)
+def _bones(token: str) -> str | None:
+    core = token.strip(_STRIP + "-|·№#")
+    if not core or core.isdigit() or _ROMAN.match(core) or re.fullmatch(r"[\d.\-/]+", core):
+        return None
+    return _UNLIKE.sub("", token).translate(_ALIKE)
+
+
 def skeleton(line: str) -> str:
     """A running line apart from its numbers, case, indent and look-alike letters."""
-    out = []
-    for token in line.lower().split():
-        core = token.strip(_STRIP + "-|·№#")
-        if not core or core.isdigit() or _ROMAN.match(core) or re.fullmatch(r"[\d.\-/]+", core):
-            continue
-        out.append(_UNLIKE.sub("", token).translate(_ALIKE))
-    return " ".join(out)
+    return " ".join(x for x in map(_bones, line.lower().split()) if x is not None)
 
 
 #: Digits as the letters they look like, and all look-alikes as one character.
@@ -130,6 +135,34 @@ def _roman(t: str) -> int:
     return sum(-a if a < b else a for a, b in zip(n, [*n[1:], 0]))
 
 
+class Seeds:
+    """Different lines, the most common first; a line belongs to the first seed that it is like. Every line may be a seed."""
+
+    def __init__(self, counts: Counter, least: float):
+        self.lines, self.least = [x for x, _ in counts.most_common()], least
+        self.size = np.array([len(x) for x in self.lines])
+        self.bag = np.zeros((len(self.lines), 64), np.int32)
+        for i, x in enumerate(self.lines):
+            np.add.at(self.bag[i], [ord(c) & 63 for c in x], 1)
+        self.seed: dict[str, str] = {}
+        done = np.zeros(len(self.lines), bool)
+        for i, x in enumerate(self.lines):
+            if done[i]:
+                continue
+            done[i] = True
+            self.seed[x] = x
+            # Lines alike to the share r have at least r / 2 of their characters, taken together, in common.
+            shared = np.minimum(self.bag[i], self.bag).sum(1)
+            near = ~done & (np.abs(self.size - len(x)) <= 0.4 * len(x)) & (2 * shared >= least * (self.size + len(x)))
+            for j in np.flatnonzero(near):
+                if _alike(x, self.lines[j], least):
+                    done[j] = True
+                    self.seed[self.lines[j]] = x
+
+    def of(self, line: str) -> str | None:
+        return self.seed.get(line)
+
+
 def furniture(pages: list[list[str]], p: ScanParams) -> dict[tuple[int, int], str]:
     """(page, line) -> 'header' or 'page_no', both counted from 0."""
     edges: dict[str, list[list[int]]] = {"top": [], "bottom": []}
@@ -141,14 +174,18 @@ def furniture(pages: list[list[str]], p: ScanParams) -> dict[tuple[int, int], st
     numbers = {(k, pg, i): n for k in edges for pg, own in enumerate(edges[k]) for i in own if (n := page_number(pages[pg][i])) is not None}
     offsets = Counter((k, n - pg) for (k, pg, _), n in numbers.items())
 
+    body: set[str] = set()
+
     def inside(key: str) -> bool:
         """Whether the line stands between the edges of a page, too."""
-        for pg, lines in enumerate(pages):
-            at_edge = {*edges["top"][pg], *edges["bottom"][pg]}
-            if any(i not in at_edge and len(x) < 2 * len(key) + 20 and skeleton(x) == key for i, x in enumerate(lines)):
-                return True
-        return False
-
+        if not body:
+            body.add("")
+            for pg, lines in enumerate(pages):
+                at_edge = {*edges["top"][pg], *edges["bottom"][pg]}
+                body.update(skeleton(x) for i, x in enumerate(lines) if i not in at_edge and len(x) < longest)
+        return key in body
+
+    longest = 2 * max((len(pages[pg][i]) for k in edges for pg, own in enumerate(edges[k]) for i in own), default=0) + 20
     for k, own in edges.items():
         # Running lines: what recurs on the same edge of other pages, page numbers aside.
         keys = {}
@@ -159,16 +196,14 @@ def furniture(pages: list[list[str]], p: ScanParams) -> dict[tuple[int, int], st
                 s = skeleton(pages[pg][i])
                 if sum(c.isalpha() for c in s) >= 5:
                     keys[pg, i] = s
-        common = Counter(keys.values()).most_common(6)
-        common = [x for x in common if x[1] > 1] or common
         groups: Counter = Counter()
         member = {}
+        seeds = Seeds(Counter(keys.values()), p.alike)
         for at, s in keys.items():
-            for c, _ in common:
-                if c == s or abs(len(c) - len(s)) <= 0.4 * len(c) and _alike(c, s, p.alike):
-                    member[at] = c
-                    groups[c] += 1
-                    break
+            c = seeds.of(s)
+            if c is not None:
+                member[at] = c
+                groups[c] += 1
         least = max(2, math.ceil(p.header_share * sum(any(x.strip() for x in lines) for lines in pages)))
         running = {c for c, n in groups.items() if n >= least and not inside(c)}
         out.update({at: "header" for at, c in member.items() if c in running})
@@ -235,6 +270,7 @@ class Language:
 
 _NEVER = -120.0
 _RARE = math.log(0.01)
+_STAY, _CHANGE = math.log(0.94), math.log(0.06)
 _WORD = re.compile(r"\S+")
 
 
@@ -253,7 +289,7 @@ def _classes(part: str) -> str:
     return "".join(_script(c) for c in part)
 
 
-def _readings(part: str, own: str, shares: dict[tuple[str, str], float]) -> list[tuple[str, int, float]]:
+def _readings(part: str, own: str, shares: dict[tuple[str, str], float], most: int) -> list[tuple[str, int, float]]:
     """(reading, characters changed, log of their confusion shares): what the part may have been, were its script `own`."""
     table = {"c": _READ_C, "l": _READ_L, "d": _READ_D}[own]
     out = [("", 0, 0.0)]
@@ -267,7 +303,8 @@ def _readings(part: str, own: str, shares: dict[tuple[str, str], float]) -> list
         up = c.isupper() or (own != "d" and part[:1].isupper() and part[1:].isupper())
         seen = c.lower()
         out = [(w + (t.upper() if up else t), n + 1, p + shares.get((t, seen), _RARE)) for w, n, p in out for t in true]
-        out = sorted(out, key=lambda x: -x[2])[:64]
+        if len(out) > most:
+            out = sorted(out, key=lambda x: -x[2])[:most]
     return [x for x in out if x[1]]
 
 
@@ -308,7 +345,7 @@ class Reader:
         elif main == "c" and letters == len(part) and len(part) <= 2:
             tries += ["l"]
         for own in tries:
-            for word, n, shares in _readings(part, own, self.lm.shares):
+            for word, n, shares in _readings(part, own, self.lm.shares, self.params.readings):
                 low = word.lower()
                 p = self.lm.log(low) if own != "d" else math.log(0.02) - 2.3 * len(re.sub(r"\D", "", word))
                 out.append((word, p + self.miss * n + shares + self.keep * (len(part) - n), own))
@@ -323,37 +360,54 @@ class Reader:
         return out
 
     def line(self, text: str) -> list[tuple[int, int, str]]:
-        """(start, end, reading) of the misread parts of a line, by the best path through all candidates."""
-        if all(len(c) == 1 for t in text.split() for _, _, c in self._token(t)):
+        """(start, end, reading) of the misread parts of a line, by the best path through all candidates. A part that can
+        be read in one way only parts the path in two, so only the stretches between such parts are decoded."""
+        tokens = [self._token(t) for t in text.split()]
+        if all(len(c) == 1 for own in tokens for _, _, c in own):
             return []
         parts, choices = [], []
-        for m in _WORD.finditer(text):
-            for off, part, own in self._token(m.group()):
+        for m, own in zip(_WORD.finditer(text), tokens):
+            for off, part, c in own:
                 parts.append((m.start() + off, part))
-                choices.append(own)
-        stay, change = math.log(0.94), math.log(0.06)
-        scores: list[list[float]] = []
-        back: list[list[int]] = []
-        for i, own in enumerate(choices):
+                choices.append(c)
+        found, i = [], 0
+        while i < len(choices):
+            if len(choices[i]) == 1:
+                i += 1
+                continue
+            end = i
+            while end < len(choices) and len(choices[end]) > 1:
+                end += 1
+            left = choices[i - 1][0][2] if i else None
+            right = choices[end][0][2] if end < len(choices) else None
+            for n, k in enumerate(self._decode(choices[i:end], left, right)):
+                if k:
+                    at, part = parts[i + n]
+                    found.append((at, at + len(part), choices[i + n][k][0]))
+            i = end
+        return found
+
+    def _decode(self, choices: list, left: str | None, right: str | None) -> list[int]:
+        """The candidates of the best path between two scripts; digits go with any, a line's ends with all."""
+
+        def step(a: str | None, b: str | None) -> float:
+            return 0.0 if a is None or b is None else _STAY if a == b or "d" in (a, b) else _CHANGE
+
+        scores = [(p - self.params.margin * (k > 0) + step(left, script)) for k, (_, p, script) in enumerate(choices[0])]
+        back = []
+        for before, own in zip(choices, choices[1:]):
             row, where = [], []
             for k, (_, p, script) in enumerate(own):
-                p -= self.params.margin * (k > 0)
-                if not i:
-                    row.append(p)
-                    where.append(0)
-                    continue
-                best = max(range(len(choices[i - 1])), key=lambda j: scores[-1][j] + (stay if choices[i - 1][j][2] in (script, "d") or script == "d" else change))
-                row.append(p + scores[-1][best] + (stay if choices[i - 1][best][2] in (script, "d") or script == "d" else change))
+                best = max(range(len(before)), key=lambda j: scores[j] + step(before[j][2], script))
+                row.append(scores[best] + step(before[best][2], script) + p - self.params.margin * (k > 0))
                 where.append(best)
-            scores.append(row)
+            scores = row
             back.append(where)
-        k = max(range(len(scores[-1])), key=scores[-1].__getitem__)
-        found = []
-        for i in range(len(choices) - 1, -1, -1):
-            if k:
-                found.append((parts[i][0], parts[i][0] + len(parts[i][1]), choices[i][k][0]))
-            k = back[i][k]
-        return found[::-1]
+        k = max(range(len(scores)), key=lambda j: scores[j] + step(choices[-1][j][2], right))
+        path = [k]
+        for where in reversed(back):
+            path.append(where[path[-1]])
+        return path[::-1]
 
 
 def _word_list(pages) -> list[str]:
