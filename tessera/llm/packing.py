@@ -58,7 +58,7 @@ def pack(histogram: dict[int, int], capacity: int) -> tuple[list[Placement], int
     return placements, opened
 
 
-def fill_containers(df: DataFrame, id_col: str, size_col: str, capacity: int, buckets: int = 64) -> DataFrame:
+def fill_containers(df: DataFrame, id_col: str, size_col: str, capacity: int, bucket_rows: int = 100_000) -> DataFrame:
     """(id, piece_no, start, end, container): every item in a container, as [start, end) of its own units.
 
     Items up to the capacity stay whole. A larger item is cut into pieces of exactly the capacity, which fill a
@@ -74,9 +74,15 @@ def fill_containers(df: DataFrame, id_col: str, size_col: str, capacity: int, bu
         F.least("total", (F.col("piece_no") + 1) * F.lit(capacity).cast("long")).alias("end"),
     )
     pieces = pieces.withColumn("size", F.col("end") - F.col("start"))
-    pieces = spool(pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "piece_no"), F.lit(buckets))), "packing-pieces")
+    pieces = spool(pieces, "packing-pieces")
+    # A size has so many hash buckets that none holds more than about bucket_rows pieces.
+    sizes = pieces.groupBy("size").agg(F.count("*").alias("n")).collect()  # at most capacity + 1 rows
+    wide = {r["size"]: max(1, -(-r["n"] // bucket_rows)) for r in sizes}
+    buckets = max(wide.values(), default=1)
+    own = F.broadcast(df.sparkSession.createDataFrame(list(wide.items()), "size long, buckets long"))  # at most capacity + 1 rows
+    pieces = pieces.join(own, "size").withColumn("bucket", F.pmod(F.xxhash64("id", "piece_no"), "buckets"))
     counts = pieces.groupBy("size", "bucket").agg(F.count("*").alias("n"))
-    table = counts.collect()  # at most (capacity + 1) * buckets rows
+    table = counts.collect()  # at most capacity + 1 rows, and one for every bucket_rows pieces
     histogram: dict[int, int] = {}
     offset: dict[tuple[int, int], int] = {}
     for r in sorted(table, key=lambda r: (r["size"], r["bucket"])):

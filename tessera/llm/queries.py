@@ -15,7 +15,7 @@ from tessera.llm.neighbours import nearest_vectors, similar_pairs
 from tessera.llm.packing import fill_containers
 from tessera.llm.pairs import defective, languages
 from tessera.llm.scans import find_noise, repair_pages
-from tessera.llm.splitting import SplitParams, split_oversized
+from tessera.llm.splitting import SplitParams, split_fields
 from tessera.llm.survivors import best_representatives, pdf_candidates
 from tessera.runtime import table
 
@@ -31,11 +31,11 @@ def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [("section_nodes", "node_id", "text", 1330), ("chunks", "chunk_id", "text", 1330), ("chunks", "chunk_id", "parent_text", 4900)]
+    parts = {"section_nodes": ("node_id", {"text": 1330}), "chunks": ("chunk_id", {"text": 1330, "parent_text": 4900})}
     out = []
-    for name, key, field, limit in parts:
-        pieces = split_oversized(table(spark, sf_dir, name), [key], field, SplitParams(limit)).withColumnRenamed(key, "item_id")
-        out.append(pieces.select(F.lit(name).alias("item_table"), "item_id", F.lit(field).alias("field"), "piece_no", "start", "end", "text"))
+    for name, (key, limits) in parts.items():
+        pieces = split_fields(table(spark, sf_dir, name), [key], {f: SplitParams(n) for f, n in limits.items()})
+        out.append(pieces.select(F.lit(name).alias("item_table"), F.col(key).alias("item_id"), "field", "piece_no", "start", "end", "text"))
     return reduce(DataFrame.unionByName, out)
 
 

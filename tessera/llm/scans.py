@@ -101,24 +101,29 @@ _ALIKE = str.maketrans(_SKELETON | {d: _SKELETON.get(c, c) for d, c in _AS_LETTE
 _UNLIKE = re.compile(f"[^\\w{re.escape(_SIGNS)}]|_")
 
 
-def page_number(line: str) -> int | None:
-    """The number of a line that holds nothing else, in any dress; misread digits included."""
+def page_numbers(line: str) -> list[int]:
+    """What number a line that holds nothing else may stand for, in any dress; misread digits included. Letters such as l
+    are Roman numbers and misread digits at once."""
     tokens = [t for t in re.split(r"[^\w|!]+", line.strip().lower()) if t and t != "|"]
     tokens = [t for t in tokens if "".join(_SKELETON.get(c, c) for c in t) not in _PAGE_SKELETONS]
     if not 1 <= len(tokens) <= 2 or len(line.strip()) > 40:
-        return None
-    numbers = []
+        return []
+    readings = []
     for t in tokens:
-        if t.isdigit() and len(t) <= 4:
-            numbers.append(int(t))
-        elif _ROMAN.match(t) and (r := _roman(t)):
-            numbers.append(r)
-        else:
-            read = "".join(c if c.isdigit() else (_READ_D.get(c) or _READ_D.get(c.upper()) or ["x"])[0] for c in t)
-            if not read.isdigit() or len(read) > 4:
-                return None
-            numbers.append(int(read))
-    return numbers[0]
+        own = [int(t)] if t.isdigit() and len(t) <= 4 else []
+        if _ROMAN.match(t) and (r := _roman(t)):
+            own.append(r)
+        read = "".join(c if c.isdigit() else (_READ_D.get(c) or _READ_D.get(c.upper()) or ["x"])[0] for c in t)
+        if not own[:1] or not t.isdigit():
+            own += [int(read)] if read.isdigit() and len(read) <= 4 else []
+        if not own:
+            return []
+        readings.append(own)
+    return list(dict.fromkeys(readings[0]))
+
+
+def page_number(line: str) -> int | None:
+    return next(iter(page_numbers(line)), None)
 
 
 def _alike(a: str, b: str, least: float) -> bool:
@@ -171,8 +176,8 @@ def furniture(pages: list[list[str]], p: ScanParams) -> dict[tuple[int, int], st
         edges["top"].append(full[:2])
         edges["bottom"].append(full[:1:-1][:2] if len(full) > 3 else [])
     out: dict[tuple[int, int], str] = {}
-    numbers = {(k, pg, i): n for k in edges for pg, own in enumerate(edges[k]) for i in own if (n := page_number(pages[pg][i])) is not None}
-    offsets = Counter((k, n - pg) for (k, pg, _), n in numbers.items())
+    numbers = {(k, pg, i): n for k in edges for pg, own in enumerate(edges[k]) for i in own if (n := page_numbers(pages[pg][i]))}
+    offsets = Counter((k, n - pg) for (k, pg, _), ns in numbers.items() for n in ns)
 
     body: set[str] = set()
 
@@ -207,14 +212,15 @@ def furniture(pages: list[list[str]], p: ScanParams) -> dict[tuple[int, int], st
         least = max(2, math.ceil(p.header_share * sum(any(x.strip() for x in lines) for lines in pages)))
         running = {c for c, n in groups.items() if n >= least and not inside(c)}
         out.update({at: "header" for at, c in member.items() if c in running})
-    for (k, pg, i), n in numbers.items():
+    for (k, pg, i), ns in numbers.items():
+        n = max(ns, key=lambda n: offsets[k, n - pg])
         if (pg, i) in out:
             continue
         at = edges[k][pg]
         if i != at[0] and not (out.get((pg, at[0])) == "header"):
             continue
         alone = len(pages) == 1
-        if offsets[k, n - pg] >= 2 or alone or not re.fullmatch(r"\W*\w+\W*", pages[pg][i].strip()):
+        if offsets[k, n - pg] >= 2 or alone or pg + 1 in ns or not re.fullmatch(r"\W*\w+\W*", pages[pg][i].strip()):
             out[pg, i] = "page_no"
     return out
 

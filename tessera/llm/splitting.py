@@ -6,9 +6,11 @@ import re
 import unicodedata
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from functools import reduce
 from itertools import accumulate
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,32 +76,41 @@ def spans(text: str, p: SplitParams) -> list[tuple[int, int]]:
         start, done = max(back, start + 1, end - p.limit + 1), end
 
 
-def split_oversized(df: DataFrame, id_cols: list[str], text_col: str, params: SplitParams) -> DataFrame:
-    """(id_cols..., piece_no, start, end, text): the pieces of every text over the limit, in order from 0.
+def split_fields(df: DataFrame, id_cols: list[str], fields: dict[str, SplitParams]) -> DataFrame:
+    """(id_cols..., field, piece_no, start, end, text): the pieces of every text over its field's limit, in order from 0.
 
     Length is counted in code points, after white space at both ends is removed; start and end refer to that text.
     A piece never exceeds the limit and never repeats more than `overlap` of the one before; joining the pieces
     without what they repeat gives the text back. Null, empty and blank texts and texts within the limit give no
-    rows. Repeated rows give their pieces once. Ids may be null. Only id_cols and text_col are read.
+    rows. Equal texts of the same ids give their pieces once, different ones all of theirs. Ids may be null. Only
+    id_cols and the fields are read, all of them in one scan.
     """
     keys = [df.schema[c] for c in id_cols]
-    rows = df.select(*id_cols, F.col(text_col).alias("__text")).filter(F.length("__text") > params.limit)
-    schema = ", ".join(f"`{k.name}` {k.dataType.simpleString()}" for k in keys) + ", piece_no int, start int, end int, text string"
-    names = [*id_cols, "piece_no", "start", "end", "text"]
+    texts = {f: f"__text{n}" for n, f in enumerate(fields)}
+    over = reduce(lambda a, b: a | b, [F.coalesce(F.length(F.col(f)) > p.limit, F.lit(False)) for f, p in fields.items()])
+    rows = df.filter(over).select(*id_cols, *(F.col(f).alias(t) for f, t in texts.items()))
+    names = [*id_cols, "field", "piece_no", "start", "end", "text", "__whole"]
+    schema = ", ".join(f"`{k.name}` {k.dataType.simpleString()}" for k in keys) + ", field string, piece_no int, start int, end int, text string, __whole long"
+    types = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64())
 
     def run(batches):
         for b in batches:
-            row, cols = [], ([], [], [], [])
-            for i, text in enumerate(b.column("__text").to_pylist()):
-                text = text.strip(WHITE_SPACE)
-                if len(text) <= params.limit:
-                    continue
-                for n, (s, e) in enumerate(spans(text, params)):
-                    row.append(i)
-                    for c, v in zip(cols, (n, s, e, text[s:e])):
-                        c.append(v)
+            row, cols = [], tuple([] for _ in types)
+            for field, p in fields.items():
+                for i, text in enumerate(b.column(texts[field]).to_pylist()):
+                    if text is None or len(text) <= p.limit or len(text := text.strip(WHITE_SPACE)) <= p.limit:
+                        continue
+                    whole = xxhash.xxh3_64_intdigest(text) - 2**63
+                    for n, (s, e) in enumerate(spans(text, p)):
+                        row.append(i)
+                        for c, v in zip(cols, (field, n, s, e, text[s:e], whole)):
+                            c.append(v)
             taken = pa.array(row, pa.int64())
-            types = (pa.int32(), pa.int32(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(c).take(taken) for c in id_cols] + [pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
-    return rows.mapInArrow(run, schema).dropDuplicates([*id_cols, "piece_no", "start", "end"])
+    return rows.mapInArrow(run, schema).dropDuplicates([*id_cols, "field", "__whole", "piece_no"]).drop("__whole")
+
+
+def split_oversized(df: DataFrame, id_cols: list[str], text_col: str, params: SplitParams) -> DataFrame:
+    """(id_cols..., piece_no, start, end, text): split_fields for one field."""
+    return split_fields(df, id_cols, {text_col: params}).drop("field")

@@ -137,6 +137,15 @@ def test_splitting_edge_cases(spark):
     assert splitting.split_oversized(df.limit(0), ["key"], "text", splitting.SplitParams(10, 3)).count() == 0
 
 
+def test_different_texts_of_one_id_keep_their_pieces_and_fields_are_cut_in_one_scan(spark):
+    rows = [("a", "x" * 25, None), ("a", "y" * 25, "z" * 45), ("a", "y" * 25, "z" * 45), (None, "w" * 12, "")]
+    df = spark.createDataFrame(rows, "id string, text string, parent string")
+    p, q = splitting.SplitParams(10, overlap=2), splitting.SplitParams(40, overlap=2)
+    got = [tuple(r) for r in splitting.split_fields(df, ["id"], {"text": p, "parent": q}).select("id", "field", "piece_no", "text").collect()]
+    assert len(got) == len(set(got)) and {r[3][0] for r in got if r[:2] == ("a", "text")} == {"x", "y"}
+    assert sorted(r[2] for r in got if r[1] == "parent") == [0, 1] and {r[3] for r in got if r[0] is None} == {"w" * 10, "w" * 4}
+
+
 # 3. Survivors
 
 
@@ -335,6 +344,15 @@ def test_copies_do_not_make_their_misreads_common(spark):
     assert {r for r in got if r[3] == "ocr"} == {(f"c{i}", 1, 1, "ocr") for i in range(6)}
 
 
+def test_misread_page_numbers_are_read_as_the_others_go():
+    text = "\n".join(f"Строка текста номер {i} без повторов" for i in range(5))
+    pages = [(text + f"\n— {n} —").split("\n") for n in ("l", "2", "3", "ll")]
+    assert scans.page_numbers("— ll —") == [100, 11]
+    assert scans.furniture(pages[:3], scans.ScanParams()) == {(i, 5): "page_no" for i in range(3)}
+    two = [(text + "\n" + n).split("\n") for n in ("", "— 2 —")]
+    assert scans.furniture(two, scans.ScanParams()) == {(1, 5): "page_no"}
+
+
 def test_page_numbers():
     assert [scans.page_number(x) for x in ("- 39 -", "стр. 1 из 6", "Page 44", "iii", "[2]", "1З", "231 рубль", "2024-01-05")] == [39, 1, 44, 3, 2, 13, None, None]
 
@@ -391,6 +409,11 @@ def test_packing_places_every_item_once(spark):
     long = sorted((r.piece_no, r.start, r.end) for r in got if r.id == next(i for i, s in rows if s == 200))
     assert long == [(0, 0, 64), (1, 64, 128), (2, 128, 192), (3, 192, 200)]
     assert packing.fill_containers(df.limit(0), "id", "size", 64).count() == 0
+    many = packing.fill_containers(df, "id", "size", 64, bucket_rows=3).collect()  # sizes ranked in several buckets
+    filled = Counter()
+    for r in many:
+        filled[r.container] += r.end - r.start
+    assert max(filled.values()) <= 64 and len(many) == len(got) and {r.container for r in many if r.end > r.start} == {r.container for r in got if r.end > r.start}
     assert found(packing.fill_containers(df.filter("size = 0").limit(1), "id", "size", 64).select("container")) == {(0,)}
 
 
