@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import os
-import tempfile
 import uuid
 from collections import Counter
 from dataclasses import dataclass
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.frequent import most_frequent
-from tessera.llm.lexicon import Lexicon, write
+from tessera.llm.lexicon import Lexicon, compiled
 from tessera.runtime import shared_dir
 
 #: Fixed value: the pattern that splits text before the merges of this family of vocabularies.
@@ -32,7 +31,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 @dataclass(frozen=True)
 class BpeParams:
-    ranks: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # lines of a base64 token and its id
+    ranks: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # a file of the driver: lines of a base64 token and its id
     words: int = 60_000  # words compiled into the lexicon; all others are merged when met
     memo: int = 500_000  # words whose ids a worker remembers
     counted: int = 200_000  # different words counted before a task passes its counts on
@@ -52,16 +51,24 @@ class Merger:
         return self._bpe.encode_ordinary(word)
 
 
-def _put(spark: SparkSession, local: str) -> str:
-    """Copies a file to the shared folder and makes it a file of the application; gives its name."""
+def _share(spark: SparkSession, data: bytes) -> str:
+    """Writes data to the shared folder and makes it a file of the application; gives its name."""
     name = f"lexicon-{uuid.uuid4().hex}"
-    jvm, path = spark.sparkContext._jvm, f"{shared_dir(spark)}/{name}"
-    to = jvm.org.apache.hadoop.fs.Path(path)
-    to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(True, True, jvm.org.apache.hadoop.fs.Path(f"file://{local}"), to)
-    spark.sparkContext.addFile(path)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    for at in range(0, len(data), 1 << 22):
+        out.write(bytearray(data[at : at + (1 << 22)]))
+    out.close()
+    spark.sparkContext.addFile(path.toString())
     return name
 
 
+def _ship(spark: SparkSession, path: str) -> str:
+    """Makes the driver's vocabulary file a file of the application; gives its name."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def word_counts(df: DataFrame, text_col: str, params: BpeParams = BpeParams()) -> DataFrame:
     """(word, n): how often each word of the vocabulary's pattern occurs in all texts."""
 
@@ -87,16 +94,13 @@ def build_lexicon(df: DataFrame, text_col: str, params: BpeParams = BpeParams())
     """Compiles the most frequent words; gives the name of the application file with the lexicon."""
     top = most_frequent(word_counts(df, text_col, params), "n", params.words)
     merger = Merger(params.ranks)
-    fd, local = tempfile.mkstemp()  # a transit place on the driver; the file itself goes to the shared folder
-    os.close(fd)
-    write(local, ((r.word.encode(), merger.ids(r.word)) for r in top))
-    return _put(df.sparkSession, local)
+    return _share(df.sparkSession, compiled((r.word.encode(), merger.ids(r.word)) for r in top))
 
 
 class _Encoder:
-    def __init__(self, lexicon: str, params: BpeParams):
+    def __init__(self, lexicon: str, ranks: str, params: BpeParams):
         self.params, self.find = params, regex.compile(PATTERN).findall
-        self.lexicon, self.merger = Lexicon(SparkFiles.get(lexicon)), None
+        self.lexicon, self.ranks, self.merger = Lexicon(SparkFiles.get(lexicon)), ranks, None
         self._forget()
 
     def _forget(self) -> None:
@@ -110,7 +114,7 @@ class _Encoder:
                 ids = self.lexicon.get(n)
             else:
                 if self.merger is None:
-                    self.merger = Merger(self.params.ranks)
+                    self.merger = Merger(SparkFiles.get(self.ranks))
                 ids = self.merger.ids(w)
             at, end = len(self.memo), self.used + len(ids)
             if at >= len(self.start):
@@ -158,9 +162,10 @@ def encode(df: DataFrame, id_col: str, text_col: str, lexicon: str | None = None
     and text_col are read. A lexicon built before, over any texts, may be given: the ids do not depend on it.
     """
     lexicon = build_lexicon(df, text_col, params) if lexicon is None else lexicon
+    ranks = _ship(df.sparkSession, params.ranks)
 
     def run(batches):
-        encoder = _Encoder(lexicon, params)
+        encoder = _Encoder(lexicon, ranks, params)
         for whole in batches:
             for b in _slices(whole, 1, 4_000_000):
                 size, ids = encoder.batch(b.column(1).to_pylist(), not sizes_only)

@@ -73,16 +73,15 @@ def _table(arcs: np.ndarray) -> np.ndarray:
     return out
 
 
-def write(path: str, words: Iterable[tuple[bytes, list[int]]]) -> None:
-    """Compiles (word, ids) pairs into a file for Lexicon."""
+def compiled(words: Iterable[tuple[bytes, list[int]]]) -> bytes:
+    """The file for Lexicon of (word, ids) pairs."""
     pairs = sorted({w: ids for w, ids in words if w}.items())
     arcs, final = compile_automaton([w for w, _ in pairs])
     table = _table(arcs)
     ends = np.cumsum([0, *(len(ids) for _, ids in pairs)], dtype=np.int64)
     ids = np.array([i for _, own in pairs for i in own], np.int64)
-    with open(path, "wb") as f:
-        for part in (np.array([len(table), len(final), len(ends), len(ids)], np.int64), table.ravel(), final.astype(np.int64), ends, ids):
-            f.write(part.tobytes())
+    parts = (np.array([len(table), len(final), len(ends), len(ids)], np.int64), table.ravel(), final.astype(np.int64), ends, ids)
+    return b"".join(x.tobytes() for x in parts)
 
 
 class Lexicon:

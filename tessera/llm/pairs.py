@@ -55,7 +55,7 @@ class PairParams:
     mark_share: float = 0.03  # least likelihood of an end after the last mark alone
     short_words: int = 5  # an answer of more words has to end with a mark
     short_share: float = 3e-4  # share of all different pairs, and two at least, that make a short form a whole answer
-    fit_answers: int = 20_000  # bound of the answers the model of refusals is fitted on
+    fit_answers: int = 10_000  # bound of the answers the model of refusals is fitted on
     refusal_odds: float = 5.0  # least log odds, over the root of the number of features, of a refusal
     refusal_chars: int = 320  # a refusal of more characters than that also says something
     alike: float = 0.9  # share of the question's words that a copy repeats
@@ -287,7 +287,8 @@ def languages(documents: DataFrame, id_col: str, text_col: str, lang_col: str, p
     rows = documents.select(F.col(id_col).alias("id"), label(F.col(lang_col)).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}{3}"))
     chosen = hash_sample(rows, "id", params.fit_rows, rows.count()).select("lang", "text")
-    return Languages([(r.lang, r.text) for r in chosen.collect()], params.grams)
+    chosen = chosen.toArrow()
+    return Languages(list(zip(chosen["lang"].to_pylist(), chosen["text"].to_pylist())), params.grams)
 
 
 def defective(df: DataFrame, id_col: str, question_col: str, answer_col: str, model: Languages, params: PairParams = PairParams()) -> DataFrame:
@@ -300,10 +301,11 @@ def defective(df: DataFrame, id_col: str, question_col: str, answer_col: str, mo
     different = df.select(F.col(answer_col).alias("answer"), F.xxhash64(question_col, answer_col).alias("pair")).filter(F.length("answer") > 0)
     different = spool(different.distinct(), "answers")  # one short answer to many questions counts with each
     sample = hash_sample(different, "pair", params.fit_answers, different.count())
-    refusals = Refusals([r.answer for r in sample.collect()])
+    refusals = Refusals(sample.toArrow()["answer"].to_pylist())
     ends = spool(end_counts(df, question_col, answer_col, params), "ends")
     few = ends.count() <= params.held_grams
-    table = {r.gram: (r.ends, r.n) for r in (ends if few else ends.filter(F.length("gram") < 2)).collect()}
+    table = (ends if few else ends.filter(F.length("gram") < 2)).toArrow()
+    table = dict(zip(table["gram"].to_pylist(), zip(table["ends"].to_pylist(), table["n"].to_pylist())))
     held = spark.sparkContext.broadcast(Judge(model, table, params, refusals))  # bounded by fit_rows, fit_answers and held_grams
     rows = df.select(F.col(id_col).alias("id"), F.col(question_col).alias("question"), F.col(answer_col).alias("answer"))
     kind = df.schema[id_col].dataType.simpleString()

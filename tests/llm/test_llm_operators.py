@@ -363,14 +363,14 @@ def test_page_numbers():
 def test_lexicon_round_trip(tmp_path):
     rng = random.Random(2)
     words = {bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 7))): [rng.randint(0, 9) for _ in range(rng.randint(0, 4))] for _ in range(900)}
-    lexicon.write(f"{tmp_path}/x", words.items())
+    (tmp_path / "x").write_bytes(lexicon.compiled(words.items()))
     x = lexicon.Lexicon(f"{tmp_path}/x")
     asked = [*words, *(bytes(rng.choice(b"abcd") for _ in range(rng.randint(0, 8))) for _ in range(900))]
     for w, n in zip(asked, x.numbers(asked)):
         assert (n >= 0) == (w in words) and (n < 0 or list(x.get(n)) == words[w])
     arcs, final = lexicon.compile_automaton(sorted([b"tops", b"stops"]))
     assert len(final) == 6  # the suffix is shared
-    lexicon.write(f"{tmp_path}/y", [])
+    (tmp_path / "y").write_bytes(lexicon.compiled([]))
     assert list(lexicon.Lexicon(f"{tmp_path}/y").numbers([b"a", b""])) == [-1, -1]
 
 
