@@ -58,6 +58,11 @@ def may_retry(status: Column) -> Column:
     return (status == 429) | (status >= 500)
 
 
+def retry_delay(attempt: Column, least: float = 2, most: float = 30) -> Column:
+    """The seconds before an attempt is repeated, the first being 1: doubled each time, within bounds."""
+    return F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), F.pow(F.lit(2.0), attempt)))
+
+
 def safe_name(name: Column) -> Column:
     """A base name that stays in its folder; null for what does not."""
     base = F.regexp_extract(name, r"([^/\\]*)$", 1)

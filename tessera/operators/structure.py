@@ -36,14 +36,20 @@ def looks_like_title(line: Column) -> Column:
     return (x != "") & (F.length(x) <= 140) & (~x.rlike(r"[.;,:]$") | upper)
 
 
+def _reading_order(lines: DataFrame):
+    """One order for all windows over a document's lines, so that they are sorted once."""
+    keys = ("page_no", "line_no") if "line_no" in lines.columns else ("seq",)
+    return W.partitionBy("doc_id").orderBy(*keys)
+
+
 def without_contents(lines: DataFrame, gap: int = DEFAULT.toc_gap) -> DataFrame:
-    """(doc_id, seq, page_no, line): the lines with text, numbered, without the table of contents and other leader lines.
+    """(doc_id, seq, page_no, line_no, line): the lines with text, numbered, without the table of contents and other leader lines.
 
     The table reaches from its heading to the last leader line before more than `gap` lines without leaders.
     """
-    order = W.partitionBy("doc_id").orderBy("page_no", "line_no")
+    order = _reading_order(lines)
     rows = lines.filter(trimmed(F.col("line")) != "").withColumn("seq", F.row_number().over(order))
-    upto = W.partitionBy("doc_id").orderBy("seq")
+    upto = order
     before = upto.rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumns({"leader": F.col("line").rlike(LEADER), "heading": F.col("line").rlike(CONTENTS)})
     rows = rows.withColumn("start", F.min(F.when(F.col("heading"), F.col("seq"))).over(W.partitionBy("doc_id")))
@@ -54,7 +60,7 @@ def without_contents(lines: DataFrame, gap: int = DEFAULT.toc_gap) -> DataFrame:
     end = F.max(F.when(F.col("breaks") == 0, F.col("step"))).over(W.partitionBy("doc_id"))
     rows = rows.withColumn("end", end)
     inside = F.coalesce(F.col("seq").between(F.col("start"), F.col("end")), F.lit(False))
-    return rows.filter(~inside & ~F.col("leader")).select("doc_id", "seq", "page_no", "line")
+    return rows.filter(~inside & ~F.col("leader")).select("doc_id", "seq", "page_no", "line_no", "line")
 
 
 def clause_lines(lines: DataFrame) -> DataFrame:
@@ -68,7 +74,7 @@ def clause_lines(lines: DataFrame) -> DataFrame:
         "is_appendix": appendix_heading(F.col("line")),
     })
     rows = rows.withColumn("level", F.size(F.split("number", r"\.")) - 1).withColumn("level", F.when(F.col("number").isNotNull(), F.col("level")))
-    order = W.partitionBy("doc_id").orderBy("seq")
+    order = _reading_order(rows)
     section = F.when(F.col("level") == 0, F.col("number").cast("int"))
     rows = rows.withColumns({
         "appendix": F.sum(F.col("is_appendix").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)),

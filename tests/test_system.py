@@ -4,9 +4,11 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import queries as core
 from tessera import runtime
+from tessera.functions import links as L
 from tessera.operators.store import Store
 from tessera.plans.engine import Engine, models
 from tessera.sources import readers
@@ -109,6 +111,39 @@ def test_sources(spark, tmp_path):
     assert rows["a", 1].ocr and rows["a", 1].text == "recognised text" and rows["a", 2].text == "tiny" and "ocr off" in rows["a", 2].warning and "no pages" in rows["b", 1].warning
 
 
+def test_scans_sources_and_robots(spark, tmp_path):
+    files = spark.createDataFrame([("a", bytearray(b"good")), ("b", bytearray(b"bad"))], "doc_id string, content binary")
+
+    def scan(data):
+        if data == b"bad":
+            raise ValueError("no")
+        return 3, [(1, "text", " x "), (1, "table", [["k", "v"], ["1", None]]), (3, "text", "z"), (3, "table", [])]
+
+    rows = {(r.doc_id, r.page_no): r.text for r in readers.scanned_pages(files, scan, lambda d: ["plain"]).collect()}
+    assert rows == {("a", 1): "x\n| k | v |\n|---|---|\n| 1 |  |", ("a", 2): "", ("a", 3): "z", ("b", 1): "plain"}
+
+    def missing():
+        raise ImportError("not here")
+
+    assert readers.first_recogniser(missing, lambda: (lambda d, n: "ok"))(b"", 1) == "ok"
+    with pytest.raises(RuntimeError):
+        readers.first_recogniser(missing)
+    (tmp_path / "x.pdf").write_bytes(b"data")
+    path = readers.resolve_source(spark, f"{tmp_path}/x.pdf", "d", f"file://{tmp_path}/raw")
+    assert open(path.removeprefix("file:"), "rb").read() == b"data"
+    assert open(readers.resolve_source(spark, "https://h/x", "e", f"file://{tmp_path}/raw", lambda u: b"net").removeprefix("file:"), "rb").read() == b"net"
+    with pytest.raises(FileNotFoundError):
+        readers.resolve_source(spark, f"{tmp_path}/none.pdf", "d", f"file://{tmp_path}/raw")
+    with pytest.raises(RuntimeError):
+        readers.resolve_source(spark, "https://h/x", "d", f"file://{tmp_path}/raw")
+    robots = "User-agent: *\nDisallow: /private\nCrawl-delay: 7"
+    links = spark.createDataFrame([("https://h/private/a",), ("https://h/a",), (None,)], "url string")
+    assert [r.allowed for r in readers.may_fetch(links, robots, "me").collect()] == [False, True, False]
+    assert readers.crawl_delay(robots, "me") == 7 and readers.crawl_delay(None, "me") == 3
+    delays = spark.range(1, 7).select(L.retry_delay(F.col("id")).alias("d")).collect()
+    assert [r.d for r in delays] == [2, 4, 8, 16, 30, 30]
+
+
 def test_intermediates_are_shared_and_deleted(spark):
     runtime.drop_spools(spark)
     df = runtime.spool(spark.range(5), "five")
