@@ -30,9 +30,9 @@ class ForestParams:
     recall: float = 0.96  # share of true neighbours that the probed leaves must hold, measured on `tried` queries
     tried: int = 256
     trees: int = 4
-    leaves: int = 32  # leaves aimed at in a tree, as long as a leaf has from least_rows to most_rows
+    leaves: int = 16  # leaves aimed at in a tree, as long as a leaf has from least_rows to most_rows
     least_rows: int = 1_024
-    most_rows: int = 4_096
+    most_rows: int = 8_192
     fit_rows: int = 20_000  # bound of the sample the trees are fitted on
     fit_leaf: int = 8  # sample rows a fitted leaf must hold
     block_rows: int = 16_384  # a leaf of more rows or queries is worked off in blocks of this size
