@@ -113,10 +113,13 @@ _P1 = """
 with v as (select vec_id, list_transform(dense, lambda e: cast(e as double)) as d from chunk_vectors
   where len(dense) = 64 and len(list_filter(dense, lambda e: e is not null and isfinite(e))) = 64 and len(list_filter(dense, lambda e: e <> 0)) > 0),
 u as (select vec_id, d, sqrt(list_dot_product(d, d)) as l from v),
-s as (select a.vec_id, b.vec_id as neighbour, round(list_dot_product(a.d, b.d) / a.l / b.l, 12) as c from u a, u b where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id)
-select vec_id, neighbour, round(least(c, 1), 6) as cosine, cast(row_number() over (partition by vec_id order by c desc, neighbour) as int) as rank from s qualify rank <= 10
+s as (select a.vec_id, b.vec_id as neighbour, round(list_dot_product(a.d, b.d) / a.l / b.l, 12) as c from u a, u b where ASKED and a.vec_id <> b.vec_id),
+near as (select vec_id, neighbour, c, cast(row_number() over (partition by vec_id order by c desc, neighbour) as int) as rank from s qualify rank <= 10)
 """
 
+_P1_NEIGHBOURS = _P1.replace("ASKED", "a.vec_id % 20 = 0") + "select vec_id, neighbour, round(least(c, 1), 6) as cosine, rank from near"
+_P1_FOUND = _P1.replace("ASKED", "true") + "select distinct least(vec_id, neighbour) as vec_a, greatest(vec_id, neighbour) as vec_b from near where c >= 0.9"
+
 _P2 = f"""
 select distinct item_table, item_id, field from (
   select 'section_nodes' as item_table, node_id as item_id, 'text' as field, text as t, 1330 as most from section_nodes
@@ -193,4 +196,4 @@ select s.id as chunk_id, c.class_id, c.copies, coalesce(l.links, 0) as links fro
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": _P4_FOUND, "p4_links": _P4_LINKS, "p1_neighbours": _P1, "p2_found": _P2, "p3_found": f"select group_id, field, id as cand_id from ({_P3_SURVIVORS})", "p3_survivors": _P3_SURVIVORS, "p3_undated": _P3_UNDATED}
+    return {"p4_found": _P4_FOUND, "p4_links": _P4_LINKS, "p1_found": _P1_FOUND, "p1_neighbours": _P1_NEIGHBOURS, "p2_found": _P2, "p3_found": f"select group_id, field, id as cand_id from ({_P3_SURVIVORS})", "p3_survivors": _P3_SURVIVORS, "p3_undated": _P3_UNDATED}
