@@ -16,21 +16,22 @@ def sentence_windows(text: Column, target: int, overlap: int) -> Column:
 
     A sentence longer than the target is never cut, so a window may exceed it. A text within the target is one window.
     """
-    joined = lambda a, b: trimmed(F.concat(a, F.lit(" "), b))
+    # Sentences are trimmed once, before the fold, so that joining them is a mere concatenation.
+    joined = lambda a, b: F.when(a == "", b).when(b == "", a).otherwise(F.concat(a, F.lit(" "), b))
     start = F.struct(F.lit("").alias("cur"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         cur = acc["cur"]
         over = (cur != "") & (F.length(cur) + F.length(s) + 1 > target)
-        tail = F.right(cur, F.lit(overlap)) if overlap else F.lit("")
-        return F.when(over, F.struct(joined(tail, s).alias("cur"), F.concat(acc["out"], F.array(trimmed(cur))).alias("out"))).otherwise(
+        tail = trimmed(F.right(cur, F.lit(overlap))) if overlap else F.lit("")
+        return F.when(over, F.struct(joined(tail, s).alias("cur"), F.concat(acc["out"], F.array(cur)).alias("out"))).otherwise(
             F.struct(joined(cur, s).alias("cur"), acc["out"].alias("out"))
         )
 
     def finish(acc: Column) -> Column:
-        return F.when(trimmed(acc["cur"]) != "", F.concat(acc["out"], F.array(trimmed(acc["cur"])))).otherwise(acc["out"])
+        return F.when(acc["cur"] != "", F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"])
 
-    folded = F.aggregate(F.split(text, r"(?U)(?<=[.;:])\s+"), start, step, finish)
+    folded = F.aggregate(F.transform(F.split(text, r"(?U)(?<=[.;:])\s+"), trimmed), start, step, finish)
     return F.when(F.length(text) <= target, F.array(text)).otherwise(F.when(F.size(folded) > 0, folded).otherwise(F.array(text)))
 
 
