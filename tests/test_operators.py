@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import DEFAULT, Config
 from tessera.operators import answering, catalog, chunking, cleaning, evaluation, history, ranking, reporting, search, structure
+from tessera.runtime import spool
 
 
 def pages(spark, *texts, doc="d"):
@@ -149,6 +150,26 @@ def test_search_and_fusion(spark):
     assert fused[0].chunk_id == "b" and abs(fused[0].score - 2 / 61) < 1e-9
 
 
+def test_sparse_lists_are_cut_where_scores_are_made(spark):
+    n, k = 60, 3
+    texts = spark.createDataFrame([(f"c{i:03d}", " ".join(["и"] * (1 + i % 4) + [f"w{i % 7}", f"u{i % 20}"])) for i in range(n)] + [("z", "")], "chunk_id string, text string")
+    asked = spark.createDataFrame([(q, f"и w{q % 7} x{q}") for q in range(40)] + [(99, "нет"), (98, "u3")], "question_id long, question string")
+    weights = spool(search.text_weights(texts.repartition(5), "chunk_id", "text").orderBy(F.rand(1)), "weights")
+    scores: dict[int, dict[str, float]] = {}
+    for w in search.asked_terms(asked).join(weights, "term").collect():
+        own = scores.setdefault(w.question_id, {})
+        own[w.chunk_id] = own.get(w.chunk_id, 0) + w.asked * w.weight
+    full = {q: sorted(((-round(s, 9), c) for c, s in own.items()))[:k] for q, own in scores.items()}
+    for more in ({}, {"broadcast_rows": 7}, {"lists": 1}):
+        got: dict[int, list] = {}
+        for r in search.sparse_search(asked, weights, k, **more).orderBy("question_id", "rank").collect():
+            got.setdefault(r.question_id, []).append((-r.score, r.chunk_id))
+        assert got == full  # ties go to the smaller id
+    lists = spool(search.sparse_lists(search.asked_terms(asked), weights, k, lists=2, block=30), "lists")
+    assert {(r.question_id, -r.score, r.chunk_id) for r in search.top_k(lists, k).collect()} == {(q, *x) for q, own in full.items() for x in own}
+    assert lists.count() <= 2 * k * 41 < sum(map(len, scores.values())) / 5
+
+
 def test_citations(spark):
     answers = spark.createDataFrame([(1, "да [2] и [2] [9]"), (2, "без ссылок"), (3, "[0]")], "question_id int, answer string")
     contexts = spark.createDataFrame([(q, p, f"d{p}", "t", "") for q in (1, 2, 3) for p in (0, 1)], "question_id int, position int, doc_id string, text string, parent_text string")
