@@ -170,6 +170,18 @@ def test_sparse_lists_are_cut_where_scores_are_made(spark):
     assert lists.count() <= 2 * k * 41 < sum(map(len, scores.values())) / 5
 
 
+def test_dense_lists_are_cut_where_scores_are_made(spark):
+    n, k = 50, 3
+    vectors = spark.createDataFrame([(i, [float(i % 5 + 1), float(i % 3)] + [1.0] * (i % 2)) for i in range(n)] + [(90, [0.0, 0.0]), (91, None)], "vec_id int, dense array<float>").repartition(10)
+    asked = vectors.filter("vec_id % 2 = 0 or vec_id > 40").select(F.col("vec_id").alias("question_id"), "dense")
+    given = {r.vec_id: [float(x) for x in r.dense] for r in vectors.filter("vec_id < 90").collect()}
+    cosine = lambda x, y: sum(a * b for a, b in zip(x, y)) / (sum(a * a for a in x) * sum(b * b for b in y)) ** 0.5
+    full = {(q, i, r + 1) for q in given if q % 2 == 0 or q > 40 for r, (_, i) in enumerate(sorted((-round(cosine(given[q], v), 6), i) for i, v in given.items() if len(v) == len(given[q]))[:k])}
+    for more in ({}, {"lists": 2}, {"broadcast_rows": 11}):
+        assert {(r.question_id, r.vec_id, r["rank"]) for r in search.dense_search(asked, vectors, k, "vec_id", places=6, **more).collect()} == full
+    assert search.dense_lists(asked, vectors, k, "vec_id", places=6, lists=2).count() <= 2 * len(full)
+
+
 def test_citations(spark):
     answers = spark.createDataFrame([(1, "да [2] и [2] [9]"), (2, "без ссылок"), (3, "[0]")], "question_id int, answer string")
     contexts = spark.createDataFrame([(q, p, f"d{p}", "t", "") for q in (1, 2, 3) for p in (0, 1)], "question_id int, position int, doc_id string, text string, parent_text string")
