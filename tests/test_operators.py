@@ -3,6 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from tessera import queries
 from tessera.config import DEFAULT, Config
 from tessera.operators import answering, catalog, chunking, cleaning, evaluation, history, ranking, reporting, search, structure
 from tessera.runtime import spool
@@ -182,6 +183,16 @@ def test_dense_lists_are_cut_where_scores_are_made(spark):
     assert search.dense_lists(asked, vectors, k, "vec_id", places=6, lists=2).count() <= 2 * len(full)
 
 
+def test_chunks_of_stored_rows_only(spark, tmp_path):
+    rows = [("a", "x"), ("a", "x"), ("b", "y"), ("c", ""), (None, "z"), ("d", "w")]
+    spark.createDataFrame(rows, "chunk_id string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    of = spark.createDataFrame([(1, "a"), (2, "a"), (2, "d"), (2, "c")], "question_id long, chunk_id string")
+    for most in (1_000_000, 1):
+        wanted = queries._chunks(spark, str(tmp_path), of, broadcast_rows=most)
+        assert sorted(map(tuple, wanted.collect())) == [("a", "x"), ("d", "w")]
+    assert queries._chunks(spark, str(tmp_path)).count() == 3
+
+
 def test_citations(spark):
     answers = spark.createDataFrame([(1, "да [2] и [2] [9]"), (2, "без ссылок"), (3, "[0]")], "question_id int, answer string")
     contexts = spark.createDataFrame([(q, p, f"d{p}", "t", "") for q in (1, 2, 3) for p in (0, 1)], "question_id int, position int, doc_id string, text string, parent_text string")
