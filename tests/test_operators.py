@@ -183,6 +183,16 @@ def test_dense_lists_are_cut_where_scores_are_made(spark):
     assert search.dense_lists(asked, vectors, k, "vec_id", places=6, lists=2).count() <= 2 * len(full)
 
 
+def test_hybrid_search_makes_no_row_for_a_pair(spark):
+    chunks = spark.createDataFrame([(f"c{i}", f"и w{i % 3}") for i in range(9)], "chunk_id string, text string")
+    asked = spark.createDataFrame([(q, f"и w{q}") for q in range(3)], "question_id long, question string").withColumn("dense", search.hashed_embedding(F.col("question"), 16))
+    vectors = chunks.select("chunk_id", search.hashed_embedding(F.col("text"), 16).alias("dense"))
+    hits = search.hybrid_search(asked, search.text_weights(chunks, "chunk_id", "text"), vectors, 2, documents=9)
+    assert hits._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2  # sparse scores as well as dense ones
+    got = [(r.question_id, r.chunk_id) for r in hits.orderBy("question_id", "rank").collect()]
+    assert got == [(q, f"c{i}") for q in range(3) for i in (q, q + 3)]
+
+
 def test_chunks_of_stored_rows_only(spark, tmp_path):
     rows = [("a", "x"), ("a", "x"), ("b", "y"), ("c", ""), (None, "z"), ("d", "w")]
     spark.createDataFrame(rows, "chunk_id string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
