@@ -1,6 +1,9 @@
+import math
 import random
 import re
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera import queries
@@ -193,6 +196,36 @@ def test_hybrid_search_makes_no_row_for_a_pair(spark):
     assert got == [(q, f"c{i}") for q in range(3) for i in (q, q + 3)]
 
 
+def test_texts_are_taken_apart_once_for_frequencies_and_lists(spark):
+    n, k = 60, 3
+    texts = spark.createDataFrame([(f"c{i:03d}", " ".join(["и"] * (1 + i % 4) + [f"w{i % 7}", f"u{i % 20}"])) for i in range(n)] + [("z", "")], "chunk_id string, text string")
+    asked = spark.createDataFrame([(q, f"и w{q % 7} x{q}") for q in range(40)] + [(99, "нет"), (98, "u3")], "question_id long, question string")
+    weights = search.text_weights(texts.repartition(5), "chunk_id", "text")
+    rows = weights.collect()
+    df = Counter(w.term for w in rows)
+    scores: dict[int, dict[str, float]] = {}
+    for a in search.asked_terms(asked).collect():
+        for w in rows:
+            if w.term == a.term:
+                own = scores.setdefault(a.question_id, {})
+                own[w.chunk_id] = own.get(w.chunk_id, 0) + a.asked * math.log(1 + n / df[a.term]) * w.weight
+    full = {q: sorted(((-round(s, 9), c) for c, s in own.items()))[:k] for q, own in scores.items()}
+    for more in ({}, {"broadcast_rows": 7}, {"lists": 1}):
+        hits = search.sparse_search(asked, weights, k, documents=n, **more)
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Generate" not in plan and "regexp" not in plan  # the stored postings are read instead
+        got: dict[int, list] = {}
+        for r in hits.orderBy("question_id", "rank").collect():
+            got.setdefault(r.question_id, []).append((-r.score, r.chunk_id))
+        assert got == full  # ties go to the smaller id
+    held = search.folded(weights, search.asked_terms(asked))
+    assert sorted(r.chunk_id for r in held.collect()) == sorted(f"c{i:03d}" for i in range(n))  # a row a text
+    for rows_ in (1, 50, 1_000_000):  # tables of texts of some size
+        parts = list(search.stored_texts(held.toArrow().to_batches(max_chunksize=7), "chunk_id", pa.array(["u3", "и"]), rows_))
+        assert sorted((ids[t].as_py(), int(w)) for ids, text, no, _ in parts for t, w in zip(text, no)) == sorted([(f"c{i:03d}", 1) for i in range(n)] + [(f"c{i:03d}", 0) for i in range(n) if i % 20 == 3])
+        assert sum(len(ids) for ids, *_ in parts) == n
+
+
 def test_chunks_of_stored_rows_only(spark, tmp_path):
     rows = [("a", "x"), ("a", "x"), ("b", "y"), ("c", ""), (None, "z"), ("d", "w")]
     spark.createDataFrame(rows, "chunk_id string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
